@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import secrets
+from . import packing, pfor, secrets
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,8 +16,18 @@ def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets_digest(read_table(spark, sf_dir, "documents"))
 
 
+def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pfor.token_id_digest(read_table(spark, sf_dir, "documents"))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packing_digest(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
+    "op4_token_ids": op4_token_ids,
     "op5_secret_scans": op5_secret_scans,
+    "op7_packing": op7_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
