@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, pfor, secrets
+from . import ngram_join, packing, pfor, secrets
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,10 +24,15 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packing_digest(read_table(spark, sf_dir, "documents"))
 
 
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op4_token_ids": op4_token_ids,
     "op5_secret_scans": op5_secret_scans,
     "op7_packing": op7_packing,
+    "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
 }
 
 ORACLE_SQL: dict[str, str] = {}
