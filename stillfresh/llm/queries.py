@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import ngram_join, packing, pfor, quality, secrets, toxicity
+from . import mixing, ngram_join, packing, pfor, quality, secrets, sentences, toxicity
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +17,15 @@ def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets_digest(read_table(spark, sf_dir, "documents"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.repeats_digest(read_table(spark, sf_dir, "documents"))
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix_probabilities(read_table(spark, sf_dir, "documents"))
+    return mixed.withColumn("probability", F.round("probability", 9))
+
+
 def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pfor.token_id_digest(read_table(spark, sf_dir, "documents"))
 
@@ -37,6 +47,8 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op2_substring_dedup": op2_substring_dedup,
+    "op3_mixing": op3_mixing,
     "op4_token_ids": op4_token_ids,
     "op5_secret_scans": op5_secret_scans,
     "op6_toxicity": op6_toxicity,
@@ -45,4 +57,7 @@ QUERIES: dict[str, Query] = {
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_substring_dedup": sentences.oracle_sql(),
+    "op3_mixing": mixing.oracle_sql(),
+}
