@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 
 #: Letters that lower-casing and composition treat one by one, then ASCII symbols.
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-/:-@\[-`{-~]*)")
-MAX_WORDS = 400_000
+MAX_WORDS = 600_000
 SLICE_BYTES = 4 << 20
 
 
@@ -29,6 +29,12 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def stretches(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of each stretch, one stretch after another."""
+    ends = np.cumsum(length)
+    return np.repeat(start - ends + length, length) + np.arange(ends[-1] if len(ends) else 0)
+
+
 class Encoder:
     """Ids of texts; ``path`` names a tokenizers file whose model marks word ends."""
 
@@ -47,73 +53,89 @@ class Encoder:
 
     def _reset(self) -> None:
         self.index: dict[str, int] = {}
-        self.start, self.length = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.start, self.length, self.met = (np.zeros(1 << 12, np.int64) for _ in range(3))
         self.flat, self.used = np.zeros(1 << 14, np.uint32), 0
 
-    def _plain(self, pieces: list[str]) -> list[np.ndarray]:
-        """Ids of letters-only or symbols-only pieces, by the model itself."""
-        mapped = " ".join(p if p.isascii() else p.encode().decode("latin-1").translate(self.letters) for p in pieces)
+    def _make_room(self) -> None:
+        """Forget the words met in one slice only; if that frees too little, all."""
+        kept = [w for w, i in self.index.items() if self.met[i] > 1]
+        if len(kept) > self.max_words // 2:
+            self._reset()
+            return
+        old = np.array([self.index[w] for w in kept], np.int64)
+        start, length, flat = self.start[old], self.length[old], self.flat
+        self._reset()
+        self._add(kept, flat, start, length)
+
+    def _add(self, words: list[str], source: np.ndarray, start: np.ndarray, length: np.ndarray) -> None:
+        """Enter words whose ids are ``length`` entries of ``source`` from ``start``; two stretches a word may be given."""
+        n, size = len(self.index), len(words)
+        each = length.reshape(size, -1).sum(axis=1)
+        ids = source[stretches(start, length)]
+        while n + size > len(self.start):
+            self.start, self.length, self.met = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length, self.met))
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.start[n : n + size] = self.used + np.cumsum(each) - each
+        self.length[n : n + size] = each
+        self.used += len(ids)
+        self.index.update(zip(words, range(n, n + size), strict=True))
+
+    def _plain(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, end of each piece's) of letters-only or symbols-only pieces, by the model itself."""
+        mapped = " ".join([p if p.isascii() else p.encode().decode("latin-1").translate(self.letters) for p in pieces])
         ids = np.array(self.words.encode_batch_fast([mapped], add_special_tokens=False)[0].ids, np.uint32)
-        cut = np.flatnonzero(self.ends[ids]) + 1
-        if len(cut) != len(pieces):
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(pieces):
             raise ValueError("the tokenizer's model doesn't mark word ends")
-        return np.split(ids, cut[:-1])
+        return ids, ends
 
     def _learn(self, new: list[str]) -> None:
-        pieces: dict[str, int] = {}
-        plan: list[tuple[str, ...] | None] = []
+        pieces: dict[str, int] = {"": 0}
         odd: list[str] = []
+        parts: list[int] = []
+        match, number = PLAIN.fullmatch, pieces.setdefault
         for w in new:
-            m = PLAIN.fullmatch(w)
+            m = match(w)
             if m is None:
-                plan.append(None)
                 odd.append(w)
+                parts += (-len(odd), 0)
             else:
-                parts = tuple(p for p in (m[1].lower(), m[2]) if p)
-                plan.append(parts)
-                for p in parts:
-                    pieces.setdefault(p, len(pieces))
-        known = list(pieces)
-        got: list[np.ndarray] = []
+                a, b = m.groups()
+                parts += (number(a.lower(), len(pieces)), number(b, len(pieces)))
+        known = list(pieces)[1:]
+        ids, ends, at = [], [np.zeros(1, np.int64)], 0
         for i in range(0, len(known), 5000):
-            got += self._plain(known[i : i + 5000])
-        others = iter(self.whole.encode_batch_fast(odd, add_special_tokens=False) if odd else [])
-        none = np.zeros(0, np.uint32)
-        found = [
-            np.array(next(others).ids, np.uint32) if parts is None
-            else got[pieces[parts[0]]] if len(parts) == 1
-            else np.concatenate([got[pieces[p]] for p in parts]) if parts
-            else none
-            for parts in plan
-        ]
-        n, size = len(self.index), len(new)
-        lengths = np.fromiter(map(len, found), np.int64, size)
-        total = int(lengths.sum())
-        while n + size > len(self.start):
-            self.start, self.length = np.resize(self.start, 2 * len(self.start)), np.resize(self.length, 2 * len(self.length))
-        while self.used + total > len(self.flat):
-            self.flat = np.resize(self.flat, 2 * len(self.flat))
-        self.flat[self.used : self.used + total] = np.concatenate(found) if found else none
-        self.start[n : n + size] = self.used + np.cumsum(lengths) - lengths
-        self.length[n : n + size] = lengths
-        self.used += total
-        self.index.update(zip(new, range(n, n + size), strict=True))
+            got, cut = self._plain(known[i : i + 5000])
+            ids.append(got)
+            ends.append(cut + at)
+            at += len(got)
+        others = [e.ids for e in self.whole.encode_batch_fast(odd, add_special_tokens=False)] if odd else []
+        ids += [np.array(x, np.uint32) for x in others]
+        ends.append(at + np.cumsum([len(x) for x in others], dtype=np.int64))
+        ends = np.concatenate(ends)
+        lengths = np.diff(ends, prepend=0)
+        place = np.array(parts, np.int64)
+        place = np.where(place < 0, len(known) - place, place)
+        source = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
+        self._add(new, source, (ends - lengths)[place], lengths[place])
 
     def _slice(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         words = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
         coded = words.flatten().dictionary_encode()
         unique = coded.dictionary.to_pylist()
         if len(self.index) + len(unique) > self.max_words:
-            self._reset()
+            self._make_room()
         new = [w for w in unique if w not in self.index]
         if new:
             self._learn(new)
-        place = np.fromiter(map(self.index.__getitem__, unique), np.int64, len(unique))[coded.indices.to_numpy(zero_copy_only=False)]
+        entry = np.fromiter(map(self.index.__getitem__, unique), np.int64, len(unique))
+        self.met[entry] += 1
+        place = entry[coded.indices.to_numpy(zero_copy_only=False)]
         lengths = self.length[place]
-        ends = np.cumsum(lengths)
-        where = np.repeat(self.start[place] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)
-        offsets = np.concatenate([[0], ends])[np.asarray(words.offsets) - words.offsets[0].as_py()]
-        return self.flat[where], offsets
+        offsets = np.concatenate([[0], np.cumsum(lengths)])[np.asarray(words.offsets) - words.offsets[0].as_py()]
+        return self.flat[stretches(self.start[place], lengths)], offsets
 
     def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets): text i has ids[offsets[i]:offsets[i + 1]], with ``end_id`` appended."""
