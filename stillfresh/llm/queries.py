@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, ngram_join, packing, pfor, quality, secrets, sentences, toxicity
+from . import mixing, ngram_join, packing, pfor, quality, secrets, sentences, topk, toxicity, url_rules
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,10 @@ def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets_digest(read_table(spark, sf_dir, "documents"))
 
 
+def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(read_table(spark, sf_dir, "embeddings"))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.repeats_digest(read_table(spark, sf_dir, "documents"))
 
@@ -46,7 +50,12 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_verdicts(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge_urls(read_table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Query] = {
+    "op1_topk_search": op1_topk_search,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_mixing": op3_mixing,
     "op4_token_ids": op4_token_ids,
@@ -55,9 +64,11 @@ QUERIES: dict[str, Query] = {
     "op7_packing": op7_packing,
     "op8_quality_rules": op8_quality_rules,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
+    "op10_url_filters": op10_url_filters,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_topk_search": topk.ORACLE_SQL,
     "op2_substring_dedup": sentences.oracle_sql(),
     "op3_mixing": mixing.oracle_sql(),
 }
