@@ -43,10 +43,10 @@ def shingle_sets(batch_texts: pa.Array, width: int) -> list[np.ndarray]:
     Words are runs of anything but ASCII white space, with A-Z lower-cased; a text of
     fewer words than ``width`` has its whole sequence as its only shingle.
     """
-    words = pc.ascii_split_whitespace(pc.ascii_lower(batch_texts.cast(pa.large_string())))
+    words = pc.ascii_split_whitespace(batch_texts.cast(pa.large_string()))
     flat = words.flatten()
     coded = flat.dictionary_encode()
-    hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
+    hashes = np.fromiter((xxhash.xxh64_intdigest(w.encode().lower()) for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
     hashed = hashes[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else np.zeros(0, np.uint64)
     real = np.asarray(pc.binary_length(flat)) > 0 if len(flat) else np.zeros(0, bool)
     cuts = np.asarray(words.offsets) - words.offsets[0].as_py()
