@@ -11,10 +11,15 @@ DIMENSIONS = ("source", "lang", "topic")
 ROUNDS, BUDGET, FLATTEN, SEED = 8, 0.8, 0.7, "mix-1"
 
 
+def removed(text: Column, char: str) -> Column:
+    """How often an ASCII character stands in a text: the bytes lost without it."""
+    return F.octet_length(text) - F.octet_length(F.replace(text, F.lit(char), F.lit("")))
+
+
 def topic_of(text: Column) -> Column:
     """A document's form, by fixed rules: table, symbols, numbers, shout, lines or prose."""
     n = F.greatest(F.length(text), F.lit(1))
-    count = lambda chars: F.length(text) - F.length(F.translate(text, chars, ""))
+    count = lambda chars: sum(removed(text, c) for c in chars)
     return (
         F.when(100 * count("|") >= 2 * n, "table")
         .when(100 * count("#*$%&<>") >= 4 * n, "symbols")
@@ -28,7 +33,7 @@ def topic_of(text: Column) -> Column:
 def measured(docs: DataFrame) -> DataFrame:
     """doc_id, source, lang, topic, n_tokens: words at single spaces and line breaks; nulls become ''."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    words = 1 + 2 * F.length(text) - F.length(F.translate(text, " ", "")) - F.length(F.translate(text, "\n", ""))
+    words = 1 + removed(text, " ") + removed(text, "\n")
     named = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("source", "lang")]
     return docs.select("doc_id", *named, topic_of(text).alias("topic"), words.cast("long").alias("n_tokens"))
 
@@ -75,7 +80,7 @@ def mix_probabilities(
     an id share their fate. Null source or lang count as ''. Aggregation is in two steps, so
     a source of any share costs one row for each task and cell.
     """
-    rows = measured(docs)
+    rows = materialize(measured(docs), "measured")
     cells = materialize(rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("n")), "cells")
     targets = targets or {d: materialize(flattened_targets(cells, d, flatten, budget), f"want-{d}") for d in DIMENSIONS}
     weights = rake(cells, targets, rounds).select(*DIMENSIONS, F.least(F.lit(1.0), F.col("weight") / F.col("n")).alias("probability"))
