@@ -9,7 +9,8 @@
 4. Only tiles that still hold several components are worked through in full, in blocks of
    bounded size. Bitmaps of hashed tokens bound the overlap of two sets from above
    (their symmetric difference has at least as many members as the bitmaps differ in
-   bits); pairs beyond the bound go no further. The rest are intersected exactly.
+   bits), and so do the tokens that their prefixes share; pairs beyond a bound go no
+   further. The rest are intersected exactly.
 """
 
 from __future__ import annotations
@@ -111,6 +112,25 @@ def token_sketch(rows: DataFrame, width: int) -> np.ndarray:
     return out.reshape(-1)
 
 
+def member_filter(hashes: DataFrame, most_bits: int = 28) -> np.ndarray:
+    """A bitset of the hashes (column h), for dropping most other rows before they move.
+
+    About 16 bits for each hash, 2^28 bits (32 MB) at most: beyond that it lets more rows
+    through. What it lets through is joined exactly afterwards.
+    """
+    bits = int(min(most_bits, max(16, np.ceil(np.log2(16 * max(1, hashes.count()))))))
+    h = F.col("h").bitwiseAND(F.lit((1 << bits) - 1))
+    words = hashes.select(F.shiftright(h, 6).alias("word"), F.expr("shiftleft(1L, CAST(h & 63 AS INT))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("set")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.int64)
+    out[words.column("word").to_numpy()] = words.column("set").to_numpy()
+    return out
+
+
+def passes(bitset: np.ndarray, h: np.ndarray) -> np.ndarray:
+    place = h & np.int64(64 * len(bitset) - 1)
+    return (bitset[place >> 6] >> (place & 63)) & 1 == 1
+
+
 def prefix_of(s: np.ndarray, sketch: np.ndarray, percent: int) -> np.ndarray:
     """The first n - ceil(percent * n / 100) + 1 tokens, rarest buckets first."""
     n = len(s)
@@ -163,8 +183,18 @@ def enough(n_a, n_b, common, percent: int):
     return 100 * common >= percent * (n_a + n_b - common)
 
 
+def prefix_bound(n_a: int, n_b: int, p_a: int, p_b: int, common: int) -> int:
+    """Most members that two sets can share, given their prefixes' sizes and common tokens.
+
+    Up to the earlier of the two prefixes' last tokens, what is shared lies in both prefixes.
+    So the set whose prefix ends first shares ``common`` tokens there, and after it no more
+    than it has left.
+    """
+    return common + max(n_a - p_a, n_b - p_b)
+
+
 def bound_ok(percent: int):
-    """Whether bitmaps of a pair leave room for enough overlap; columns n_a, n_b, bits_a, bits_b."""
+    """Whether bitmaps and prefixes of a pair leave room for enough overlap; columns n, bits, prefix of a and b."""
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -173,7 +203,11 @@ def bound_ok(percent: int):
             view = lambda k: np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint64).reshape(-1, BITMAP_BITS // 64)
             differ = np.bitwise_count(view("bits_a") ^ view("bits_b")).sum(axis=1).astype(np.int64)
             n_a, n_b = (b.column(k).to_numpy(zero_copy_only=False) for k in ("n_a", "n_b"))
-            yield b.filter(pa.array(enough(n_a, n_b, (n_a + n_b - differ) // 2, percent))).select(["a", "b"])
+            good = enough(n_a, n_b, (n_a + n_b - differ) // 2, percent)
+            for i in np.flatnonzero(good).tolist():
+                x, y = (b.column(k)[i].values.to_numpy() for k in ("prefix_a", "prefix_b"))
+                good[i] = enough(int(n_a[i]), int(n_b[i]), prefix_bound(int(n_a[i]), int(n_b[i]), len(x), len(y), len(np.intersect1d(x, y, assume_unique=True))), percent)
+            yield b.filter(pa.array(good)).select(["a", "b"])
 
     return keep
 
@@ -201,17 +235,23 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def sets_of(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(fp, tokens) of the wanted classes (key, fp), each from one of its documents."""
+    """(fp, tokens) of the wanted classes (key, fp), each from one of its documents.
+
+    The texts stay where they are: a bitset of the wanted keys picks the documents whose
+    shingles are hashed again, and only their tokens move.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(member_filter(wanted.select(F.xxhash64("key").alias("h"))))
+    schema = pa.schema([("fp", pa.binary()), ("tokens", pa.list_(pa.int64()))])
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches):
-            sets = shingle_sets(b.column(0), width)
-            same = [fingerprint(s) == f for s, f in zip(sets, b.column(1).to_pylist(), strict=True)]
-            tokens = pa.array([np.sort(s.view(np.int64)) for s, ok in zip(sets, same, strict=True) if ok], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(1).filter(pa.array(same)), tokens], ["fp", "tokens"])
+            b = b.filter(pa.array(passes(shared.value, b.column(0).to_numpy())))
+            if b.num_rows:
+                sets = shingle_sets(b.column(1), width)
+                yield pa.RecordBatch.from_arrays([pa.array([fingerprint(s) for s in sets], pa.binary()), pa.array([np.sort(s.view(np.int64)) for s in sets], pa.list_(pa.int64()))], schema=schema)
 
-    found = rows.join(wanted, "key").select("text", "fp").mapInArrow(one, "fp binary, tokens array<bigint>")
-    return materialize(found.groupBy("fp").agg(F.first("tokens").alias("tokens")), "sets")
+    found = rows.select(F.xxhash64("key").alias("h"), "text").mapInArrow(one, "fp binary, tokens array<bigint>")
+    return materialize(found.join(wanted.select("fp"), "fp", "left_semi").dropDuplicates(["fp"]), "sets")
 
 
 def tile_pairs(entries: DataFrame, percent: int) -> DataFrame:
@@ -247,13 +287,32 @@ def tile_pairs(entries: DataFrame, percent: int) -> DataFrame:
             other = other[enough(n[other], n[at], (n[other] + n[at] - differ) // 2, percent)]
             if len(other):
                 here = set(prefix[at])
-                out += [(fps[at], fps[k]) for k in other.tolist() if min(here.intersection(prefix[k])) == token]
+                for k in other.tolist():
+                    both = here.intersection(prefix[k])
+                    if min(both) == token and enough(n[at], n[k], prefix_bound(n[at], n[k], len(here), len(prefix[k]), len(both)), percent):
+                        out.append((fps[at], fps[k]))
         a, b = zip(*out, strict=True) if out else ((), ())
         return pa.Table.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
     return spread.groupBy("token", "tile", "i", "j").applyInArrow(tile, "a binary, b binary")
 
 
+def likely(classes: DataFrame, shared: DataFrame) -> DataFrame:
+    """token, band, fp, n of the classes' prefix tokens that a bitset of the shared ones lets pass."""
+    bitset = classes.sparkSession.sparkContext.broadcast(member_filter(shared.select(F.col("token").alias("h"))))
+
+    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(3)
+            tokens = lists.flatten().to_numpy()
+            row = np.repeat(np.arange(b.num_rows), np.diff(np.asarray(lists.offsets)))
+            keep = passes(bitset.value, tokens)
+            at = pa.array(row[keep])
+            yield pa.RecordBatch.from_arrays([pa.array(tokens[keep]), b.column(2).take(at), b.column(0).take(at), b.column(1).take(at)], ["token", "band", "fp", "n"])
+
+    return classes.select("fp", "n", "band", "prefix").mapInArrow(one, "token bigint, band int, fp binary, n int")
+
+
 def similar_classes(docs: DataFrame, width: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(documents, edges): every document's doc_id, n, fp; links (a, b) between classes
     that give all components. See :func:`jaccard_components`."""
@@ -266,15 +325,13 @@ def similar_classes(docs: DataFrame, width: int = 3, percent: int = 90, id_col:
     # bands of size: sets that may link lie in one band or in two next to each other
     band = F.floor(F.log("n") / -np.log(percent / 100)).cast("int")
     every = classes.select(F.explode("prefix").alias("token"), band.alias("band"), "fp", "n")
-    shared = every.groupBy("token").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("token")
-    entries = materialize(every.join(shared, "token"), "entries")
+    shared = materialize(every.groupBy("token").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("token"), "shared")
+    entries = materialize(likely(classes.select("fp", "n", band.alias("band"), "prefix"), shared).join(shared, "token"), "entries")
     tiles = entries.groupBy("token", "band").agg(F.count(F.lit(1)).alias("k"), F.min("fp").alias("head")).filter("k > 1")
-    light = classes.select("fp", "n", "bits")
     star = entries.join(tiles, ["token", "band"]).filter("fp <> head").select(F.col("head").alias("a"), F.col("fp").alias("b")).distinct()
 
     def passed(pairs: DataFrame) -> DataFrame:
-        one = light.select(F.col("fp").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))
-        two = light.select(F.col("fp").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"))
+        one, two = (classes.select(F.col("fp").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "bits", "prefix"))) for x in "ab")
         return pairs.join(one, "a").join(two, "b").mapInArrow(bound_ok(percent), "a binary, b binary")
 
     def links(pairs: DataFrame) -> DataFrame:
