@@ -25,6 +25,10 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.repeats_digest(read_table(spark, sf_dir, "documents"))
 
 
+def op2_all_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.repeats_digest(read_table(spark, sf_dir, "documents"), max_span=None)
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_probabilities(read_table(spark, sf_dir, "documents"))
     return mixed.withColumn("probability", F.round("probability", 9))
@@ -57,6 +61,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_topk_search": op1_topk_search,
     "op2_substring_dedup": op2_substring_dedup,
+    "op2_all_repeats": op2_all_repeats,
     "op3_mixing": op3_mixing,
     "op4_token_ids": op4_token_ids,
     "op5_secret_scans": op5_secret_scans,

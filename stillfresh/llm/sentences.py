@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -48,14 +48,72 @@ def spans(rows: DataFrame, min_words: int, max_span: int) -> DataFrame:
     return rows.select("row", "doc_id", F.explode(found).alias("y")).select("row", "doc_id", "y.at", "y.k", "y.h", "y.g")
 
 
+def hashed(stretch: Column) -> tuple[Column, Column]:
+    """Two hashes of a run of sentences."""
+    return F.xxhash64(F.transform(stretch, lambda p: p["h"])).alias("h"), F.hash(F.transform(stretch, lambda p: p["g"])).alias("g")
+
+
+def shortest(i: Column, step: int, min_words: int) -> Column:
+    """How many sentences from place ``i`` on (``step`` 1) or back (-1) have ``min_words`` words; null where the text ends before.
+
+    A sentence has a word at least, so no run needs more than ``min_words`` of them.
+    """
+    words, k = F.lit(0), F.lit(None).cast("int")
+    for j in range(min_words):
+        words = words + F.get("p", i + step * j)["w"]
+        k = F.coalesce(k, F.when(words >= min_words, F.lit(j + 1)))
+    return k
+
+
+def runs_from(rows: DataFrame, min_words: int) -> DataFrame:
+    """row, doc_id, at, k, h, g: from every place, the shortest run with ``min_words`` words, however many sentences it takes."""
+    places = F.when(F.size("p") > 0, F.sequence(F.lit(0), F.size("p") - 1))
+    marks = F.filter(F.transform(places, lambda i: F.struct(i.alias("at"), shortest(i, 1, min_words).alias("k"))), lambda m: m["k"].isNotNull())
+    found = F.transform(marks, lambda m: F.struct(m["at"].alias("at"), m["k"].alias("k"), *hashed(F.slice("p", m["at"] + 1, m["k"]))))
+    return rows.select("row", "doc_id", F.explode(found).alias("y")).select("row", "doc_id", "y.at", "y.k", "y.h", "y.g")
+
+
+def runs_to(rows: DataFrame, min_words: int) -> DataFrame:
+    """As :func:`runs_from`, to every place from the one that leaves the shortest run, where that run has
+    ``min_words`` words without its last sentence too and starts at one of the row's ``starts``."""
+    places = F.when(F.size("p") > 0, F.sequence(F.lit(0), F.size("p") - 1))
+    marks = F.transform(places, lambda i: F.struct(i.alias("to"), shortest(i, -1, min_words).alias("k")))
+    marks = F.transform(F.filter(marks, lambda m: m["k"].isNotNull()), lambda m: F.struct((m["to"] - m["k"] + 1).alias("at"), m["k"].alias("k")))
+    longer = lambda m: F.aggregate(F.slice("p", m["at"] + 1, m["k"] - 1), F.lit(0), lambda n, p: n + p["w"]) >= min_words
+    marks = F.filter(marks, lambda m: longer(m) & F.array_contains("starts", m["at"]))
+    found = F.transform(marks, lambda m: F.struct(m["at"].alias("at"), m["k"].alias("k"), *hashed(F.slice("p", m["at"] + 1, m["k"]))))
+    return rows.select("row", "doc_id", F.explode(found).alias("y")).select("row", "doc_id", "y.at", "y.k", "y.h", "y.g")
+
+
+def repeated_runs(runs: DataFrame) -> DataFrame:
+    """The runs (row, doc_id, at, k) whose hash another place has too, with ``first``, the hash's first place."""
+    place = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), F.col("row").alias("r"), F.col("at").alias("a"))
+    firsts = materialize(runs.groupBy("h", "g", "k").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).filter("n > 1").drop("n"), "firsts")
+    return runs.join(firsts, ["h", "g", "k"]).select("row", "doc_id", "at", "k", "first")
+
+
+def all_runs(base: DataFrame, min_words: int) -> DataFrame:
+    """Repeated runs that together cover every sentence of every repeated run of ``min_words`` words.
+
+    A sentence of such a run is covered by the shortest run from it, if that ends in time, and
+    else by the shortest one to the run's end. The latter are the same as a shortest run from
+    some place or begin with one, which then is repeated too; so only those are hashed.
+    """
+    met = materialize(repeated_runs(runs_from(base.select("row", "doc_id", "p"), min_words)), "met")
+    starts = met.groupBy("row").agg(F.collect_set("at").alias("starts"))
+    ends = materialize(runs_to(base.select("row", "doc_id", "p").join(starts, "row"), min_words), "ends")
+    return met.unionByName(repeated_runs(ends))
+
+
 def repeated_sentences(
-    docs: DataFrame, min_words: int = MIN_WORDS, max_span: int = MAX_SPAN, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, min_words: int = MIN_WORDS, max_span: int | None = MAX_SPAN, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """Every document with its sentences and those that a repeated span covers.
 
     From every sentence, the shortest run of several sentences with ``min_words`` words is
     hashed (96 bits), and the sentence alone if it has as many; the hashes are joined over
-    all documents.
+    all documents. With ``max_span`` None every repeated run with ``min_words`` words is
+    marked in full, whatever its number of sentences (:func:`all_runs`).
     A hash's first place is the one of the smallest (doc_id, row, place); sentences that any
     other of its places covers are marked. Returns doc_id, row, parts, removed (sorted
     places), first_ids (sorted doc_ids of the first places). Works within a document too.
@@ -63,10 +121,8 @@ def repeated_sentences(
     """
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     base = materialize(split_sentences(rows).drop("text"), "sentences")
-    runs = spans(base.select("row", "doc_id", "p"), min_words, max_span)
-    place = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), F.col("row").alias("r"), F.col("at").alias("a"))
-    firsts = materialize(runs.groupBy("h", "g", "k").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).filter("n > 1").drop("n"), "firsts")
-    again = runs.join(firsts, ["h", "g", "k"]).filter((F.col("first.r") != F.col("row")) | (F.col("first.a") != F.col("at")))
+    again = all_runs(base, min_words) if max_span is None else repeated_runs(spans(base.select("row", "doc_id", "p"), min_words, max_span))
+    again = again.filter((F.col("first.r") != F.col("row")) | (F.col("first.a") != F.col("at")))
     covered = again.groupBy("row").agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.sequence("at", F.col("at") + F.col("k") - 1))))).alias("removed"),
         F.array_sort(F.collect_set("first.d")).alias("first_ids"),
@@ -79,14 +135,14 @@ def repeated_sentences(
 
 def drop_repeats(docs: DataFrame, **settings) -> DataFrame:
     """doc_id, row, text: the sentences that stay, one a line."""
-    found = repeated_sentences(docs, **settings)
+    found = repeated_sentences(docs, **{"max_span": None, **settings})
     kept = F.filter("parts", lambda p, i: ~F.array_contains("removed", i))
     return found.select("doc_id", "row", F.array_join(kept, "\n").alias("text"))
 
 
-def repeats_digest(docs: DataFrame) -> DataFrame:
+def repeats_digest(docs: DataFrame, **settings) -> DataFrame:
     """The query's rows: documents that lose sentences, where their first copies are, and a hash of what stays."""
-    found = repeated_sentences(docs).filter(F.size("removed") > 0).withColumnsRenamed({"removed": "gone", "first_ids": "firsts"})
+    found = repeated_sentences(docs, **settings).filter(F.size("removed") > 0).withColumnsRenamed({"removed": "gone", "first_ids": "firsts"})
     kept = F.filter("parts", lambda p, i: ~F.array_contains("gone", i))
     joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
     return found.select(
