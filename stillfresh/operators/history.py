@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import written
+
 SCOPE = ("org_id", "family", "namespace", "target_key")
 
 
@@ -121,13 +123,34 @@ def resolve_producers(inputs: DataFrame, current: DataFrame) -> DataFrame:
     return joined.withColumns({"producer_state": F.when(made, "build").otherwise("no_build"), "producer_logic": F.when(made, F.col("_logic"))}).drop("_built", "_logic")
 
 
+def last_known(rows: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
+    """Adds ``last``: the last ``value`` that isn't NULL at or before each row, in ``order`` within ``keys``.
+
+    Rows are cut by range into a written table, so that a hot key is split in that order;
+    what each part ends with is carried into the parts after it.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = written(rows.repartitionByRange(n, *keys, *order).withColumn("_part", F.spark_partition_id()))
+    ends = cut.groupBy("_part", *keys).agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*order))).alias("_end"))
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.withColumn("_carried", F.last("_end", ignorenulls=True).over(earlier)).filter("_carried IS NOT NULL").drop("_end")
+    within = Window.partitionBy("_part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = cut.withColumn("_seen", F.last(value, ignorenulls=True).over(within)).join(carried, ["_part", *keys], "left")
+    return seen.withColumn("last", F.coalesce("_seen", "_carried")).drop("_part", "_seen", "_carried")
+
+
 def batch_producers(reads: DataFrame, builds: DataFrame) -> DataFrame:
     """Forward as-of in one batch: the earliest build at or after the read, later records winning ties.
 
-    ``reads``: read_id, name, read_epoch; ``builds``: name, epoch, ord, logic_hash.
+    ``reads``: read_id, name, read_epoch; ``builds``: name, epoch, ord, logic_hash. Reads and
+    builds of a name are read backwards in time, so no read meets more than one build.
     """
-    later = reads.select("read_id", "name", "read_epoch").join(builds, "name").filter(F.col("epoch") >= F.col("read_epoch"))
-    first = later.groupBy("read_id").agg(F.min_by("logic_hash", F.struct("epoch", -F.col("ord"))).alias("logic_hash"))
+    read = reads.filter("read_epoch IS NOT NULL AND name IS NOT NULL").select(
+        "name", (-F.col("read_epoch")).alias("_t"), F.lit(1).alias("_kind"), F.xxhash64("read_id").alias("_ord"), "read_id"
+    )
+    built = builds.filter("epoch IS NOT NULL AND name IS NOT NULL").select("name", (-F.col("epoch")).alias("_t"), F.lit(0).alias("_kind"), F.col("ord").alias("_ord"), F.struct("logic_hash").alias("_build"))
+    met = last_known(read.unionByName(built, allowMissingColumns=True), ["name"], ["_t", "_kind", "_ord"], "_build")
+    first = met.filter("_kind = 1").select("read_id", F.col("last.logic_hash").alias("logic_hash"))
     return reads.join(first, "read_id", "left").withColumn("producer_state", F.when(F.col("logic_hash").isNotNull(), "build").otherwise("no_build"))
 
 
@@ -147,20 +170,43 @@ def resolve_deferred(executions: DataFrame, requests: DataFrame) -> DataFrame:
 def copy_chain_depth(history: DataFrame, max_depth: int = 5) -> DataFrame:
     """(id, depth) of copies: how many copies deep a state's source is, at most ``max_depth`` + 1.
 
-    ``history``: id, target_key, source_key (NULL for builds), created_ms, confirmed_ms. Each
-    step is a backward as-of join: the source's latest state confirmed by the copy's creation.
+    ``history``: id, target_key, source_key (NULL for builds), created_ms, confirmed_ms. A
+    copy's parent is its source's latest state with a smaller id that was confirmed by the
+    copy's creation; each step goes to the parent.
     """
-    states = history.select(F.col("id").alias("p_id"), F.col("target_key").alias("p_key"), F.col("source_key").alias("p_source"), F.col("created_ms").alias("p_created"), F.col("confirmed_ms").alias("p_confirmed"))
-    at = history.filter("source_key IS NOT NULL").select("id", F.col("id").alias("at_id"), F.col("source_key").alias("key"), F.col("created_ms").alias("at"), F.lit(1).alias("depth"))
+    copies = history.filter("source_key IS NOT NULL")
+    parents = written(copy_parents(history).join(copies.select(F.col("id").alias("parent")), "parent", "left_semi"))
+    at = copies.select("id", F.col("id").alias("at_id"), F.lit(1).alias("depth"))
     out = at.select("id", "depth")
+    hop = parents.select(F.col("id").alias("at_id"), "parent")
     for _ in range(max_depth):
-        step = at.join(states, F.col("key") == F.col("p_key")).filter((F.col("p_confirmed") <= F.col("at")) & (F.col("p_id") < F.col("at_id")))
-        best = step.groupBy("id").agg(F.max_by(F.struct("p_id", "p_source", "p_created", F.col("depth") + 1), F.struct("p_confirmed", "p_id")).alias("s"))
-        at = best.filter("s.p_source IS NOT NULL").select("id", F.col("s.p_id").alias("at_id"), F.col("s.p_source").alias("key"), F.col("s.p_created").alias("at"), F.col("s.col4").alias("depth"))
+        at = at.join(hop, "at_id").select("id", F.col("parent").alias("at_id"), (F.col("depth") + 1).alias("depth"))
         out = out.unionByName(at.select("id", "depth"))
     return out.groupBy("id").agg(F.max("depth").alias("depth"))
 
 
+def copy_parents(history: DataFrame) -> DataFrame:
+    """(id, parent) of copies: the state each copies, where one is known.
+
+    The smaller ids are a union of one block of ids for each bit that is set in the copy's
+    own; in each block the latest state by time is found as in :func:`last_known`. So rows
+    grow by the ids' number of bits, never by pairs.
+    """
+    ids = history.agg(F.min("id").alias("a"), F.max("id").alias("b")).first()
+    if ids.a is None:
+        return history.select("id", F.col("id").alias("parent")).limit(0)
+    bits = history.withColumn("_x", F.col("id") - F.lit(ids.a)).withColumn("_bit", F.explode(F.sequence(F.lit(0), F.lit(max(1, int(ids.b - ids.a).bit_length()) - 1))))
+    block, is_set = F.expr("shiftright(_x, _bit)"), F.expr("shiftright(_x, _bit) % 2 = 1")
+    states = bits.filter(~is_set & F.col("confirmed_ms").isNotNull() & F.col("target_key").isNotNull()).select(
+        F.col("target_key").alias("_key"), "_bit", block.alias("_block"), F.col("confirmed_ms").alias("_t"), F.lit(0).alias("_kind"), "id", F.struct("confirmed_ms", "id").alias("_state")
+    )
+    asked = bits.filter(is_set & F.col("created_ms").isNotNull() & F.col("source_key").isNotNull()).select(
+        F.col("source_key").alias("_key"), "_bit", (block - 1).alias("_block"), F.col("created_ms").alias("_t"), F.lit(1).alias("_kind"), "id"
+    )
+    met = last_known(asked.unionByName(states, allowMissingColumns=True), ["_key", "_bit", "_block"], ["_t", "_kind", "id"], "_state")
+    return met.filter("_kind = 1 AND last IS NOT NULL").groupBy("id").agg(F.max("last").alias("s")).select("id", F.col("s.id").alias("parent"))
+
+
 def copy_candidates(submissions: DataFrame, current: DataFrame, n: int = 16) -> DataFrame:
     """Other targets whose current state has a submission's namespace identity: the ``n`` latest of each.
 

@@ -292,6 +292,19 @@ def _(t):
     return out.select(F.substring_index("read_id", "|", 1).cast("long").alias("read_id"), "name", "read_epoch", "logic_hash", "producer_state")
 
 
+@query(
+    "c3_all_producers",
+    """SELECT read_id, r.name, read_epoch, logic_hash, CASE WHEN logic_hash IS NULL THEN 'no_build' ELSE 'build' END AS producer_state
+       FROM (SELECT execution_id AS read_id, name, min(epoch) AS read_epoch FROM inputs GROUP BY 1, 2) r
+       ASOF LEFT JOIN (SELECT target_key AS name, last_modified_epoch AS epoch, arg_max(logic_hash, id) AS logic_hash FROM executions WHERE last_modified_epoch IS NOT NULL GROUP BY 1, 2) b
+       ON r.name = b.name AND r.read_epoch <= b.epoch""",
+)
+def _(t):
+    reads = t("inputs").groupBy(F.struct("execution_id", "name").alias("read_id"), "name").agg(F.min("epoch").alias("read_epoch"))
+    builds = t("executions").select(F.col("target_key").alias("name"), F.col("last_modified_epoch").alias("epoch"), F.col("id").alias("ord"), "logic_hash")
+    return history.batch_producers(reads, builds).withColumn("read_id", F.col("read_id.execution_id"))
+
+
 CHAIN = "chain AS (SELECT id, target_key, CASE WHEN id % 2 = 0 THEN 'cat.s' || (id % 4) || '.t' || (id % 60) END AS source_key, created_ms, confirmed_ms FROM executions WHERE id % 7 = 0 AND confirmed_ms IS NOT NULL)"
 
 
@@ -313,6 +326,21 @@ def _(t):
     return history.copy_chain_depth(chain, 3)
 
 
+@query(
+    "c4_all_copy_chains",
+    "SELECT id, max(depth) AS depth FROM walk GROUP BY id",
+    CHAIN.replace("id % 7 = 0 AND ", ""),
+    """parents AS (SELECT id, parent FROM (SELECT c.id, p.id AS parent, p.source_key, row_number() OVER (PARTITION BY c.id ORDER BY p.confirmed_ms DESC, p.id DESC) AS n
+         FROM chain c JOIN chain p ON p.target_key = c.source_key AND p.confirmed_ms <= c.created_ms AND p.id < c.id) WHERE n = 1 AND source_key IS NOT NULL)""",
+    """walk AS (WITH RECURSIVE w AS (SELECT id, id AS at_id, 1 AS depth FROM chain WHERE source_key IS NOT NULL
+         UNION ALL SELECT w.id, p.parent, w.depth + 1 FROM w JOIN parents p ON p.id = w.at_id WHERE w.depth <= 3) SELECT * FROM w)""",
+)
+def _(t):
+    source = F.when(F.col("id") % 2 == 0, F.concat(F.lit("cat.s"), (F.col("id") % 4).cast("string"), F.lit(".t"), (F.col("id") % 60).cast("string")))
+    chain = t("executions").filter("confirmed_ms IS NOT NULL").select("id", "target_key", source.alias("source_key"), "created_ms", "confirmed_ms")
+    return history.copy_chain_depth(chain, 3)
+
+
 @query("c6_no_pending", "SELECT id FROM executions e WHERE confirmed_ms IS NOT NULL AND NOT EXISTS (SELECT 1 FROM executions p WHERE p.confirmed_ms IS NULL AND p.id % 5 = 0 AND p.org_id = e.org_id AND p.family = e.family AND p.target_key = e.target_key)")
 def _(t):
     e = t("executions")

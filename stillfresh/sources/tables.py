@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +26,14 @@ TRANSPORT = ("authorization", "proxy-authorization", "cookie", "set-cookie", "co
 CREDENTIAL = ("authorization", "cookie", "token", "secret", "password", "credential", "api-key", "api_key")
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder, so that its rows and their places are settled."""
+    base = df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
+    path = f"{base.rstrip('/')}/stillfresh-{uuid.uuid4().hex}/written"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_executions(spark: SparkSession, path: str) -> DataFrame:
     """The log under its fixed schema; columns that older files lack are NULL."""
     return spark.read.schema(EXECUTION).parquet(path)
