@@ -207,6 +207,12 @@ def _(t):
     return traces.audit_suppression(trace(t), claims).select("position", "equivalent", "proven")
 
 
+@query("m11_all_suppression", "SELECT position, equivalent, coalesce(c < position, false) AS proven FROM (SELECT position, 't' || (position % 50) AS equivalent FROM trace) LEFT JOIN (SELECT target, min(position) AS c FROM paired GROUP BY 1) ON target = equivalent", TRACE, PAIRED)
+def _(t):
+    claims = trace(t).selectExpr("position", "concat('t', position % 50) AS equivalent")
+    return traces.audit_suppression(trace(t), claims).select("position", "equivalent", "proven")
+
+
 @query("d18_trace_by_node", "SELECT uid, string_agg(method, ',' ORDER BY position) AS calls FROM trace GROUP BY 1", TRACE)
 def _(t):
     return traces.trace_by_node(trace(t)).select("uid", F.array_join(F.col("calls.method"), ",").alias("calls"))
@@ -269,6 +275,13 @@ def _(t):
     return t("nodes").select("uid").join(last, "uid", "left").join(counts, "uid", "left").select("uid", F.coalesce("decision", F.lit("none")).alias("decision"), F.coalesce("inputs", F.lit(0)).alias("inputs"))
 
 
+@query("m3_all_lineage", "SELECT n.uid, coalesce(d.decision, 'none') AS decision, count(i.name) AS inputs FROM nodes n LEFT JOIN (SELECT 'n' || split_part(node_uid, '.', 2) AS uid, arg_max(decision, decision_id) AS decision FROM decisions GROUP BY 1) d USING (uid) LEFT JOIN node_inputs i USING (uid) GROUP BY ALL")
+def _(t):
+    last = audit.dedupe_decisions(t("decisions").withColumn("uid", F.concat(F.lit("n"), F.split_part("node_uid", F.lit("."), F.lit(2)))), "uid").select("uid", "decision")
+    counts = t("node_inputs").groupBy("uid").agg(F.count("name").alias("inputs"))
+    return t("nodes").select("uid").join(last, "uid", "left").join(counts, "uid", "left").select("uid", F.coalesce("decision", F.lit("none")).alias("decision"), F.coalesce("inputs", F.lit(0)).alias("inputs"))
+
+
 @query("m7_audit_table", "SELECT k, n, side FROM (SELECT k, n, 'left' AS side FROM (SELECT k, n FROM prev EXCEPT ALL SELECT k, n FROM prev WHERE n % 5 > 0) UNION ALL SELECT k, n, 'right' FROM (SELECT k, n FROM prev WHERE n % 5 > 0 EXCEPT ALL SELECT k, n FROM prev))")
 def _(t):
     rows = t("prev").select("k", "n")

@@ -171,6 +171,12 @@ def _(t):
     return tables.day_bounds(spans, "a", "b").select("n_nationkey", F.col("day").cast("string"))
 
 
+@query("h22_order_days", "SELECT o_orderkey, CAST(unnest(range(CAST(o_orderdate AS DATE), CAST(o_orderdate AS DATE) + CAST(o_orderkey % 5 + 1 AS INTEGER), INTERVAL 1 DAY)) AS DATE)::VARCHAR AS day FROM orders")
+def _(t):
+    spans = t("orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("a")).withColumn("b", F.date_add("a", (F.col("o_orderkey") % 5).cast("int")))
+    return tables.day_bounds(spans, "a", "b").select("o_orderkey", F.col("day").cast("string"))
+
+
 # --- history ----------------------------------------------------------------------------------
 
 
@@ -347,6 +353,12 @@ def _(t):
     return history.no_pending(e.filter("confirmed_ms IS NOT NULL"), e.filter("confirmed_ms IS NULL AND id % 5 = 0")).select("id")
 
 
+@query("c6_all_pending", "SELECT id FROM executions e WHERE confirmed_ms IS NOT NULL AND NOT EXISTS (SELECT 1 FROM executions p WHERE p.confirmed_ms IS NULL AND p.org_id = e.org_id AND p.family = e.family AND p.target_key = e.target_key)")
+def _(t):
+    e = t("executions")
+    return history.no_pending(e.filter("confirmed_ms IS NOT NULL"), e.filter("confirmed_ms IS NULL")).select("id")
+
+
 CANDIDATES = """met AS (SELECT submission_id, c.target_key AS source_key, last_modified_epoch AS source_epoch, row_number() OVER (PARTITION BY submission_id ORDER BY last_modified_epoch DESC, c.target_key) AS rank, c.id AS source_id
   FROM submissions s JOIN current c ON s.org_id = c.org_id AND s.family = c.family AND s.namespace_hash = c.namespace_hash AND s.target_key <> c.target_key WHERE last_modified_epoch IS NOT NULL)"""
 
