@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .common import held_out, map_batches, materialize, texts
 
 WORD = re.compile(r"[^\W\d_]+")
+BEYOND_ASCII, CAPITALS = re.compile(r"[^\x00-\x7f]+"), b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 STEMS = (4, 5, 6, 7)
 MAX_TRAIN = 12_000
 MAX_TERMS = 400
@@ -43,7 +44,11 @@ def lexicon_hits(text: str, lexicon: dict[str, int], starts: set[str]) -> list[i
 def shape(text: str) -> tuple[float, float, float]:
     """What the pattern voters see: share of capitals, exclamation marks, log of the length."""
     n = max(1, len(text))
-    return sum(map(str.isupper, text[:: max(1, n // 2000)])) / len(text[:: max(1, n // 2000)] or " "), text.count("!!") / n, float(np.log1p(n))
+    plain = text.encode("ascii", "ignore")
+    capitals = len(plain) - len(plain.translate(None, CAPITALS))
+    if len(plain) < len(text):
+        capitals += sum(map(str.isupper, "".join(BEYOND_ASCII.findall(text))))
+    return capitals / n, text.count("!!") / n, float(np.log1p(n))
 
 
 @dataclass

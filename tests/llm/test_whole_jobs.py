@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-from stillfresh.llm import sentences
+from stillfresh.llm import sentences, toxicity
 
 
 def brute_repeats(texts, min_words=25):
@@ -32,3 +32,8 @@ def test_repeats_of_short_sentences(spark):
     got = {r.doc_id: r.removed for r in sentences.repeats_digest(rows, max_span=None).collect()}
     assert got == {d: ",".join(map(str, g)) for d, g in brute_repeats(texts).items()}
     assert {r.doc_id: r.text for r in sentences.drop_repeats(rows).collect()} == {d: "\n".join(p for i, p in enumerate(t) if i not in brute_repeats(texts).get(d, ())) for d, t in texts.items()}
+
+
+def test_capitals_of_the_whole_text():
+    for text in ("Abc" * 4_000, "xÄy" * 3_000, "Aa" * 3_000 + "ΑΣσİß日Ǆǅ" * 500, "", "É", "aB"):
+        assert toxicity.shape(text)[0] == sum(map(str.isupper, text)) / max(1, len(text))
