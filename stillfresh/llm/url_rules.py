@@ -18,7 +18,7 @@ RULES = (
 )
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLOCKED = "verdict=block"
-MIN_SUPPORT, MIN_CONFIDENCE, MAX_TOKENS, MIN_COUNT = 0.005, 0.7, 24, 5
+MIN_SUPPORT, MIN_CONFIDENCE, MIN_COUNT = 0.005, 0.7, 5
 
 
 def url_parts(pages: DataFrame) -> DataFrame:
@@ -42,18 +42,22 @@ def rule_of(host: Column, path: Column) -> tuple[Column, Column]:
 
 
 def url_tokens(host: Column, path: Column, query: Column) -> Column:
-    """At most MAX_TOKENS distinct tokens: host labels from the right, path words by depth, file ending, query names.
-
-    The bound is on one url's tokens, never on rows: FP-growth's work grows with the subsets
-    of one row's frequent tokens. Labels and words are taken from the top of the host and path.
-    """
+    """All distinct tokens: host labels from the right, path words by depth, file ending, query names."""
     labels = F.reverse(F.split(host, r"\."))
-    tld = F.transform(F.slice(labels, 1, 4), lambda x, i: F.concat(F.lit("h"), i.cast("string"), F.lit("="), x))
+    tld = F.transform(labels, lambda x, i: F.concat(F.lit("h"), i.cast("string"), F.lit("="), x))
     words = F.filter(F.split(path, "/"), lambda x: x != "")
-    steps = F.transform(F.slice(words, 1, 4), lambda x, i: F.concat(F.lit("p"), i.cast("string"), F.lit("="), F.regexp_replace(x, "[0-9]+", "0")))
+    steps = F.transform(words, lambda x, i: F.concat(F.lit("p"), i.cast("string"), F.lit("="), F.regexp_replace(x, "[0-9]+", "0")))
     ending = F.array(F.concat(F.lit("end="), F.regexp_extract(path, r"(\.[A-Za-z0-9]{1,6}|/)$", 1)))
-    names = F.transform(F.slice(F.filter(F.split(query, "&"), lambda x: x != ""), 1, 6), lambda x: F.concat(F.lit("q="), F.substring_index(x, "=", 1)))
-    return F.slice(F.array_distinct(F.concat(tld, steps, ending, names)), 1, MAX_TOKENS)
+    names = F.transform(F.filter(F.split(query, "&"), lambda x: x != ""), lambda x: F.concat(F.lit("q="), F.substring_index(x, "=", 1)))
+    return F.array_distinct(F.concat(tld, steps, ending, names))
+
+
+def twins(labelled: DataFrame, least: float) -> DataFrame:
+    """(lead, members) of the tokens in ``least`` urls or more: those that always come together form one group."""
+    each = labelled.select(F.explode("tokens").alias("t"), F.xxhash64("tokens").cast("decimal(38,0)").alias("a"), F.xxhash64(F.lit(1), "tokens").cast("decimal(38,0)").alias("b"))
+    seen = each.groupBy("t").agg(F.count(F.lit(1)).alias("n"), F.sum("a").alias("a"), F.sum("b").alias("b")).filter(F.col("n") >= least)
+    groups = seen.groupBy("n", "a", "b").agg(F.sort_array(F.collect_list("t")).alias("members"))
+    return materialize(groups.select(F.element_at("members", 1).alias("lead"), "members"), "twins")
 
 
 def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
@@ -61,13 +65,21 @@ def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confid
 
     ``labelled`` has tokens and verdict of all labelled urls. FP-growth finds the token sets
     with ``min_support`` (and in five urls at least); rules under ``min_confidence`` go, and so do rules that hold a
-    shorter one of at least their confidence. Support bounds the tokens (at most
-    MAX_TOKENS / min_support are frequent), not the rows.
+    shorter one of at least their confidence. Support bounds the tokens (at most a url's mean
+    number of tokens / min_support are frequent), not the rows. FP-growth's work grows with the
+    subsets of one url's tokens, so tokens that always come together are mined as one; a rule
+    then holds for each of them, and those that hold two of them would go anyway.
     """
-    baskets = labelled.select(F.concat("tokens", F.array(F.concat(F.lit("verdict="), "verdict"))).alias("items"))
-    share = min(1.0, max(min_support, MIN_COUNT / max(1, baskets.count())))
+    n = labelled.count()
+    share = min(1.0, max(min_support, MIN_COUNT / max(1, n)))
+    groups = twins(labelled, share * n - 1e-6)
+    leads = groups.agg(F.sort_array(F.collect_list("lead")).alias("leads"), F.map_from_entries(F.collect_list(F.struct("lead", "members"))).alias("of"))  # one row
+    kept = labelled.crossJoin(F.broadcast(leads.select("leads")))
+    baskets = kept.select(F.concat(F.array_intersect("tokens", "leads"), F.array(F.concat(F.lit("verdict="), "verdict"))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=share, minConfidence=min_confidence).fit(baskets)
-    rules = materialize(model.associationRules.filter(F.array_contains("consequent", BLOCKED)).select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support"), "rules")
+    mined = model.associationRules.filter(F.array_contains("consequent", BLOCKED)).crossJoin(F.broadcast(leads.select("of")))
+    spread = F.aggregate("antecedent", F.array(F.array().cast("array<string>")), lambda out, x: F.flatten(F.transform(out, lambda o: F.transform(F.col("of")[x], lambda m: F.concat(o, F.array(m))))))
+    rules = materialize(mined.select(F.explode(spread).alias("antecedent"), "confidence", "support").select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support"), "rules")
     short, long = rules.alias("s"), rules.alias("l")
     # a rule's shorter forms hold its first or its second token in order: found by an index of tokens
     index = short.select(F.explode("antecedent").alias("t"), F.col("antecedent").alias("a"), F.col("confidence").alias("c"))

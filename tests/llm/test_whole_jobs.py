@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-from stillfresh.llm import sentences, toxicity
+from stillfresh.llm import sentences, toxicity, url_rules
 
 
 def brute_repeats(texts, min_words=25):
@@ -37,3 +37,11 @@ def test_repeats_of_short_sentences(spark):
 def test_capitals_of_the_whole_text():
     for text in ("Abc" * 4_000, "xÄy" * 3_000, "Aa" * 3_000 + "ΑΣσİß日Ǆǅ" * 500, "", "É", "aB"):
         assert toxicity.shape(text)[0] == sum(map(str.isupper, text)) / max(1, len(text))
+
+
+def test_deep_urls(spark):
+    deep = "/".join(f"d{i}" for i in range(40))
+    urls = [f"http://a.b.c.d.e{i % 2}.f.org/p/q/r/s/{'bad' if i % 3 == 0 else 'good'}/x{'' if i % 5 else '?a&b&c&d&e&f&g&h'}" for i in range(90)] + [f"http://x.org/{deep}"] * 30
+    labels = [(i, "block" if "/bad/" in u else "allow") for i, u in enumerate(urls) if i < 60 or "d39" in u]
+    out = url_rules.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), spark.createDataFrame(labels, "page_id long, verdict string")).collect()
+    assert {r.page_id: r.verdict for r in out} == {i: "block" if "/bad/" in u else "allow" for i, u in enumerate(urls)}
