@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -16,10 +17,15 @@ CHECKPOINT_SETTING = "spark.checkpoint.dir"
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder under the cluster's shared checkpoint folder.
 
-    The setting is read from the session; only where it is unset (local tests) a
-    temporary folder of this machine stands in.
+    The setting is read from the session. Where it is unset, a temporary folder of this
+    machine stands in if all of Spark runs on it; on a cluster that is an error, as other
+    executors could not read the folder.
     """
-    base = spark.conf.get(CHECKPOINT_SETTING, None) or f"file://{tempfile.gettempdir()}"
+    base = spark.conf.get(CHECKPOINT_SETTING, None)
+    if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError(f"set {CHECKPOINT_SETTING} to a folder that all executors share")
+        base = f"file://{tempfile.gettempdir()}"
     return f"{base.rstrip('/')}/stillfresh-{uuid.uuid4().hex}/{name}"
 
 
@@ -37,6 +43,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one that ``df`` has no column of (names differ in more than case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text) only, so that extra columns cannot clash; a null text is empty."""
     return docs.select(

@@ -1,16 +1,17 @@
 """N-gram Jaccard join: exact links between documents' shingle sets, and their components.
 
-1. Documents with equal sets fall into one class at once; the rest works on classes.
-2. Two sets of Jaccard similarity t share one of the first n - ceil(t * n) + 1 tokens of
-   either, in any common order of tokens. The order here is by how often a token's bucket
-   occurs in all documents (a sketch of fixed size), so that common passages come last.
-3. Tiles hold the classes that share such a token, in bands of set size. In each tile the
-   first class is held against the others; what links joins a component.
-4. Only tiles that still hold several components are worked through in full, in blocks of
-   bounded size. Bitmaps of hashed tokens bound the overlap of two sets from above
-   (their symmetric difference has at least as many members as the bitmaps differ in
-   bits), and so do the tokens that their prefixes share; pairs beyond a bound go no
-   further. The rest are intersected exactly.
+1. Documents with equal sets form one class at once; links are sought between classes.
+2. Two sets of similarity t and sizes a <= b differ in at most k = a * (1 - t) / t members.
+   Sets of one band of sizes, and those of the next, are cut into more than k parts by their
+   members' hashes, so the parts of two similar sets can't all differ: some part of both is
+   the same. Each part's hash is a signature, its tile. Of k + 1 + e parts the e lightest of
+   a set are not sent, as 1 + e parts must be the same and both sets rank these alike.
+3. Classes that share a tile are candidates; candidates that hang together form a group.
+   Chance hardly makes groups, as a whole part must be the same.
+4. Each group is worked through in blocks of bounded size. A bitmap of hashed members bounds
+   two sets' overlap from above (their difference has at least as many members as the bitmaps
+   differ in bits); what passes is intersected exactly, as sorted arrays. A block returns no
+   more than the links that join its components, so no pairs pile up.
 """
 
 from __future__ import annotations
@@ -24,12 +25,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, texts
+from .common import fresh, materialize, texts
 
-SKETCH_BITS = 20
-CHUNK_BITS = 12
-BITMAP_BITS = 1024
-BLOCK = 256
+BLOCK_CLASSES, BLOCK_TOKENS = 2048, 1 << 20
+BATCH_BYTES = 4 << 20
+SIG_BYTES = 6
+SALTS = 8
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
@@ -50,19 +51,21 @@ def shingle_sets(batch_texts: pa.Array, width: int) -> list[np.ndarray]:
     hashes = np.fromiter((xxhash.xxh64_intdigest(w.encode().lower()) for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
     hashed = hashes[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else np.zeros(0, np.uint64)
     real = np.asarray(pc.binary_length(flat)) > 0 if len(flat) else np.zeros(0, bool)
-    cuts = np.asarray(words.offsets) - words.offsets[0].as_py()
-    out = []
+    cuts = np.concatenate([[0], np.cumsum(real)])[np.asarray(words.offsets) - words.offsets[0].as_py()]
+    h = hashed[real]
     with np.errstate(over="ignore"):
+        whole = np.full(max(0, len(h) - width + 1), width, np.uint64)
+        for i in range(width):
+            whole = mixed(whole * _MIX[i % 3] + h[i : len(h) - width + 1 + i]) if len(whole) else whole
+        out = []
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            h = hashed[a:b][real[a:b]]
-            k = min(width, len(h))
-            if not k:
-                out.append(h)
-                continue
-            s = np.full(len(h) - k + 1, k, np.uint64)
-            for i in range(k):
-                s = mixed(s * _MIX[i % 3] + h[i : len(h) - k + 1 + i])
-            out.append(np.unique(s))
+            if b - a >= width:
+                out.append(np.unique(whole[a : b - width + 1]))
+            else:
+                s = np.full(min(1, b - a), b - a, np.uint64)
+                for i in range(b - a):
+                    s = mixed(s * _MIX[i % 3] + h[a + i])
+                out.append(s)
     return out
 
 
@@ -70,46 +73,156 @@ def fingerprint(s: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(s.tobytes()) if len(s) else b""
 
 
-def bitmap(s: np.ndarray) -> bytes:
-    bits = np.zeros(BITMAP_BITS, np.uint8)
-    bits[(s & np.uint64(BITMAP_BITS - 1)).astype(np.int64)] = 1
-    return np.packbits(bits).tobytes()
+def size_bands(percent: int, most: int) -> np.ndarray:
+    """Least sizes of the bands; a set's partners lie in its own band or the ones next to it."""
+    out = [1]
+    while out[-1] <= most:
+        out.append(out[-1] * 100 // percent + 1)
+    return np.array([*out, out[-1] * 100 // percent + 1], np.int64)
 
 
-def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+def signatures(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the set, 48-bit signature) of the parts that the sets send, sorted by set.
+
+    A set has parts in the tiles of its own band and, where it can be the larger one of a
+    pair, in those of the band below. Parts are stretches of the range of hashes.
+    """
+    n = np.array([len(s) for s in sets], np.int64)
+    flat = np.concatenate(sets) if len(sets) else np.zeros(0, np.uint64)
+    first = np.concatenate([[0], np.cumsum(n)])
+    bands = size_bands(percent, int(n.max(initial=0)))
+    own = np.searchsorted(bands, n, side="right") - 1
+    owners, sigs = [], []
+    for below in (0, 1):
+        band = own - below
+        top = bands[np.maximum(band, 0) + 1] - 1
+        k = top * (100 - percent) // percent
+        used = np.flatnonzero((n > 0) & (band >= 0) & (k > 0) & (n <= top * 100 // percent))
+        if not len(used):
+            continue
+        k, band = k[used], band[used].astype(np.uint64)
+        m = k + 1 + (k + 3) // 4
+        base = np.concatenate([[0], np.cumsum(m)])
+        owner = np.repeat(np.arange(len(used)), n[used])
+        at = np.repeat(first[used], n[used]) + np.arange(len(owner)) - np.repeat(np.concatenate([[0], np.cumsum(n[used])[:-1]]), n[used])
+        tokens = flat[at]
+        with np.errstate(over="ignore"):
+            part = base[owner] + (((tokens >> np.uint64(32)) * m[owner].astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
+            begins = np.flatnonzero(np.diff(part, prepend=-1))
+            total = np.zeros(base[-1], np.uint64)
+            total[part[begins]] = np.add.reduceat(mixed(tokens ^ _MIX[1]), begins)
+            size = np.bincount(part, minlength=base[-1])
+            row = np.repeat(np.arange(len(used)), m)
+            place = (np.arange(base[-1]) - base[row]).astype(np.uint64)
+            sig = mixed(mixed(total + _MIX[2]) + (band[row] << np.uint64(32)) + place) >> np.uint64(16)
+        order = np.argsort((row << 24) - np.minimum(size, (1 << 24) - 1), kind="stable")
+        sent = order[np.arange(base[-1]) - base[row] <= k[row]]
+        owners.append(used[row[sent]])
+        sigs.append(sig[sent])
+    if not owners:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    owner, sig = np.concatenate(owners), np.concatenate(sigs)
+    order = np.argsort(owner, kind="stable")
+    return owner[order], sig[order]
+
+
+def by_bytes(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
+    """The batches cut where their texts reach a few megabytes."""
     for b in batches:
-        for i in range(0, b.num_rows, rows):
-            yield b.slice(i, rows)
+        if b.num_rows:
+            size = pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False)
+            chunk = (np.cumsum(size.astype(np.int64) + 64) - 1) // BATCH_BYTES
+            cuts = [0, *(np.flatnonzero(np.diff(chunk)) + 1).tolist(), b.num_rows]
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                yield b.slice(i, j - i)
+
+
+def packed(values: np.ndarray, counts: np.ndarray, width: int) -> pa.Array:
+    """Binary values holding ``counts`` numbers each, ``width`` low bytes of every one."""
+    raw = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width])
+    ends = np.concatenate([[0], np.cumsum(counts)]) * width
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(raw)]).cast(pa.binary())
+
 
+def unpacked(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers, how many each value holds) of :func:`packed` values."""
+    counts = np.asarray(pc.binary_length(column)) // width
+    raw = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width)
+    wide = np.zeros((len(raw), 8), np.uint8)
+    wide[:, :width] = raw
+    return wide.view("<u8").reshape(-1), counts
 
-def token_sketch(rows: DataFrame, width: int) -> np.ndarray:
-    """How many documents have a token in each of 2^20 buckets; over all documents.
 
-    Tasks send one row for each stretch of buckets; the sum has a fixed size (4 MB).
+def keyed(rows: DataFrame, width: int, percent: int) -> DataFrame:
+    """doc_id, key, n, fp, h, sigs of every document: one written table.
+
+    ``h``, the first 48 bits of the set's fingerprint, names classes while candidates are
+    sought; ``fp`` is the whole fingerprint.
     """
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("fp", pa.binary()), ("h", pa.int64()), ("sigs", pa.binary())])
+
+    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in by_bytes(batches):
+            sets = shingle_sets(b.column(2), width)
+            owner, sig = signatures(sets, percent)
+            fps = [fingerprint(s) for s in sets]
+            h = pa.array([int.from_bytes(f[:6], "little") for f in fps], pa.int64())
+            sigs = packed(sig, np.bincount(owner, minlength=len(sets)), SIG_BYTES)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(fps, pa.binary()), h, sigs], schema=schema)
+
+    return materialize(rows.mapInArrow(one, "doc_id bigint, key bigint, n bigint, fp binary, h bigint, sigs binary"), "keyed")
+
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << SKETCH_BITS, np.int64)
-        for b in small_batches(batches):
-            tokens = np.concatenate(shingle_sets(b.column(0), width))
-            counts += np.bincount((tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts))
-        parts = counts.reshape(-1, 1 << CHUNK_BITS)
-        used = np.flatnonzero(parts.any(axis=1))
-        if len(used):
-            low = np.minimum(parts[used], (1 << 31) - 1).astype("<u4")
-            yield pa.RecordBatch.from_arrays([pa.array(used), pa.array([p.tobytes() for p in low], pa.binary())], ["chunk", "counts"])
-
-    def add(key, table):
-        total = np.zeros(1 << CHUNK_BITS, np.int64)
-        for raw in table.column("counts").to_pylist():
-            total += np.frombuffer(raw, "<u4")
-        return pa.Table.from_arrays([pa.array([key[0].as_py()]), pa.array([np.minimum(total, (1 << 31) - 1).astype("<u4").tobytes()], pa.binary())], ["chunk", "counts"])
-
-    parts = rows.select("text").mapInArrow(count, "chunk bigint, counts binary")
-    out = np.zeros((1 << (SKETCH_BITS - CHUNK_BITS), 1 << CHUNK_BITS), np.uint32)
-    for r in parts.groupBy("chunk").applyInArrow(add, "chunk bigint, counts binary").collect():
-        out[r.chunk] = np.frombuffer(r.counts, "<u4")
-    return out.reshape(-1)
+def runs_of(sig: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of (sig, h) rows: each signature once with its least h, and the links least h - other h."""
+    order = np.lexsort((h, sig))
+    sig, h = sig[order], h[order]
+    new = np.diff(sig, prepend=sig[:1] ^ np.uint64(1)) != 0 if len(sig) else np.zeros(0, bool)
+    head = h[new][np.cumsum(new) - 1] if len(sig) else h
+    other = head != h
+    links = np.unique(np.stack([head[other], h[other]], axis=1), axis=0) if other.any() else np.zeros((0, 2), np.int64)
+    return sig[new], h[new], links[:, 0], links[:, 1]
+
+
+def candidate_links(table: DataFrame) -> DataFrame:
+    """(a, b): classes h that share a signature, each with one least class of that signature.
+
+    Tasks first join what they hold of a signature and send one class on, so a signature
+    with a third of all rows sends no more than one entry from each batch. Signatures are
+    dealt out by their first bits, into groups of about 2^19 of them.
+    """
+    bits = min(24, max(8, int(np.ceil(np.log2(1 + (table.agg(F.sum(F.length("sigs"))).first()[0] or 0) / SIG_BYTES / (1 << 19))))))
+    low, schema = np.uint64(48 - bits), pa.schema([("bucket", pa.int32()), ("sigs", pa.binary()), ("hs", pa.binary())])
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for b in batches:
+            hs = b.column(0).to_pylist()
+            new = [h not in seen and not seen.add(h) for h in hs]
+            b = b.filter(pa.array(new, pa.bool_()))
+            if not b.num_rows:
+                continue
+            sig, counts = unpacked(b.column(1), SIG_BYTES)
+            sig, h, a, c = runs_of(sig, np.repeat(b.column(0).to_numpy(), counts))
+            buckets, per = np.unique(sig >> low, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(buckets.astype(np.int32)), packed(sig, per, SIG_BYTES), packed(h, per, SIG_BYTES)], schema=schema)
+            if len(a):  # links found here: rows of their own, dealt by one of their classes
+                order = np.argsort(a, kind="stable")
+                at, per = np.unique(a[order] % (1 << bits), return_counts=True)
+                order = np.argsort(a % (1 << bits), kind="stable")
+                yield pa.RecordBatch.from_arrays([pa.array((-1 - at).astype(np.int32)), packed(a[order], per, SIG_BYTES), packed(c[order], per, SIG_BYTES)], schema=schema)
+
+    def meet(key, t):
+        first, second = (unpacked(t.column(c).combine_chunks(), SIG_BYTES)[0] for c in ("sigs", "hs"))
+        if key[0].as_py() < 0:
+            both = np.unique(np.stack([first, second], axis=1).astype(np.int64), axis=0)
+            a, b = both[:, 0], both[:, 1]
+        else:
+            _, _, a, b = runs_of(first, second.astype(np.int64))
+        return pa.Table.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    routed = table.filter("n > 0").select("h", "sigs").mapInArrow(route, "bucket int, sigs binary, hs binary")
+    return routed.groupBy("bucket").applyInArrow(meet, "a bigint, b bigint")
 
 
 def member_filter(hashes: DataFrame, most_bits: int = 28) -> np.ndarray:
@@ -131,229 +244,145 @@ def passes(bitset: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (bitset[place >> 6] >> (place & 63)) & 1 == 1
 
 
-def prefix_of(s: np.ndarray, sketch: np.ndarray, percent: int) -> np.ndarray:
-    """The first n - ceil(percent * n / 100) + 1 tokens, rarest buckets first."""
-    n = len(s)
-    p = n + percent * -n // 100 + 1
-    often = np.minimum(sketch[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], (1 << SKETCH_BITS) - 1).astype(np.uint64)
-    order = (often << np.uint64(64 - SKETCH_BITS)) | (s & np.uint64((1 << (64 - SKETCH_BITS)) - 1))
-    return s[np.argsort(order, kind="stable")[:p]]
-
-
-def keyed(rows: DataFrame, sketch: np.ndarray, width: int, percent: int) -> DataFrame:
-    """doc_id, key, n, fp, bits, prefix of every document: one written table."""
-    shared = rows.sparkSession.sparkContext.broadcast(sketch)
-    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("fp", pa.binary()), ("bits", pa.binary()), ("prefix", pa.list_(pa.int64()))])
-
-    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in small_batches(batches):
-            sets = shingle_sets(b.column(2), width)
-            prefix = [prefix_of(s, shared.value, percent).view(np.int64) if len(s) else s.view(np.int64) for s in sets]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) for s in sets], pa.binary()), pa.array([bitmap(s) for s in sets], pa.binary()), pa.array(prefix, pa.list_(pa.int64()))],
-                schema=schema,
-            )
-
-    return materialize(rows.mapInArrow(one, "doc_id bigint, key bigint, n bigint, fp binary, bits binary, prefix array<bigint>"), "keyed")
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(v, root) of every vertex in ``edges`` (a, b): root is its component's least vertex.
 
     Alternating large-star and small-star rounds (Kiveris and others, 2014): each round
     joins every vertex's neighbours to the least one it knows, so paths shorten by half or
-    more. Each round's edges are a written table; rounds end when the edges stay the same.
+    more. Each round's edges are a written table; rounds end when no edge is new.
     """
     e = materialize(edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).filter("v <> u").distinct(), "edges")
-    before = None
-    while True:
+    hashed = [F.sum(F.xxhash64(F.lit(seed), "v", "u").cast("decimal(38,0)")) for seed in (1, 2)]
+    before = tuple(e.agg(F.count(F.lit(1)), *hashed).first())
+    while before[0]:
         both = e.unionByName(e.select(F.col("u").alias("v"), F.col("v").alias("u")))
         least = both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("m"))
         large = both.join(least, "v").filter("u > v").select(F.col("u").alias("v"), F.col("m").alias("u")).filter("v <> u").distinct()
         low = large.groupBy("v").agg(F.min("u").alias("m"))
-        small = large.join(low, "v").select(F.explode(F.array(F.struct("v", F.col("m").alias("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))).alias("x"))
-        e = materialize(small.select("x.v", "x.u").filter("v <> u").distinct(), "edges")
-        now = tuple(e.agg(F.count(F.lit(1)), F.sum((F.xxhash64("v", "u") % 1_000_003).cast("long"))).first())
+        met = large.join(low, "v")  # all of v's smaller neighbours, and v itself, go to the least of them
+        small = met.select(F.col("u").alias("v"), F.col("m").alias("u")).unionByName(low.select("v", F.col("m").alias("u")))
+        e = materialize(small.filter("v <> u").distinct(), "edges")
+        now = tuple(e.agg(F.count(F.lit(1)), *hashed).first())
         if now == before:
-            return e.select("v", F.col("u").alias("root")).unionByName(e.select(F.col("u").alias("v"), F.col("u").alias("root")).distinct())
+            break
         before = now
+    return e.select("v", F.col("u").alias("root")).unionByName(e.select(F.col("u").alias("v"), F.col("u").alias("root")).distinct())
 
 
 def enough(n_a, n_b, common, percent: int):
     return 100 * common >= percent * (n_a + n_b - common)
 
 
-def prefix_bound(n_a: int, n_b: int, p_a: int, p_b: int, common: int) -> int:
-    """Most members that two sets can share, given their prefixes' sizes and common tokens.
-
-    Up to the earlier of the two prefixes' last tokens, what is shared lies in both prefixes.
-    So the set whose prefix ends first shares ``common`` tokens there, and after it no more
-    than it has left.
-    """
-    return common + max(n_a - p_a, n_b - p_b)
+def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of bits for each set: about 16 for each member of a mean set, 2^16 at most."""
+    mean = sum(map(len, sets)) / max(1, len(sets))
+    size = 1 << int(min(16, max(8, np.ceil(np.log2(16 * mean + 1)))))
+    out = np.zeros((len(sets), size), np.uint8) if size * len(sets) <= 1 << 26 else None
+    if out is None:
+        out = np.zeros((len(sets), 1 << 12), np.uint8)
+    for i, s in enumerate(sets):
+        out[i, (s & np.uint64(out.shape[1] - 1)).astype(np.int64)] = 1
+    return np.packbits(out, axis=1).view(np.uint64)
 
 
-def bound_ok(percent: int):
-    """Whether bitmaps and prefixes of a pair leave room for enough overlap; columns n, bits, prefix of a and b."""
+def block_links(sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Pairs (numbers of sets) whose links join the block's components; no more than sets.
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            view = lambda k: np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint64).reshape(-1, BITMAP_BITS // 64)
-            differ = np.bitwise_count(view("bits_a") ^ view("bits_b")).sum(axis=1).astype(np.int64)
-            n_a, n_b = (b.column(k).to_numpy(zero_copy_only=False) for k in ("n_a", "n_b"))
-            good = enough(n_a, n_b, (n_a + n_b - differ) // 2, percent)
-            for i in np.flatnonzero(good).tolist():
-                x, y = (b.column(k)[i].values.to_numpy() for k in ("prefix_a", "prefix_b"))
-                good[i] = enough(int(n_a[i]), int(n_b[i]), prefix_bound(int(n_a[i]), int(n_b[i]), len(x), len(y), len(np.intersect1d(x, y, assume_unique=True))), percent)
-            yield b.filter(pa.array(good)).select(["a", "b"])
-
-    return keep
-
-
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough, by exact intersection of their arrays."""
-    left = sets.select(F.col("fp").alias("a"), F.col("tokens").alias("x"))
-    right = sets.select(F.col("fp").alias("b"), F.col("tokens").alias("y"))
-    both = pairs.join(left, "a").join(right, "b")
-
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in small_batches(iter([whole]), 500):
-                x, y = b.column("x"), b.column("y")
-                xs, ys = x.flatten().to_numpy(), y.flatten().to_numpy()
-                xo, yo = (np.asarray(c.offsets) - c.offsets[0].as_py() for c in (x, y))
-                good = []
-                for i in range(b.num_rows):
-                    s, t = xs[xo[i] : xo[i + 1]], ys[yo[i] : yo[i + 1]]
-                    common = len(np.intersect1d(s, t, assume_unique=True))
-                    good.append(bool(enough(len(s), len(t), common, percent)))
-                yield b.filter(pa.array(good)).select(["a", "b"])
-
-    return both.select("a", "b", "x", "y").mapInArrow(exact, "a binary, b binary")
-
-
-def sets_of(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(fp, tokens) of the wanted classes (key, fp), each from one of its documents.
-
-    The texts stay where they are: a bitset of the wanted keys picks the documents whose
-    shingles are hashed again, and only their tokens move.
+    ``side``: in a block of two different halves only sets of different sides are compared.
     """
-    shared = rows.sparkSession.sparkContext.broadcast(member_filter(wanted.select(F.xxhash64("key").alias("h"))))
-    schema = pa.schema([("fp", pa.binary()), ("tokens", pa.list_(pa.int64()))])
-
-    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in small_batches(batches):
-            b = b.filter(pa.array(passes(shared.value, b.column(0).to_numpy())))
-            if b.num_rows:
-                sets = shingle_sets(b.column(1), width)
-                yield pa.RecordBatch.from_arrays([pa.array([fingerprint(s) for s in sets], pa.binary()), pa.array([np.sort(s.view(np.int64)) for s in sets], pa.list_(pa.int64()))], schema=schema)
-
-    found = rows.select(F.xxhash64("key").alias("h"), "text").mapInArrow(one, "fp binary, tokens array<bigint>")
-    return materialize(found.join(wanted.select("fp"), "fp", "left_semi").dropDuplicates(["fp"]), "sets")
+    n = np.array([len(s) for s in sets], np.int64)
+    if len(sets) == 2:
+        good = enough(n[0], n[1], len(np.intersect1d(sets[0], sets[1], assume_unique=True)), percent)
+        return [(0, 1)] if good else []
+    bits, label, out = bitmaps(sets), np.arange(len(sets)), []
+    split = side.min() != side.max()
+    numbers = np.arange(len(sets))
+    for at in range(len(sets)):
+        other = np.flatnonzero((label != label[at]) & ((side > side[at]) if split else (numbers > at)) & (100 * np.minimum(n, n[at]) >= percent * np.maximum(n, n[at])))
+        if not len(other):
+            continue
+        differ = np.bitwise_count(bits[other] ^ bits[at]).sum(axis=1).astype(np.int64)
+        good = enough(n[other], n[at], (n[other] + n[at] - differ) // 2, percent)
+        other = other[good][np.argsort(differ[good], kind="stable")]
+        for k in other.tolist():
+            if label[k] != label[at] and enough(n[at], n[k], len(np.intersect1d(sets[at], sets[k], assume_unique=True)), percent):
+                out.append((at, k))
+                label[label == label[k]] = label[at]
+    return out
 
 
-def tile_pairs(entries: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components in one tile that the bitmaps let pass.
+def verified_links(blocks: DataFrame, width: int, percent: int) -> DataFrame:
+    """(a, b) fingerprints of linked classes; ``blocks`` has root, i, j, mine, text.
 
-    ``entries``: token, band, fp, root, n, bits, prefix, parts. A tile of many classes is cut
-    into ``parts`` blocks by hash; each pair of blocks is one group, so a group has at most
-    about twice 256 classes. A pair is looked at where its first shared token is.
+    Blocks are streams of neighbouring rows of a sorted partition; only the open block's sets
+    are held, BLOCK_CLASSES of each half or BLOCK_TOKENS members on average.
     """
-    mine = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-    spread = entries.withColumn("mine", mine).withColumn(
-        "x", F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least("mine", j).alias("i"), F.greatest("mine", j).alias("j"))))
-    ).select("token", "tile", "x.i", "x.j", "mine", "own", "fp", "root", "n", "bits", "prefix")
-
-    def tile(key, t):
-        token = key[0].as_py()
-        i, j = key[2].as_py(), key[3].as_py()
-        bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint64).reshape(-1, BITMAP_BITS // 64)
-        n, mine = t.column("n").to_numpy(), t.column("mine").to_numpy()
-        own = t.column("own").to_numpy(zero_copy_only=False)
-        fps, prefix = t.column("fp").to_pylist(), t.column("prefix").to_pylist()
-        _, root = np.unique(np.array([r.hex() for r in t.column("root").to_pylist()]), return_inverse=True)
-        out = []
-        for at in range(len(n)):
-            # each pair once: between blocks i and j, or in order inside one block; one of them in its own band
-            other = (mine == j) if i != j and mine[at] == i else (np.arange(len(n)) > at) if i == j else None
-            if other is None:
-                continue
-            other = np.flatnonzero(other & (root != root[at]) & (own | own[at]) & (100 * np.minimum(n, n[at]) >= percent * np.maximum(n, n[at])))
-            if not len(other):
-                continue
-            differ = np.bitwise_count(bits[other] ^ bits[at]).sum(axis=1).astype(np.int64)
-            other = other[enough(n[other], n[at], (n[other] + n[at] - differ) // 2, percent)]
-            if len(other):
-                here = set(prefix[at])
-                for k in other.tolist():
-                    both = here.intersection(prefix[k])
-                    if min(both) == token and enough(n[at], n[k], prefix_bound(n[at], n[k], len(here), len(prefix[k]), len(both)), percent):
-                        out.append((fps[at], fps[k]))
-        a, b = zip(*out, strict=True) if out else ((), ())
-        return pa.Table.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
-
-    return spread.groupBy("token", "tile", "i", "j").applyInArrow(tile, "a binary, b binary")
-
-
-def likely(classes: DataFrame, shared: DataFrame) -> DataFrame:
-    """token, band, fp, n of the classes' prefix tokens that a bitset of the shared ones lets pass."""
-    bitset = classes.sparkSession.sparkContext.broadcast(member_filter(shared.select(F.col("token").alias("h"))))
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+
+    def links(sets: list[np.ndarray], mine: np.ndarray) -> list[tuple[bytes, bytes]]:
+        fps = [fingerprint(s) for s in sets]
+        once = list({f: i for i, f in enumerate(fps)}.values())
+        if len(once) < 2:
+            return []
+        found = block_links([sets[i] for i in once], mine[once], percent)
+        return [(fps[once[a]], fps[once[b]]) for a, b in found]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        held_mine: list[int] = []
+        open_key = None
+        for b in by_bytes(batches):
+            out: list[tuple[bytes, bytes]] = []
+            sets = shingle_sets(b.column("text"), width)
+            keys = list(zip(*(b.column(c).to_pylist() for c in ("root", "i", "j")), strict=True))
+            for key, s, m in zip(keys, sets, b.column("mine").to_pylist(), strict=True):
+                if key != open_key:
+                    out += links(held, np.array(held_mine)) if held else []
+                    held, held_mine, open_key = [], [], key
+                held.append(s)
+                held_mine.append(m)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out, strict=True)], schema=schema)
+        if out := links(held, np.array(held_mine)) if held else []:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out, strict=True)], schema=schema)
+
+    dealt = blocks.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
+    return dealt.mapInArrow(run, "a binary, b binary")
+
+
+def texts_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(key, text) of the wanted keys, and a few others: a text once from each task.
+
+    A bitset of the keys picks the texts, so that others don't move.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(member_filter(wanted.select(F.col("key").alias("h"))))
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for b in batches:
-            lists = b.column(3)
-            tokens = lists.flatten().to_numpy()
-            row = np.repeat(np.arange(b.num_rows), np.diff(np.asarray(lists.offsets)))
-            keep = passes(bitset.value, tokens)
-            at = pa.array(row[keep])
-            yield pa.RecordBatch.from_arrays([pa.array(tokens[keep]), b.column(2).take(at), b.column(0).take(at), b.column(1).take(at)], ["token", "band", "fp", "n"])
+            b = b.filter(pa.array(passes(shared.value, b.column(0).to_numpy())))
+            new = [k not in seen and not seen.add(k) for k in b.column(0).to_pylist()]
+            b = b.filter(pa.array(new, pa.bool_()))
+            if b.num_rows:
+                yield b
 
-    return classes.select("fp", "n", "band", "prefix").mapInArrow(one, "token bigint, band int, fp binary, n int")
+    return rows.select("key", "text").mapInArrow(one, "key bigint, text string")
 
 
 def similar_classes(docs: DataFrame, width: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(documents, edges): every document's doc_id, n, fp; links (a, b) between classes
+    """(documents, links): every document's doc_id, n, fp; links (a, b) between classes
     that give all components. See :func:`jaccard_components`."""
-    rows = texts(docs, id_col, text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = rows.select("doc_id", F.coalesce("doc_id", F.xxhash64("text")).alias("key"), "text")
-    table = keyed(rows, token_sketch(rows, width), width, percent)
-    classes = materialize(
-        table.filter("n > 0").groupBy("fp").agg(F.min("key").alias("key"), F.first("n").cast("int").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix")), "classes"
-    )
-    # bands of size: sets that may link lie in one band or in two next to each other
-    band = F.floor(F.log("n") / -np.log(percent / 100)).cast("int")
-    every = classes.select(F.explode("prefix").alias("token"), band.alias("band"), "fp", "n")
-    shared = materialize(every.groupBy("token").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("token"), "shared")
-    entries = materialize(likely(classes.select("fp", "n", band.alias("band"), "prefix"), shared).join(shared, "token"), "entries")
-    tiles = entries.groupBy("token", "band").agg(F.count(F.lit(1)).alias("k"), F.min("fp").alias("head")).filter("k > 1")
-    star = entries.join(tiles, ["token", "band"]).filter("fp <> head").select(F.col("head").alias("a"), F.col("fp").alias("b")).distinct()
-
-    def passed(pairs: DataFrame) -> DataFrame:
-        one, two = (classes.select(F.col("fp").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "bits", "prefix"))) for x in "ab")
-        return pairs.join(one, "a").join(two, "b").mapInArrow(bound_ok(percent), "a binary, b binary")
-
-    def links(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-        wanted = ends.join(classes.select("fp", "key"), "fp").select("key", "fp")
-        return materialize(verified(pairs, sets_of(rows, wanted, width), percent), "links")
-
-    first = links(materialize(passed(star), "star"))
-    known = components(first)
-    # tiles in full: a class lies in the tile of its own band and in that of the band below
-    wide = entries.select("token", "fp", "n", F.explode(F.array(F.struct(F.col("band").alias("tile"), F.lit(True).alias("own")), F.struct((F.col("band") - 1).alias("tile"), F.lit(False).alias("own")))).alias("x"))
-    wide = wide.select("token", "x.tile", "x.own", "fp", "n").join(known.withColumnRenamed("v", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    open_tiles = materialize(
-        wide.groupBy("token", "tile").agg(
-            F.count(F.lit(1)).alias("k"), F.count_if("own").alias("k_own"), F.min("fp").alias("a"), F.max("fp").alias("b"), F.min("root").alias("r0"), F.max("root").alias("r1")
-        ).filter("r0 <> r1 and k_own > 0 and not (k = 2 and k_own = 2)"), "open",
-    )
-    twos = passed(open_tiles.filter("k = 2").select("a", "b").distinct())
-    larger = open_tiles.filter("k > 2").select("token", "tile", F.ceil(F.col("k") / BLOCK).cast("int").alias("parts"))
-    full = wide.join(larger, ["token", "tile"]).join(classes.select("fp", "bits", "prefix"), "fp")
-    more = materialize(tile_pairs(full, percent).unionByName(twos).distinct(), "pairs")
-    return table, first.unionByName(links(more))
+    rows = texts(docs, id_col, text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
+    table = keyed(rows, width, percent)
+    members = components(candidate_links(table)).withColumnRenamed("v", "h")
+    one = table.filter("n > 0").select("h", "fp", "key", "n").join(members, "h")
+    wanted = materialize(one.groupBy("fp").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("root").alias("root")), "wanted")
+    size = F.greatest(F.count(F.lit(1)) / BLOCK_CLASSES, F.sum("n") / BLOCK_TOKENS)
+    parts = wanted.groupBy("root").agg(F.ceil(size).cast("int").alias("parts"))
+    placed = wanted.join(parts, "root").select("key", "root", "parts", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int").alias("mine"))
+    pair = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least("mine", j).alias("i"), F.greatest("mine", j).alias("j")))
+    blocks = texts_of(rows, wanted).join(placed, "key").select("root", "mine", F.explode(pair).alias("x"), "text").select("root", "x.i", "x.j", "mine", "text")
+    return table, materialize(verified_links(blocks, width, percent), "links")
 
 
 def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -370,18 +399,24 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, id_co
     classes = materialize(classes.withColumn("root", F.coalesce("root", "fp")), "classes")
     whole = classes.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("k").alias("size"))
     named = classes.join(whole.filter("size > 1"), "root").select("fp", "component_id")
-    out = table.select("doc_id", "n", "fp").join(named, "fp", "left")
+    # a class may hold a third of all rows: its name goes to each of a few salts
+    named = named.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = table.select("doc_id", "n", "fp", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), "key"), F.lit(SALTS)).cast("int").alias("salt"))
+    out = salted.join(named, ["fp", "salt"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def keep_first(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
+def keep_first(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The documents without those that another of their component stands for: its smallest doc_id.
 
-    Repeated rows of that id stay. All columns stay as they are.
+    Repeated rows of that id stay, and so do rows with a null id. All columns stay as they
+    are, whatever their names. Null and empty texts are no copies of each other. An empty
+    table gives no rows.
     """
     found = jaccard_components(docs, width, percent)
-    dropped = found.filter("component_id <> doc_id").select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(dropped, docs["doc_id"] == F.col("_dropped"), "left_anti")
+    gone = fresh(docs, "gone")
+    dropped = found.filter("component_id <> doc_id").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(dropped, F.col("doc_id").cast("long") == F.col(gone), "left_anti")
 
 
 def brute_force(documents: dict[int, str | None], width: int = 3, percent: int = 90) -> dict[int, tuple[int, int]]:
