@@ -25,10 +25,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize, texts
+from .common import by_bytes, fresh, materialize, member_filter, passes, texts
 
-BLOCK_CLASSES, BLOCK_TOKENS = 2048, 1 << 20
-BATCH_BYTES = 4 << 20
+BLOCK_CLASSES, BLOCK_TOKENS, BLOCKS = 256, 1 << 20, 10
 SIG_BYTES = 6
 SALTS = 8
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -126,17 +125,6 @@ def signatures(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.nda
     return owner[order], sig[order]
 
 
-def by_bytes(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The batches cut where their texts reach a few megabytes."""
-    for b in batches:
-        if b.num_rows:
-            size = pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False)
-            chunk = (np.cumsum(size.astype(np.int64) + 64) - 1) // BATCH_BYTES
-            cuts = [0, *(np.flatnonzero(np.diff(chunk)) + 1).tolist(), b.num_rows]
-            for i, j in zip(cuts, cuts[1:], strict=False):
-                yield b.slice(i, j - i)
-
-
 def packed(values: np.ndarray, counts: np.ndarray, width: int) -> pa.Array:
     """Binary values holding ``counts`` numbers each, ``width`` low bytes of every one."""
     raw = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width])
@@ -225,25 +213,6 @@ def candidate_links(table: DataFrame) -> DataFrame:
     return routed.groupBy("bucket").applyInArrow(meet, "a bigint, b bigint")
 
 
-def member_filter(hashes: DataFrame, most_bits: int = 28) -> np.ndarray:
-    """A bitset of the hashes (column h), for dropping most other rows before they move.
-
-    About 16 bits for each hash, 2^28 bits (32 MB) at most: beyond that it lets more rows
-    through. What it lets through is joined exactly afterwards.
-    """
-    bits = int(min(most_bits, max(16, np.ceil(np.log2(16 * max(1, hashes.count()))))))
-    h = F.col("h").bitwiseAND(F.lit((1 << bits) - 1))
-    words = hashes.select(F.shiftright(h, 6).alias("word"), F.expr("shiftleft(1L, CAST(h & 63 AS INT))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("set")).toArrow()
-    out = np.zeros(1 << (bits - 6), np.int64)
-    out[words.column("word").to_numpy()] = words.column("set").to_numpy()
-    return out
-
-
-def passes(bitset: np.ndarray, h: np.ndarray) -> np.ndarray:
-    place = h & np.int64(64 * len(bitset) - 1)
-    return (bitset[place >> 6] >> (place & 63)) & 1 == 1
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(v, root) of every vertex in ``edges`` (a, b): root is its component's least vertex.
 
@@ -315,7 +284,7 @@ def verified_links(blocks: DataFrame, width: int, percent: int) -> DataFrame:
     """(a, b) fingerprints of linked classes; ``blocks`` has root, i, j, mine, text.
 
     Blocks are streams of neighbouring rows of a sorted partition; only the open block's sets
-    are held, BLOCK_CLASSES of each half or BLOCK_TOKENS members on average.
+    are held: of each half 16 * BLOCK_CLASSES classes or BLOCK_TOKENS members on average.
     """
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
@@ -377,7 +346,9 @@ def similar_classes(docs: DataFrame, width: int = 3, percent: int = 90, id_col:
     members = components(candidate_links(table)).withColumnRenamed("v", "h")
     one = table.filter("n > 0").select("h", "fp", "key", "n").join(members, "h")
     wanted = materialize(one.groupBy("fp").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("root").alias("root")), "wanted")
-    size = F.greatest(F.count(F.lit(1)) / BLOCK_CLASSES, F.sum("n") / BLOCK_TOKENS)
+    # a large group is dealt to about BLOCKS blocks, to more where those would be large themselves
+    k = F.count(F.lit(1))
+    size = F.greatest(F.least(k / BLOCK_CLASSES, F.lit(BLOCKS)), k / (16 * BLOCK_CLASSES), F.sum("n") / BLOCK_TOKENS)
     parts = wanted.groupBy("root").agg(F.ceil(size).cast("int").alias("parts"))
     placed = wanted.join(parts, "root").select("key", "root", "parts", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int").alias("mine"))
     pair = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least("mine", j).alias("i"), F.greatest("mine", j).alias("j")))

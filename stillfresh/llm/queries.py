@@ -26,7 +26,7 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_all_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentences.repeats_digest(read_table(spark, sf_dir, "documents"), max_span=None)
+    return sentences.repeats_digest(read_table(spark, sf_dir, "documents"), span=None)
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

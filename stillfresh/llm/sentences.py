@@ -2,146 +2,172 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import by_bytes, materialize, member_filter, passes
 
 #: A sentence ends after one of . ! ? and white space, or at a line break. Fixed values.
-BOUNDARY = r"(?<=[.!?])[\x20\x09-\x0D]+|[\x0A\x0D]+"
-MAX_SPAN, MIN_WORDS = 8, 25
-
-
-def split_sentences(rows: DataFrame) -> DataFrame:
-    """Adds ``parts``, the sentences with words, and ``p``: for each, its words and two
-    hashes of it in lower case, spaces evened out."""
-    flat = lambda s: F.trim(F.regexp_replace(F.lower(s), r"[\x20\x09-\x0D]+", " "))
-    parts = F.filter(F.split("text", BOUNDARY), lambda s: F.length(F.trim(F.translate(s, "\t\n\x0b\f\r", "     "))) > 0)
-
-    def mark(s):
-        t = flat(s)
-        return F.struct((F.length(t) - F.length(F.translate(t, " ", "")) + 1).alias("w"), F.xxhash64(t).alias("h"), F.hash(t).alias("g"))
-
-    return rows.withColumn("parts", parts).withColumn("p", F.transform("parts", mark))
-
-
-def spans(rows: DataFrame, min_words: int, max_span: int) -> DataFrame:
-    """row, doc_id, at, k, h, g: from every place, the shortest run of two to ``max_span``
-    sentences that has ``min_words`` words, and the sentence alone if it has as many."""
-
-    def run(i):
-        field = lambda j: F.get("p", i + j)["w"]
-        words, k = field(0), F.lit(None).cast("int")
-        for j in range(1, max_span):
-            words = words + field(j)
-            k = F.coalesce(k, F.when(words >= min_words, F.lit(j + 1)))
-        return k
-
-    places = F.when(F.size("p") > 0, F.sequence(F.lit(0), F.size("p") - 1))
-    marks = F.transform(places, lambda i: F.struct(i.alias("at"), run(i).alias("k"), F.when(F.get("p", i)["w"] >= min_words, F.lit(1)).alias("lone")))
-    both = F.flatten(F.transform(marks, lambda m: F.array(F.struct(m["at"].alias("at"), m["k"].alias("k")), F.struct(m["at"].alias("at"), m["lone"].alias("k")))))
-    stretch = lambda y: F.slice("p", y["at"] + 1, y["k"])
-    found = F.transform(
-        F.filter(both, lambda y: y["k"].isNotNull()),
-        lambda y: F.struct(y["at"].alias("at"), y["k"].alias("k"), F.xxhash64(F.transform(stretch(y), lambda p: p["h"])).alias("h"), F.hash(F.transform(stretch(y), lambda p: p["g"])).alias("g")),
-    )
-    return rows.select("row", "doc_id", F.explode(found).alias("y")).select("row", "doc_id", "y.at", "y.k", "y.h", "y.g")
+BOUNDARY = re.compile(r"[.!?][\x20\x09-\x0D]+|[\x0A\x0D]+")
+SPACE = " \t\n\v\f\r"
+SPAN, MIN_WORDS = 3, 25
+_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+
 
+def split_sentences(text: str) -> list[str]:
+    """The sentences that have a word, as they stand in the text."""
+    out, at = [], 0
+    for m in BOUNDARY.finditer(text):
+        end = m.start() + (m[0][0] not in "\n\r")
+        out.append(text[at:end])
+        at = m.end()
+    out.append(text[at:])
+    return [s for s in out if s.strip(SPACE)]
 
-def hashed(stretch: Column) -> tuple[Column, Column]:
-    """Two hashes of a run of sentences."""
-    return F.xxhash64(F.transform(stretch, lambda p: p["h"])).alias("h"), F.hash(F.transform(stretch, lambda p: p["g"])).alias("g")
 
+def sentence_marks(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(number of words, 128-bit hash as two numbers) of sentences in lower case, spaces evened out."""
+    words = [p.lower().encode().split() for p in parts]
+    raw = b"".join(xxhash.xxh3_128_digest(b" ".join(w)) for w in words)
+    return np.array([len(w) for w in words], np.int64), np.frombuffer(raw, "<u8").reshape(-1, 2)
 
-def shortest(i: Column, step: int, min_words: int) -> Column:
-    """How many sentences from place ``i`` on (``step`` 1) or back (-1) have ``min_words`` words; null where the text ends before.
 
-    A sentence has a word at least, so no run needs more than ``min_words`` of them.
+def spans_of(words: np.ndarray, cuts: np.ndarray, span: int | None, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(start, length) of the runs to hash, in sentences of all texts laid end to end.
+
+    ``cuts`` has the texts' bounds. With ``span`` n: every run of n sentences, and shorter runs
+    that have ``min_words`` words. With None: from every sentence the shortest run with
+    ``min_words`` words, and the shortest one to every sentence; together they cover every
+    run with as many words, as what is left of it at its end lies in the one to its end.
     """
-    words, k = F.lit(0), F.lit(None).cast("int")
-    for j in range(min_words):
-        words = words + F.get("p", i + step * j)["w"]
-        k = F.coalesce(k, F.when(words >= min_words, F.lit(j + 1)))
-    return k
-
-
-def runs_from(rows: DataFrame, min_words: int) -> DataFrame:
-    """row, doc_id, at, k, h, g: from every place, the shortest run with ``min_words`` words, however many sentences it takes."""
-    places = F.when(F.size("p") > 0, F.sequence(F.lit(0), F.size("p") - 1))
-    marks = F.filter(F.transform(places, lambda i: F.struct(i.alias("at"), shortest(i, 1, min_words).alias("k"))), lambda m: m["k"].isNotNull())
-    found = F.transform(marks, lambda m: F.struct(m["at"].alias("at"), m["k"].alias("k"), *hashed(F.slice("p", m["at"] + 1, m["k"]))))
-    return rows.select("row", "doc_id", F.explode(found).alias("y")).select("row", "doc_id", "y.at", "y.k", "y.h", "y.g")
-
-
-def runs_to(rows: DataFrame, min_words: int) -> DataFrame:
-    """As :func:`runs_from`, to every place from the one that leaves the shortest run, where that run has
-    ``min_words`` words without its last sentence too and starts at one of the row's ``starts``."""
-    places = F.when(F.size("p") > 0, F.sequence(F.lit(0), F.size("p") - 1))
-    marks = F.transform(places, lambda i: F.struct(i.alias("to"), shortest(i, -1, min_words).alias("k")))
-    marks = F.transform(F.filter(marks, lambda m: m["k"].isNotNull()), lambda m: F.struct((m["to"] - m["k"] + 1).alias("at"), m["k"].alias("k")))
-    longer = lambda m: F.aggregate(F.slice("p", m["at"] + 1, m["k"] - 1), F.lit(0), lambda n, p: n + p["w"]) >= min_words
-    marks = F.filter(marks, lambda m: longer(m) & F.array_contains("starts", m["at"]))
-    found = F.transform(marks, lambda m: F.struct(m["at"].alias("at"), m["k"].alias("k"), *hashed(F.slice("p", m["at"] + 1, m["k"]))))
-    return rows.select("row", "doc_id", F.explode(found).alias("y")).select("row", "doc_id", "y.at", "y.k", "y.h", "y.g")
-
-
-def repeated_runs(runs: DataFrame) -> DataFrame:
-    """The runs (row, doc_id, at, k) whose hash another place has too, with ``first``, the hash's first place."""
-    place = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), F.col("row").alias("r"), F.col("at").alias("a"))
-    firsts = materialize(runs.groupBy("h", "g", "k").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).filter("n > 1").drop("n"), "firsts")
-    return runs.join(firsts, ["h", "g", "k"]).select("row", "doc_id", "at", "k", "first")
-
-
-def all_runs(base: DataFrame, min_words: int) -> DataFrame:
-    """Repeated runs that together cover every sentence of every repeated run of ``min_words`` words.
-
-    A sentence of such a run is covered by the shortest run from it, if that ends in time, and
-    else by the shortest one to the run's end. The latter are the same as a shortest run from
-    some place or begin with one, which then is repeated too; so only those are hashed.
+    n = len(words)
+    stop = np.repeat(cuts[1:], np.diff(cuts))
+    total = np.concatenate([[0], np.cumsum(words)])
+    at = np.arange(n)
+    if span is not None:
+        found = []
+        for k in range(1, span + 1):
+            i = at[at + k <= stop]
+            found.append((i if k == span else i[total[i + k] - total[i] >= min_words], k))
+        return np.concatenate([i for i, _ in found]), np.concatenate([np.full(len(i), k, np.int64) for i, k in found])
+    end = np.searchsorted(total, total[:-1] + min_words)
+    ahead = end <= stop
+    begin = np.searchsorted(total, total[1:] - min_words, side="right") - 1
+    back = (total[1:] >= min_words) & (begin >= np.repeat(cuts[:-1], np.diff(cuts)))
+    both = np.unique(np.stack([np.concatenate([at[ahead], begin[back]]), np.concatenate([end[ahead], at[back] + 1])]), axis=1)
+    return both[0], both[1] - both[0]
+
+
+def run_hashes(marks: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64 and 32 bits of hash of each run: sums of its sentences' hashes times powers of a base."""
+    out = []
+    with np.errstate(over="ignore"):
+        for lane, base in enumerate(_BASE):
+            powers, back = (np.full(len(marks) + 1, x, np.uint64) for x in (base, pow(base, -1, 1 << 64)))
+            powers[0] = back[0] = 1
+            powers, back = np.multiply.accumulate(powers), np.multiply.accumulate(back)
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(marks[:, lane] * powers[:-1])])
+            h = (sums[start + length] - sums[start]) * back[start] + length.astype(np.uint64) * np.uint64(_BASE[1 - lane])
+            h = (h ^ (h >> np.uint64(31))) * np.uint64(_BASE[1])
+            out.append(h ^ (h >> np.uint64(29)))
+    return out[0].view(np.int64), (out[1] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
+def hashed_spans(docs: DataFrame, span: int | None, min_words: int, id_col: str, text_col: str) -> DataFrame:
+    """row, doc_id, parts and the runs' at, k, h, g of every document: one written table."""
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    lists = {"at": pa.int32(), "k": pa.int32(), "h": pa.int64(), "g": pa.int32()}
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("parts", pa.list_(pa.string())), *((c, pa.list_(t)) for c, t in lists.items())])
+
+    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in by_bytes(batches):
+            parts = [split_sentences(t) for t in b.column("text").to_pylist()]
+            cuts = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+            words, marks = sentence_marks([s for p in parts for s in p])
+            start, length = spans_of(words, cuts, span, min_words)
+            h, g = run_hashes(marks, start, length)
+            owner = np.searchsorted(cuts, start, side="right") - 1
+            order = np.argsort(owner, kind="stable")
+            ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(parts)))]).astype(np.int32)
+            runs = [(start - cuts[owner])[order], length[order], h[order], g[order]]
+            arrays = [pa.ListArray.from_arrays(pa.array(ends), pa.array(v.astype(t.to_pandas_dtype()), t)) for v, t in zip(runs, lists.values(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(parts, pa.list_(pa.string())), *arrays], schema=schema)
+
+    return materialize(rows.mapInArrow(one, "row bigint, doc_id bigint, parts array<string>, at array<int>, k array<int>, h array<bigint>, g array<int>"), "spans")
+
+
+def repeated_runs(base: DataFrame) -> DataFrame:
+    """The runs (row, doc_id, at, k) whose hash another place has too, with ``first_id`` and whether they are that ``first`` place.
+
+    A hash's first place is the one of the smallest (doc_id, row, place). Counts and least ids
+    are summed up in each task before rows move, so a span that a third of all documents
+    share costs one row a task; a bitset of the repeated hashes lets only their runs move.
     """
-    met = materialize(repeated_runs(runs_from(base.select("row", "doc_id", "p"), min_words)), "met")
-    starts = met.groupBy("row").agg(F.collect_set("at").alias("starts"))
-    ends = materialize(runs_to(base.select("row", "doc_id", "p").join(starts, "row"), min_words), "ends")
-    return met.unionByName(repeated_runs(ends))
+    last = F.lit((1 << 63) - 1)
+    each = base.select(F.coalesce("doc_id", last).alias("d"), F.explode(F.arrays_zip("h", "g")).alias("x")).select("x.h", "x.g", "d")
+    again = materialize(each.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("first_id")).filter("n > 1").drop("n"), "again")
+    shared = base.sparkSession.sparkContext.broadcast(member_filter(again.select("h")))
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            flat = [b.column(c).flatten() for c in ("at", "k", "h", "g")]
+            keep = passes(shared.value, flat[2].to_numpy()) if len(flat[2]) else np.zeros(0, bool)
+            owner = np.repeat(np.arange(b.num_rows), np.diff(np.asarray(b.column("h").offsets)))[keep]
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(owner)) for c in ("row", "doc_id")), *(c.filter(pa.array(keep)) for c in flat)], ["row", "doc_id", "at", "k", "h", "g"])
+
+    met = base.select("row", "doc_id", "at", "k", "h", "g").mapInArrow(likely, "row bigint, doc_id bigint, at int, k int, h bigint, g int")
+    met = materialize(met.join(again, ["h", "g"]), "met")
+    own = met.filter(F.coalesce("doc_id", last) == F.col("first_id"))
+    firsts = own.groupBy("h", "g").agg(F.min(F.struct("row", "at")).alias("p")).select("h", "g", F.col("p.row").alias("row"), F.col("p.at").alias("at"), F.lit(True).alias("first"))
+    return met.join(firsts, ["h", "g", "row", "at"], "left").select("row", "doc_id", "at", "k", "first_id", F.coalesce("first", F.lit(False)).alias("first"))
 
 
 def repeated_sentences(
-    docs: DataFrame, min_words: int = MIN_WORDS, max_span: int | None = MAX_SPAN, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, min_words: int = MIN_WORDS, span: int | None = SPAN, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """Every document with its sentences and those that a repeated span covers.
 
-    From every sentence, the shortest run of several sentences with ``min_words`` words is
-    hashed (96 bits), and the sentence alone if it has as many; the hashes are joined over
-    all documents. With ``max_span`` None every repeated run with ``min_words`` words is
-    marked in full, whatever its number of sentences (:func:`all_runs`).
+    Every run of ``span`` consecutive sentences is hashed, whatever its words, and every
+    shorter one that has ``min_words`` words (96 bits each); the hashes are joined over all
+    documents. Longer repeats are covered by their runs. With ``span`` None only runs with
+    ``min_words`` words count, of any number of sentences, and each goes in full.
     A hash's first place is the one of the smallest (doc_id, row, place); sentences that any
     other of its places covers are marked. Returns doc_id, row, parts, removed (sorted
     places), first_ids (sorted doc_ids of the first places). Works within a document too.
-    Null and empty texts have no sentences; a null doc_id comes after all others.
+    Null and empty texts have no sentences; a null doc_id comes after all others. Repeated
+    rows keep a row each, and all but the first lose what they repeat.
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    base = materialize(split_sentences(rows).drop("text"), "sentences")
-    again = all_runs(base, min_words) if max_span is None else repeated_runs(spans(base.select("row", "doc_id", "p"), min_words, max_span))
-    again = again.filter((F.col("first.r") != F.col("row")) | (F.col("first.a") != F.col("at")))
+    base = hashed_spans(docs, span, min_words, id_col, text_col)
+    again = repeated_runs(base).filter(~F.col("first"))
     covered = again.groupBy("row").agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.sequence("at", F.col("at") + F.col("k") - 1))))).alias("removed"),
-        F.array_sort(F.collect_set("first.d")).alias("first_ids"),
+        F.array_sort(F.collect_set("first_id")).alias("first_ids"),
     )
     none = F.array().cast("array<int>"), F.array().cast("array<bigint>")
-    return base.join(covered, "row", "left").select(
+    return base.select("doc_id", "row", "parts").join(covered, "row", "left").select(
         "doc_id", "row", "parts", F.coalesce("removed", none[0]).alias("removed"), F.coalesce("first_ids", none[1]).alias("first_ids")
     )
 
 
 def drop_repeats(docs: DataFrame, **settings) -> DataFrame:
-    """doc_id, row, text: the sentences that stay, one a line."""
-    found = repeated_sentences(docs, **{"max_span": None, **settings})
+    """doc_id, row, text: the sentences that stay, one a line; a document that loses all is empty."""
+    found = repeated_sentences(docs, **settings)
     kept = F.filter("parts", lambda p, i: ~F.array_contains("removed", i))
     return found.select("doc_id", "row", F.array_join(kept, "\n").alias("text"))
 
 
 def repeats_digest(docs: DataFrame, **settings) -> DataFrame:
-    """The query's rows: documents that lose sentences, where their first copies are, and a hash of what stays."""
+    """The query's rows: documents that lose sentences, where their first copies are, and a hash of what stays.
+
+    Nulls, empty texts, ties and repeated rows as in :func:`repeated_sentences`; an empty
+    table gives no rows.
+    """
     found = repeated_sentences(docs, **settings).filter(F.size("removed") > 0).withColumnsRenamed({"removed": "gone", "first_ids": "firsts"})
     kept = F.filter("parts", lambda p, i: ~F.array_contains("gone", i))
     joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
@@ -155,22 +181,23 @@ def repeats_digest(docs: DataFrame, **settings) -> DataFrame:
     )
 
 
-def oracle_sql(min_words: int = MIN_WORDS, max_span: int = MAX_SPAN) -> str:
+def oracle_sql(min_words: int = MIN_WORDS, span: int = SPAN) -> str:
     """The same rows in DuckDB's SQL; doc_ids must differ."""
     lead = lambda c, j: f"lead({c}, {j}) OVER w" if j else c
     words = lambda k: " + ".join(lead("n", j) for j in range(k))
     text = lambda k: " || chr(2) || ".join(lead("flat", j) for j in range(k))
     space = "[ \\t\\n\\x0B\\f\\r]+"
-    runs = " ".join(f"WHEN {words(k)} >= {min_words} THEN struct_pack(k := {k}, t := {text(k)})" for k in range(2, max_span + 1))
+    runs = " UNION ALL ".join(
+        f"SELECT doc_id, pos, {k} AS k, t FROM (SELECT doc_id, pos, {text(k)} AS t, {words(k)} AS w FROM parts WINDOW w AS (PARTITION BY doc_id ORDER BY pos)) WHERE t IS NOT NULL" + ("" if k == span else f" AND w >= {min_words}")
+        for k in range(1, span + 1)
+    )
     return f"""WITH cut AS (
           SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?]){space}|[\\n\\r]+', '\\1' || chr(1), 'g'), chr(1)) AS list FROM documents),
         raw AS (SELECT doc_id, unnest(list) AS s, generate_subscripts(list, 1) AS i FROM cut),
         flats AS (SELECT doc_id, i, s, trim(regexp_replace(lower(s), '{space}', ' ', 'g')) AS flat FROM raw),
         parts AS (SELECT doc_id, s, flat, length(flat) - length(replace(flat, ' ', '')) + 1 AS n,
                          row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS pos FROM flats WHERE flat <> ''),
-        marks AS (SELECT doc_id, pos, CASE {runs} END AS run, CASE WHEN n >= {min_words} THEN struct_pack(k := 1, t := flat) END AS lone
-                  FROM parts WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
-        runs AS (SELECT doc_id, pos, run.k AS k, run.t AS t FROM marks WHERE run IS NOT NULL UNION ALL SELECT doc_id, pos, lone.k, lone.t FROM marks WHERE lone IS NOT NULL),
+        runs AS MATERIALIZED ({runs}),
         firsts AS (SELECT k, t, min(struct_pack(d := doc_id, a := pos)) AS f FROM runs GROUP BY k, t HAVING count(*) > 1),
         again AS (SELECT doc_id, pos, runs.k AS k, f.d AS d FROM runs JOIN firsts USING (k, t) WHERE doc_id <> f.d OR pos <> f.a),
         gone AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + k)) AS pos FROM again),

@@ -164,10 +164,10 @@ def test_jaccard_group_of_near_copies(spark):
 
 def test_sentence_repeats(spark, docs):
     shared = f"{SENTENCE} one. {SENTENCE} two! {SENTENCE} three?"
-    texts = [f"First here. {shared} Own end one.", f"Other start.\n{shared.upper()}\nOther end.", f"{shared} {shared}", "Short. Short. Short.", "Short. Short. Short."]
+    texts = [f"First here. {shared} Own end one.", f"Other start.\n{shared.upper()}\nOther end.", f"{shared} {shared}", "Short. Short. Short.", "Short. Short. Short.", "No. One. Two.", "One. Two. No."]
     rows = spark.createDataFrame([doc(i, t) for i, t in enumerate(texts)], DOCS)
     out = {r.doc_id: r for r in sentences.repeats_digest(rows).collect()}
-    assert {d: r.removed for d, r in out.items()} == {1: "1,2,3", 2: "0,1,2,3,4,5"} and out[1].first_doc_ids == "0"
+    assert {d: r.removed for d, r in out.items()} == {1: "1,2,3", 2: "0,1,2,3,4,5", 4: "0,1,2"} and out[1].first_doc_ids == "0"
     assert {r.doc_id: r.text for r in sentences.drop_repeats(rows).collect()}[1] == "Other start.\nOther end."
     assert sentences.drop_repeats(docs).count() == docs.count() and sentences.repeats_digest(docs.limit(0)).count() == 0
 

@@ -7,13 +7,13 @@ import random
 from stillfresh.llm import sentences, toxicity, url_rules
 
 
-def brute_repeats(texts, min_words=25):
-    """doc to the sorted places under any run with ``min_words`` words that stands at an earlier place too."""
+def brute_repeats(texts, min_words=25, span=1 << 30):
+    """doc to the sorted places under any run with ``min_words`` words, or ``span`` sentences, that stands at an earlier place too."""
     firsts, gone = {}, {d: set() for d in texts}
     for d, parts in sorted(texts.items()):
         for i in range(len(parts)):
             for j in range(i + 1, len(parts) + 1):
-                if sum(len(p.split()) for p in parts[i:j]) >= min_words:
+                if j - i >= span or sum(len(p.split()) for p in parts[i:j]) >= min_words:
                     if firsts.setdefault(tuple(parts[i:j]), (d, i)) != (d, i):
                         gone[d] |= set(range(i, j))
     return {d: sorted(g) for d, g in gone.items() if g}
@@ -29,9 +29,10 @@ def test_repeats_of_short_sentences(spark):
         for part in rng.sample(shared, 2):
             texts[d] += part[rng.randint(0, 2) :] + [line(rng.randint(1, 30))]
     rows = spark.createDataFrame([(d, "\n".join(t)) for d, t in texts.items()], "doc_id long, text string").repartition(3)
-    got = {r.doc_id: r.removed for r in sentences.repeats_digest(rows, max_span=None).collect()}
-    assert got == {d: ",".join(map(str, g)) for d, g in brute_repeats(texts).items()}
-    assert {r.doc_id: r.text for r in sentences.drop_repeats(rows).collect()} == {d: "\n".join(p for i, p in enumerate(t) if i not in brute_repeats(texts).get(d, ())) for d, t in texts.items()}
+    for span, want in ((None, brute_repeats(texts)), (3, brute_repeats(texts, span=3)), (2, brute_repeats(texts, span=2))):
+        got = {r.doc_id: r.removed for r in sentences.repeats_digest(rows, span=span).collect()}
+        assert got == {d: ",".join(map(str, g)) for d, g in want.items()}
+    assert {r.doc_id: r.text for r in sentences.drop_repeats(rows, span=None).collect()} == {d: "\n".join(p for i, p in enumerate(t) if i not in brute_repeats(texts).get(d, ())) for d, t in texts.items()}
 
 
 def test_capitals_of_the_whole_text():
