@@ -1,11 +1,11 @@
 """Exact top-k by inner product: three phases with a uniform threshold.
 
 Each vector's dimensions are split into lists; a score is the sum of its local scores. Phase
-one gathers the best local scores of each list and takes the k-th best of the sums found, a
-safe cutoff: a row whose local scores all lie under cutoff / lists has a sum under the cutoff.
-Phase two sends the entries at or over that uniform threshold, which are sufficient, and drops
-those whose upper bound stays under the better cutoff they give. Phase three resolves the
-scores that remain exactly.
+one gathers the best local scores of each list, and the k-th best sum among the rows found is
+a safe cutoff: a row whose local scores all lie under cutoff / lists has a sum under it. Phase
+two collects the entries at or over that uniform threshold, which are sufficient, and drops
+rows whose upper bound stays under the cutoff. Phase three resolves what these rows lack, in
+the task that has their vectors, so only the best few of each tile and query move on.
 """
 
 from __future__ import annotations
@@ -71,14 +71,15 @@ def on_grid(queries: DataFrame, tiles: DataFrame, n_query_tiles: int, n_tiles: i
 
 
 def top_k(
-    vectors: DataFrame, k: int = 5, every: int = 50, lists: int = LISTS, tile: int = TILE, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding"
+    vectors: DataFrame, k: int = 5, every: int = 50, lists: int = LISTS, tile: int = TILE, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding", query_tile: int = QUERY_TILE
 ) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k best other rows by integer inner product.
 
     Queries are the rows whose id is divisible by ``every``; ties go to smaller ids. Equal
     vectors are searched once and share their result, from which each query drops itself, so
     a vector of a third of all rows costs one row. Vectors of unequal length are compared as
-    if filled up with zeros. Null ids take no part. Fewer than k other rows give fewer ranks.
+    if filled up with zeros. Null ids take no part, nor do vectors that are null or hold null
+    or non-finite components. Fewer than k other rows give fewer ranks; an empty table, none.
     """
     rows = quantized(vectors, scale, id_col, vector_col).filter("vec_id IS NOT NULL")
     groups = materialize(vector_groups(rows, k).withColumn("vid", F.monotonically_increasing_id()), "groups")
@@ -88,55 +89,69 @@ def top_k(
     n, width = shape.n or 0, max(lists, shape.d or 0)
     n_tiles = max(1, -(-n // tile))
     queries = materialize(of_query.withColumn("h", F.xxhash64("qid")), "queries")
-    n_blocks = max(1, -(-queries.count() // QUERY_TILE))
+    n_blocks = max(1, -(-queries.count() // query_tile))
     queries = queries.select("qid", "q", F.pmod("h", F.lit(n_blocks)).cast("int").alias("b"))
-    tiles = groups.select("vid", "v", F.pmod(F.xxhash64("vid"), F.lit(n_tiles)).cast("int").alias("t"))
+    tiles = groups.select("vid", "v", F.col("ids")[0].alias("least"), F.pmod(F.xxhash64("vid"), F.lit(n_tiles)).cast("int").alias("t"))
     take = k + 1  # one may be the query itself
+    none = pa.table({x: pa.array([], pa.int64()) for x in ("qid", "total", "vid", "least")})
+    schema = "qid bigint, total bigint, vid bigint, least bigint"
+
+    def scores(a: pa.Table, b: pa.Table) -> np.ndarray:
+        return local_scores(matrix(a["q"].combine_chunks(), width), matrix(b["v"].combine_chunks(), width), lists)
+
+    def found(a: pa.Table, b: pa.Table, i: np.ndarray, j: np.ndarray, total: np.ndarray) -> pa.Table:
+        """The best ``take`` of the rows j for each query i; equal scores by least id."""
+        least = b["least"].to_numpy()
+        order = np.lexsort((least[j], -total, i))
+        i, j, total = i[order], j[order], total[order]
+        first = np.searchsorted(i, i)
+        keep = np.arange(len(i)) - first < take
+        return pa.table({"qid": a["qid"].to_numpy()[i[keep]], "total": total[keep], "vid": b["vid"].to_numpy()[j[keep]], "least": least[j[keep]]})
 
     def gather(a: pa.Table, b: pa.Table) -> pa.Table:
-        """Phase one: the best ``take`` rows of each list, with the sums of their local scores."""
+        """Phase one: the rows with the best local scores of each list, and their sums."""
         if not len(a) or not len(b):
-            return pa.table({"qid": pa.array([], pa.int64()), "total": pa.array([], pa.int64()), "vid": pa.array([], pa.int64())})
-        s = local_scores(matrix(a["q"].combine_chunks(), width), matrix(b["v"].combine_chunks(), width), lists)
-        total, vid, qid = s.sum(axis=0), b["vid"].to_numpy(), a["qid"].to_numpy()
-        m = min(take, total.shape[1])
+            return none
+        s = scores(a, b)
+        m = min(take, s.shape[2])
         best = np.concatenate([np.argpartition(-one, m - 1, axis=1)[:, :m] for one in s], axis=1)
-        pairs = np.unique(np.stack([np.repeat(np.arange(len(qid)), best.shape[1]), best.ravel()], axis=1), axis=0)
+        pairs = np.unique(np.stack([np.repeat(np.arange(len(a)), best.shape[1]), best.ravel()], axis=1), axis=0)
         i, j = pairs.T
-        return pa.table({"qid": qid[i], "total": total[i, j], "vid": vid[j]})
+        return found(a, b, i, j, s[:, i, j].sum(axis=0))
 
-    seen = on_grid(queries, tiles, n_blocks, n_tiles, gather, "qid bigint, total bigint, vid bigint")
-    ranked = seen.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("total"), "vid"))).filter(F.col("r") <= take)
+    order = Window.partitionBy("qid").orderBy(F.desc("total"), "least")
+    seen = on_grid(queries, tiles, n_blocks, n_tiles, gather, schema)
+    ranked = seen.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= take)
     cutoff = ranked.groupBy("qid").agg(F.min("total").alias("low"), F.count(F.lit(1)).alias("m"))
     # with fewer rows than asked for, every row is sufficient
     cutoff = materialize(cutoff.select("qid", F.when(F.col("m") >= take, F.col("low")).alias("cutoff")), "cutoff")
 
     def collect(a: pa.Table, b: pa.Table) -> pa.Table:
-        """Phase two: entries of each list at or over cutoff / lists."""
-        names = ("qid", "vid", "list", "local")
+        """Phases two and three: entries at or over cutoff / lists; bounds; what is missing."""
         if not len(a) or not len(b):
-            return pa.table({x: pa.array([], pa.int64()) for x in names})
-        s = local_scores(matrix(a["q"].combine_chunks(), width), matrix(b["v"].combine_chunks(), width), lists)
-        limit = a["cutoff"].fill_null(np.iinfo(np.int64).min).to_numpy()
-        part, i, j = np.nonzero(s * lists >= limit[None, :, None]) if (limit > np.iinfo(np.int64).min).all() else np.nonzero((s >= 0) | True)
-        keep = (limit[i] > np.iinfo(np.int64).min) | (part == 0)
-        part, i, j = part[keep], i[keep], j[keep]
-        return pa.table({"qid": a["qid"].to_numpy()[i], "vid": b["vid"].to_numpy()[j], "list": part.astype(np.int64), "local": s[part, i, j]})
-
-    entries = on_grid(queries.join(cutoff, "qid"), tiles, n_blocks, n_tiles, collect, "qid bigint, vid bigint, list bigint, local bigint")
-    sums = entries.groupBy("qid", "vid").agg(F.sum("local").alias("found"), F.count(F.lit(1)).alias("m")).join(cutoff, "qid")
-    # a list that sent nothing has less than cutoff / lists for this row
-    upper = F.col("found") * lists + F.col("cutoff") * (lists - F.col("m"))
-    left = sums.filter(F.col("cutoff").isNull() | (upper >= F.col("cutoff") * lists)).select("qid", "vid")
-
-    # phase three: exact scores of what is left
-    dot = F.aggregate(F.zip_with("q", "v", lambda x, y: F.coalesce(x, F.lit(0)) * F.coalesce(y, F.lit(0))), F.lit(0).cast("long"), lambda acc, x: acc + x)
-    scored = left.join(queries.select("qid", "q"), "qid").join(groups, "vid").select("qid", dot.alias("score"), F.explode("ids").alias("vec_id"))
+            return none
+        s = scores(a, b)
+        known = a["cutoff"].is_valid().combine_chunks().to_numpy(zero_copy_only=False)
+        limit = a["cutoff"].fill_null(0).to_numpy()
+        sent = (s * lists >= limit[None, :, None]) | ~known[None, :, None]
+        i, j = np.nonzero(sent.any(axis=0))
+        local, has = s[:, i, j], sent[:, i, j]
+        # a list that sent nothing has less than cutoff / lists for this row
+        upper = (local * has).sum(axis=0) * lists + limit[i] * (lists - has.sum(axis=0))
+        stay = ~known[i] | (upper >= limit[i] * lists)
+        i, j, local, has = i[stay], j[stay], local[:, stay], has[:, stay]
+        total = (local * has).sum(axis=0)
+        total += (local * ~has).sum(axis=0)  # the missing cells, from the vectors at hand
+        return found(a, b, i, j, total)
+
+    kept = on_grid(queries.join(cutoff, "qid"), tiles, n_blocks, n_tiles, collect, schema)
+    few = kept.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= take).select("qid", "vid", F.col("total").alias("score"))
+    scored = few.join(groups.select("vid", "ids"), "vid").select("qid", "score", F.explode("ids").alias("vec_id"))
     best = scored.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id"))).filter(F.col("r") <= take)
     lists_of = best.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("r", "vec_id", "score"))).alias("best"))
     named = of_query.join(lists_of, "qid").select("q", "best")
-    found = asked.join(named, F.col("v") == F.col("q")).select(F.col("vec_id").alias("query_id"), F.slice(F.filter("best", lambda x: x["vec_id"] != F.col("vec_id")), 1, k).alias("best"))
-    return found.select("query_id", F.posexplode("best").alias("p", "x")).select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))
+    out = asked.join(named, F.col("v") == F.col("q")).select(F.col("vec_id").alias("query_id"), F.slice(F.filter("best", lambda x: x["vec_id"] != F.col("vec_id")), 1, k).alias("best"))
+    return out.select("query_id", F.posexplode("best").alias("p", "x")).select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))
 
 
 ORACLE_SQL = """
