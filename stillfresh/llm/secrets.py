@@ -56,14 +56,16 @@ CLASSES = (
 def window_spans(run: str, rule: EntropyRule) -> list[tuple[int, int]]:
     """Merged [start, end) spans of the suspicious windows of one candidate.
 
-    The counts, the sum of c*log2(c) and the number of characters outside each class are
-    updated by the character that leaves and the one that enters.
+    The counts, the sum of c*log2(c), the number of characters outside each class, and the
+    number of capitals after letters and of small letters after other characters are updated
+    by the character that leaves and the one that enters.
     """
     w = rule.window
     weight = [0.0] + [c * log2(c) for c in range(1, w + 1)]
     counts: dict[str, int] = {}
     outside = [0] * len(CLASSES)
-    digits, total = 0, 0.0
+    digits, turns, total = 0, 0, 0.0
+    turn = [i > 0 and (c.isupper() if run[i - 1].isalpha() else c.islower()) for i, c in enumerate(run)]  # against the use of capitals in names
     spans: list[tuple[int, int]] = []
     for i, ch in enumerate(run):
         if i >= w:
@@ -72,18 +74,20 @@ def window_spans(run: str, rule: EntropyRule) -> list[tuple[int, int]]:
             total += weight[c - 1] - weight[c]
             counts[gone] = c - 1
             digits -= gone.isdigit()
+            turns -= turn[i - w + 1]
             for k, (_, members) in enumerate(CLASSES):
                 outside[k] -= gone not in members
         c = counts.get(ch, 0)
         total += weight[c + 1] - weight[c]
         counts[ch] = c + 1
         digits += ch.isdigit()
+        turns += turn[i]
         for k, (_, members) in enumerate(CLASSES):
             outside[k] += ch not in members
         if i < w - 1:
             continue
         name = next((n for (n, _), bad in zip(CLASSES, outside, strict=True) if not bad), "mixed")
-        if not digits and (name != "mixed" or run[i - w + 1 : i + 1].title() == run[i - w + 1 : i + 1]):
+        if not digits and (name != "mixed" or not (turns or run[i - w + 1].islower())):
             continue
         if log2(w) - total / w >= rule.thresholds[name]:
             start, end = i - w + 1, i + 1
@@ -153,7 +157,9 @@ def redact_secrets(docs: DataFrame, mark: str = "[SECRET]", rule: EntropyRule |
     """The documents, each suspicious span (overlapping ones merged) replaced by ``mark``.
 
     Keeps every row and column; ``n_chars``, where present, is counted again. A null text
-    stays null. Each row is rewritten where it lies, so nothing is shuffled or joined.
+    stays null, an empty one empty. Each row is rewritten where it lies, whole and whatever
+    its length, so nothing is shuffled or joined; repeated rows are rewritten alike, and an
+    empty table gives no rows.
     """
     rule = rule or EntropyRule()
     candidates = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % min(rule.window, MIN_HEX))
