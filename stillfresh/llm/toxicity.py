@@ -140,7 +140,7 @@ def logistic(x: np.ndarray, target: np.ndarray, ridge: float = 1.0, rounds: int
 
 
 def train_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int) -> DataFrame:
-    """(text, y) of at most about ``bound`` labelled rows outside the held-out fold.
+    """(text, y, half) of at most about ``bound`` labelled rows outside the held-out fold; ``half`` is 0 or 1 by the id's hash.
 
     A row is drawn by its id's hash; labels without a value are left out, repeated ones averaged.
     """
@@ -148,7 +148,7 @@ def train_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int) ->
     known = known.groupBy("doc_id").agg((F.avg("y") >= 0.5).cast("int").alias("y"))
     share = min(1.0, bound / max(1, known.count()))
     drawn = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000)
-    return materialize(texts(docs).join(F.broadcast(drawn), "doc_id").select("text", "y"), "train")  # at most about `bound` labels
+    return materialize(texts(docs).join(F.broadcast(drawn), "doc_id").select("text", "y", F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)).cast("int").alias("half")), "train")  # at most about `bound` labels
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_terms: int = MAX_TERMS) -> ToxicityModel:
