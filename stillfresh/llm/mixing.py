@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import fresh, materialize
 
 DIMENSIONS = ("source", "lang", "topic")
-ROUNDS, BUDGET, FLATTEN, SEED = 8, 0.8, 0.7, "mix-1"
+ROUNDS, BUDGET, FLATTEN, SEED = 16, 0.8, 0.7, "mix-1"
+WORD = r"[^\x20\x09-\x0D]+"
+ONE_PLACE = 200_000
 
 
 def removed(text: Column, char: str) -> Column:
@@ -30,38 +34,79 @@ def topic_of(text: Column) -> Column:
     )
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """doc_id, source, lang, topic, n_tokens: words at single spaces and line breaks; nulls become ''."""
+def keyword_topics(topics: dict[str, list[str]]) -> Callable[[Column], Column]:
+    """A topic function: the topic whose words stand in a text most often, in the given order at ties; else ''."""
+
+    def topic(text: Column) -> Column:
+        words = F.split(F.lower(text), r"[^\p{L}\p{N}]+")
+        hits = [F.size(F.filter(words, lambda w, own=own: w.isin(*own))) for own in topics.values()]
+        out = F.lit("")
+        for name, n in reversed(list(zip(topics, hits, strict=True))):
+            out = F.when((n > 0) & (n == F.greatest(*hits, F.lit(0))), name).otherwise(out)
+        return out
+
+    return topic
+
+
+def measured(docs: DataFrame, topic: Callable[[Column], Column] = topic_of) -> DataFrame:
+    """doc_id, source, lang, topic, n_tokens: runs of anything but white space; nulls become ''."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    words = 1 + removed(text, " ") + removed(text, "\n")
     named = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("source", "lang")]
-    return docs.select("doc_id", *named, topic_of(text).alias("topic"), words.cast("long").alias("n_tokens"))
+    return docs.select("doc_id", *named, topic(text).alias("topic"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("n_tokens"))
 
 
 def flattened_targets(cells: DataFrame, dimension: str, flatten: float, budget: float) -> DataFrame:
-    """(dimension, want): tokens wanted of each value, its share raised to ``flatten``, of ``budget`` of all tokens."""
+    """(dimension, want): tokens wanted of each value, ``budget`` of all tokens in sum.
+
+    Shares are those of the values' tokens raised to ``flatten``, filled up like water: a value
+    whose share is more than it has gives all it has, and the others share the rest.
+    """
     totals = cells.groupBy(dimension).agg(F.sum("n").cast("double").alias("have"))
-    power = totals.select(dimension, "have", F.pow("have", F.lit(flatten)).alias("p"))
-    whole = power.agg(F.sum("p").alias("all_p"), F.sum("have").alias("all_n"))
-    return power.crossJoin(F.broadcast(whole)).select(dimension, (F.col("p") / F.col("all_p") * F.col("all_n") * budget).alias("want"))  # one row
+    order = Window.orderBy("have", dimension)  # one row for each value
+    filled = totals.withColumn("p", F.pow("have", F.lit(flatten))).withColumns({
+        "before": F.coalesce(F.sum("have").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)),
+        "rest": F.sum("p").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing)),
+        "whole": F.sum("have").over(Window.partitionBy()),
+    })
+    level = filled.withColumn("c", (budget * F.col("whole") - F.col("before")) / F.col("rest"))
+    first = level.filter(F.col("c") * F.col("p") < F.col("have")).agg(F.min_by("c", F.struct("have", dimension)).alias("level"))
+    return level.crossJoin(F.broadcast(first)).select(dimension, F.coalesce(F.least("have", F.col("level") * F.col("p")), "have").alias("want"))  # one row
+
+
+def in_one_place(cells: DataFrame) -> DataFrame:
+    """Few cells lie in one partition, so that sums over any dimension move no rows."""
+    return cells.coalesce(1) if cells.count() <= ONE_PLACE else cells
 
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS) -> DataFrame:
     """The cells with ``weight``: tokens to take of each.
 
     Each round scales the weights of each value of each dimension to the value's target, one
-    dimension after another, then trims each cell to what it has. Cells are the combinations
+    dimension after another, and trims each cell to what it has. Cells are the combinations
     of source, language and topic, counted from all documents; a value without a target keeps
-    its weight. Every round's cells are a written table, so the plan stays short.
+    its weight. Every fourth round's cells are a written table, so plans stay short.
     """
     own = cells.withColumn("weight", F.col("n").cast("double"))
-    for _ in range(rounds):
-        for d, target in targets.items():
-            sums = own.groupBy(d).agg(F.sum("weight").alias("now")).join(target, d, "left")
-            factor = sums.select(d, F.when(F.col("want").isNull() | (F.col("now") <= 0), 1.0).otherwise(F.col("want") / F.col("now")).alias("factor"))
-            own = own.join(factor, d).withColumn("weight", F.col("weight") * F.col("factor")).drop("factor")
-        own = materialize(own.withColumn("weight", F.least("weight", F.col("n").cast("double"))), "weights")
-    return own
+    for d, target in targets.items():
+        own = own.join(target.select(d, F.col("want").alias(f"want_{d}")), d, "left")
+    for r in range(rounds):
+        if r % 4 == 0:
+            own = in_one_place(materialize(own, "weights"))
+        for d in targets:
+            now = F.sum("weight").over(Window.partitionBy(d))
+            factor = F.when(F.col(f"want_{d}").isNull() | (now <= 0), 1.0).otherwise(F.col(f"want_{d}") / now)
+            own = own.withColumn("weight", F.least(F.col("weight") * factor, F.col("n").cast("double")))
+    return materialize(own.select(*cells.columns, "weight"), "weights")
+
+
+def marginal_errors(weights: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
+    """(dimension, value, want, got, error): how far each raked marginal is from its target, relative to it."""
+    out = None
+    for d, target in targets.items():
+        sums = weights.groupBy(d).agg(F.sum("weight").alias("got")).join(target, d)
+        part = sums.select(F.lit(d).alias("dimension"), F.col(d).alias("value"), "want", "got", F.abs(F.col("got") / F.col("want") - 1).alias("error"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def draw(seed: str) -> Column:
@@ -69,39 +114,64 @@ def draw(seed: str) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|" + seed))), 1, 12), 16, 10).cast("double") / float(1 << 48)
 
 
+def share(weight: Column, n: Column) -> Column:
+    """A cell's probability; documents without tokens weigh nothing and stay."""
+    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), weight / n))
+
+
+def weighted(rows: DataFrame, targets: dict[str, DataFrame] | None, rounds: int, budget: float, flatten: float) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """(raked cells, targets) of measured documents."""
+    cells = materialize(rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("n")), "cells")
+    targets = targets or {d: materialize(flattened_targets(cells, d, flatten, budget), f"want-{d}") for d in DIMENSIONS}
+    return rake(cells, targets, rounds), targets
+
+
 def mix_probabilities(
-    docs: DataFrame, targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS, budget: float = BUDGET, flatten: float = FLATTEN, seed: str = SEED
+    docs: DataFrame,
+    targets: dict[str, DataFrame] | None = None,
+    rounds: int = ROUNDS,
+    budget: float = BUDGET,
+    flatten: float = FLATTEN,
+    seed: str = SEED,
+    topic: Callable[[Column], Column] = topic_of,
 ) -> DataFrame:
     """doc_id, source, lang, topic, n_tokens, probability, sampled: one row for each document.
 
-    ``targets`` gives (value, want in tokens) by dimension; without it, each dimension's
-    shares raised to ``flatten``, of ``budget`` of all tokens. A document's probability is its
+    ``targets`` gives (value, want in tokens) by dimension; without it, those of
+    :func:`flattened_targets`, which the values can reach. A document's probability is its
     cell's raked weight over the cell's tokens. The draw hashes the doc_id, so repeated rows of
-    an id share their fate. Null source or lang count as ''. Aggregation is in two steps, so
-    a source of any share costs one row for each task and cell.
+    an id share their fate. Null source or lang count as '', null and empty texts as no
+    tokens; texts are counted whole. An empty table gives no rows. Aggregation is in two
+    steps, so a source of any share costs one row for each task and cell.
     """
-    rows = materialize(measured(docs), "measured")
-    cells = materialize(rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("n")), "cells")
-    targets = targets or {d: materialize(flattened_targets(cells, d, flatten, budget), f"want-{d}") for d in DIMENSIONS}
-    weights = rake(cells, targets, rounds).select(*DIMENSIONS, F.least(F.lit(1.0), F.col("weight") / F.col("n")).alias("probability"))
-    out = rows.join(weights, list(DIMENSIONS))
+    rows = materialize(measured(docs, topic), "measured")
+    weights, _ = weighted(rows, targets, rounds, budget, flatten)
+    weights = weights.select(*DIMENSIONS, share(F.col("weight"), F.col("n")).alias("probability"))
+    out = rows.join(F.broadcast(weights) if weights.count() <= ONE_PLACE else weights, list(DIMENSIONS))
     return out.select("doc_id", *DIMENSIONS, "n_tokens", "probability", (draw(seed) < F.col("probability")).alias("sampled"))
 
 
-def mix_documents(docs: DataFrame, **settings) -> DataFrame:
-    """The sampled documents, all columns as they are."""
-    names = docs.columns
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())
-    own = measured(docs)
-    cells = materialize(own.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("n")), "cells")
-    budget, flatten = settings.get("budget", BUDGET), settings.get("flatten", FLATTEN)
-    targets = settings.get("targets") or {d: materialize(flattened_targets(cells, d, flatten, budget), f"want-{d}") for d in DIMENSIONS}
-    weights = rake(cells, targets, settings.get("rounds", ROUNDS)).select(
-        *(F.col(d).alias(f"_{d}") for d in DIMENSIONS), F.least(F.lit(1.0), F.col("weight") / F.col("n")).alias("_p")
-    )
+def mix_documents(
+    docs: DataFrame,
+    targets: dict[str, DataFrame] | None = None,
+    rounds: int = ROUNDS,
+    budget: float = BUDGET,
+    flatten: float = FLATTEN,
+    seed: str = SEED,
+    topic: Callable[[Column], Column] = topic_of,
+) -> DataFrame:
+    """The sampled documents, all columns as they are, whatever their names.
+
+    Nulls, empty and long texts, repeated rows and empty tables as in :func:`mix_probabilities`.
+    """
+    weights, _ = weighted(measured(docs, topic), targets, rounds, budget, flatten)
+    own = {d: fresh(docs, f"cell_{d}") for d in DIMENSIONS}
+    p = fresh(docs, "cell_p")
+    weights = weights.select(*(F.col(d).alias(own[d]) for d in DIMENSIONS), share(F.col("weight"), F.col("n")).alias(p))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    same = (F.coalesce(F.col("source").cast("string"), F.lit("")) == F.col("_source")) & (F.coalesce(F.col("lang").cast("string"), F.lit("")) == F.col("_lang")) & (topic_of(text) == F.col("_topic"))
-    return rows.join(weights, same).filter(draw(settings.get("seed", SEED)) < F.col("_p")).select(*names)
+    same = (F.col(own["topic"]) == topic(text)) & (F.col(own["source"]) == F.coalesce(F.col("source").cast("string"), F.lit(""))) & (F.col(own["lang"]) == F.coalesce(F.col("lang").cast("string"), F.lit("")))
+    kept = docs.join(F.broadcast(weights) if weights.count() <= ONE_PLACE else weights, same).filter(draw(seed) < F.col(p))
+    return kept.drop(*own.values(), p)
 
 
 def oracle_sql(rounds: int = ROUNDS, budget: float = BUDGET, flatten: float = FLATTEN, seed: str = SEED) -> str:
@@ -112,26 +182,25 @@ def oracle_sql(rounds: int = ROUNDS, budget: float = BUDGET, flatten: float = FL
               CASE WHEN 100 * {count('|')} >= 2 * n THEN 'table' WHEN 100 * {count('#*$%&<>')} >= 4 * n THEN 'symbols'
                    WHEN 100 * {count('0123456789')} >= 8 * n THEN 'numbers' WHEN 100 * {count('!')} >= 3 * n THEN 'shout'
                    WHEN 50 * (length(t) - length(replace(t, chr(10), ''))) >= n THEN 'lines' ELSE 'prose' END AS topic,
-              CAST(1 + length(t) - length(replace(t, ' ', '')) + length(t) - length(replace(t, chr(10), '')) AS BIGINT) AS n_tokens
+              CAST(len(regexp_extract_all(t, '[^ \\t\\n\\x0B\\f\\r]+')) AS BIGINT) AS n_tokens
             FROM (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, coalesce(text, '') AS t, greatest(length(coalesce(text, '')), 1) AS n FROM documents))""",
         "cells AS (SELECT source, lang, topic, CAST(sum(n_tokens) AS BIGINT) AS n FROM rows GROUP BY ALL)",
-        "w0 AS (SELECT *, CAST(n AS DOUBLE) AS weight FROM cells)",
     ]
     for d in DIMENSIONS:
-        ctes.append(
-            f"want_{d} AS (SELECT {d}, pow(have, {flatten}) / sum(pow(have, {flatten})) OVER () * sum(have) OVER () * {budget} AS want FROM (SELECT {d}, CAST(sum(n) AS DOUBLE) AS have FROM cells GROUP BY {d}))"
-        )
+        ctes.append(f"""fill_{d} AS (SELECT {d}, have, p, ({budget} * sum(have) OVER () - coalesce(sum(have) OVER (ORDER BY have, {d} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
+              / sum(p) OVER (ORDER BY have, {d} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS c
+            FROM (SELECT {d}, CAST(sum(n) AS DOUBLE) AS have, pow(CAST(sum(n) AS DOUBLE), {flatten}) AS p FROM cells GROUP BY {d}))""")
+        ctes.append(f"want_{d} AS (SELECT {d}, coalesce(least(have, p * (SELECT c FROM fill_{d} WHERE c * p < have ORDER BY have, {d} LIMIT 1)), have) AS want_{d} FROM fill_{d})")
+    ctes.append("w0 AS MATERIALIZED (SELECT *, CAST(n AS DOUBLE) AS weight FROM cells " + " ".join(f"JOIN want_{d} USING ({d})" for d in DIMENSIONS) + ")")
     now = "w0"
     for r in range(rounds):
-        for i, d in enumerate(DIMENSIONS):
-            name = f"w{r + 1}{'abc'[i]}"
+        for d in DIMENSIONS:
+            name = f"w{r + 1}_{d}"
             ctes.append(
-                f"{name} AS MATERIALIZED (SELECT source, lang, topic, n, weight * want / now AS weight FROM (SELECT *, sum(weight) OVER (PARTITION BY {d}) AS now FROM {now}) JOIN want_{d} USING ({d}))"
+                f"{name} AS MATERIALIZED (SELECT * REPLACE (least(CASE WHEN sum(weight) OVER (PARTITION BY {d}) <= 0 THEN weight ELSE weight * (want_{d} / sum(weight) OVER (PARTITION BY {d})) END, CAST(n AS DOUBLE)) AS weight) FROM {now})"
             )
             now = name
-        ctes.append(f"w{r + 1} AS MATERIALIZED (SELECT source, lang, topic, n, least(weight, CAST(n AS DOUBLE)) AS weight FROM {now})")
-        now = f"w{r + 1}"
     return f"""WITH {', '.join(ctes)}
         SELECT doc_id, source, lang, topic, n_tokens, round(probability, 9) AS probability,
                CAST(('0x' || substr(md5(CAST(doc_id AS VARCHAR) || '|{seed}'), 1, 12)) AS BIGINT) / 281474976710656.0 < probability AS sampled
-        FROM (SELECT rows.*, least(1.0, weight / n) AS probability FROM rows JOIN {now} USING (source, lang, topic))"""
+        FROM (SELECT rows.*, CASE WHEN n = 0 THEN 1.0 ELSE least(1.0, weight / n) END AS probability FROM rows JOIN {now} USING (source, lang, topic))"""
