@@ -36,7 +36,7 @@ class EntropyRule:
 
     window: int = 20
     thresholds: dict[str, float] = field(
-        default_factory=lambda: {"hex": 3.1, "lower": 3.7, "upper": 3.7, "mixed": 3.8}
+        default_factory=lambda: {"hex": 3.1, "HEX": 3.1, "lower": 3.7, "upper": 3.7, "mixed": 3.8}
     )
     allowed: tuple[str, ...] = (
         r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",  # UUID
@@ -48,6 +48,7 @@ class EntropyRule:
 
 CLASSES = (
     ("hex", frozenset("0123456789abcdef")),
+    ("HEX", frozenset("0123456789ABCDEF")),
     ("lower", frozenset("0123456789abcdefghijklmnopqrstuvwxyz")),
     ("upper", frozenset("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ")),
 )
