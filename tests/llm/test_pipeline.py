@@ -70,15 +70,20 @@ def brute_mix(rows):
         have = {}
         for c, n in cells.items():
             have[c[i]] = have.get(c[i], 0) + n
-        p = {k: v**mixing.FLATTEN for k, v in have.items()}
-        want.append({k: v / sum(p.values()) * total * mixing.BUDGET for k, v in p.items()})
+        full, goal = set(), {}
+        while not goal:
+            left = sum(v**mixing.FLATTEN for k, v in have.items() if k not in full)
+            c = (total * mixing.BUDGET - sum(have[k] for k in full)) / left
+            more = {k for k, v in have.items() if k not in full and c * v**mixing.FLATTEN >= v}
+            full |= more
+            goal = {} if more else {k: float(v) if k in full else c * v**mixing.FLATTEN for k, v in have.items()}
+        want.append(goal)
     for _ in range(mixing.ROUNDS):
         for i in range(3):
             now = {}
             for c, x in w.items():
                 now[c[i]] = now.get(c[i], 0) + x
-            w = {c: x * want[i][c[i]] / now[c[i]] for c, x in w.items()}
-        w = {c: min(x, float(cells[c])) for c, x in w.items()}
+            w = {c: min(x * want[i][c[i]] / now[c[i]], float(cells[c])) for c, x in w.items()}
     draw = lambda d: int(hashlib.md5(f"{d}|{mixing.SEED}".encode()).hexdigest()[:12], 16) / 2**48
     return {r.doc_id for r in rows if draw(r.doc_id) < w[r.source, r.lang, r.topic] / cells[r.source, r.lang, r.topic]}
 
