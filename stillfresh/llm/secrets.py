@@ -41,7 +41,7 @@ class EntropyRule:
     allowed: tuple[str, ...] = (
         r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",  # UUID
         r"[0-9_+=/-]+",  # numbers, rules, dates
-        r"(?:[A-Za-z]+[-_/+=]+)*[A-Za-z]+",  # words joined by dashes, slashes, underscores
+        r"[-_/+=]*(?:[A-Za-z]+[-_/+=]+)*[A-Za-z]*",  # words joined by dashes, slashes, underscores; paths
         r"(?i:example|sample|dummy|placeholder|changeme|xxxx).*",
     )
 
