@@ -19,6 +19,7 @@ BEYOND_ASCII, CAPITALS = re.compile(r"[^\x00-\x7f]+"), b"ABCDEFGHIJKLMNOPQRSTUVW
 STEMS = (4, 5, 6, 7)
 MAX_TRAIN = 12_000
 MAX_TERMS = 400
+MIN_PRECISION = 0.8
 VOTERS = 8
 
 
@@ -53,7 +54,11 @@ def shape(text: str) -> tuple[float, float, float]:
 
 @dataclass
 class ToxicityModel:
-    """A linear classifier over lexicon terms, voters and shape."""
+    """A linear classifier over lexicon terms, voters and shape.
+
+    The lexicon is in order of its terms' odds, and each lexicon voter has a stretch of it, so
+    that sure terms and unsure ones don't share a voter.
+    """
 
     lexicon: dict[str, int] = field(default_factory=dict)
     weights: np.ndarray = field(default_factory=lambda: np.zeros(1))
@@ -62,7 +67,7 @@ class ToxicityModel:
 
     def __post_init__(self) -> None:
         self.starts = {t.rstrip("-")[:4] for t in self.lexicon}
-        self.group = np.array([voter_of(t) for t in self.lexicon], np.int64)
+        self.group = np.arange(len(self.lexicon)) * VOTERS // max(1, len(self.lexicon))
 
     def features(self, hits: list[list[int]], shapes: list[tuple[float, float, float]]) -> np.ndarray:
         x = np.zeros((len(hits), len(self.lexicon) + VOTERS + 4))
@@ -91,36 +96,50 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-def voter_of(term: str) -> int:
-    """Words go to the first half of the lexicon voters, beginnings to the second."""
-    half = VOTERS // 2
-    return zlib.crc32(term.encode()) % half + (half if term.endswith("-") else 0)
+def correlated_groups(votes: np.ndarray, post: np.ndarray, least: float = 0.4, most: int = 3) -> list[list[int]]:
+    """Voters dealt into groups of at most ``most`` whose votes agree beyond what the class explains."""
+    left = votes.astype(float)
+    for side in (post, 1 - post):
+        left = left - np.outer(side, side @ votes / max(1e-9, side.sum()))
+    sd = np.sqrt(np.maximum((left**2).mean(axis=0), 1e-9))
+    corr = left.T @ left / max(1, len(left)) / sd[:, None] / sd[None, :]
+    np.fill_diagonal(corr, 0)
+    groups = [[j] for j in range(votes.shape[1])]
+    for i, j in sorted(((i, j) for i in range(len(corr)) for j in range(i)), key=lambda x: -abs(corr[x])):
+        if abs(corr[i, j]) < least:
+            break
+        one, two = (next(g for g in groups if k in g) for k in (i, j))
+        if one is not two and len(one) + len(two) <= most:
+            one.extend(two)
+            groups.remove(two)
+    return groups
 
 
-def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(posterior of toxic, hit rates by class, correlations) of a generative model of the votes.
+def label_model(votes: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, np.ndarray, list[list[int]]]:
+    """(posterior of toxic, hit rates by class, groups of correlated voters), from the votes alone.
 
-    EM over the class-conditional rate of each vote, the given labels being one more voter.
-    Votes that agree beyond what the class explains are correlated: each vote's evidence is
-    divided by one plus the sum of its correlations within the classes, so that copies of
-    one signal don't count twice.
+    A generative model fitted by EM: within a class, groups of voters are independent, and a
+    group's votes together have any distribution over their patterns, so correlated voters
+    don't count twice. Groups are near copies at first, then also what agreement is left
+    after some rounds. No label takes part: the class with more votes is called toxic.
     """
-    all_votes = np.concatenate([votes, labels[:, None]], axis=1)
-    post = 0.9 * labels + 0.05
-    corr = np.eye(all_votes.shape[1])
-    for _ in range(rounds):
-        w = np.stack([1 - post, post])
-        rate = (w @ all_votes + 0.5) / (w.sum(axis=1, keepdims=True) + 1)
-        left = all_votes - w.T @ rate
-        cov = left.T @ left / max(1, len(left)) + 1e-9 * np.eye(len(corr))
-        sd = np.sqrt(np.diag(cov))
-        corr = cov / sd[:, None] / sd[None, :]
-        share = 1 / (1 + np.clip(np.abs(corr).sum(axis=1) - 1, 0, None))
-        share[-1] = 1
-        llr = np.log(rate[1] / rate[0]), np.log((1 - rate[1]) / (1 - rate[0]))
-        prior = np.log((post.sum() + 0.5) / ((1 - post).sum() + 0.5))
-        post = sigmoid(prior + all_votes @ (share * llr[0]) + (1 - all_votes) @ (share * llr[1]))
-    return post, rate, corr
+    said = votes.sum(axis=1)
+    post = sigmoid(2 * (said - said.mean()) / max(1e-9, said.std()) - 1)
+    groups = correlated_groups(votes, np.full(len(votes), 0.5), 0.9)
+    for r in range(rounds):
+        if r == 2 * rounds // 3:
+            groups = correlated_groups(votes, post)
+        odds = np.full(len(votes), np.log((post.sum() + 1) / ((1 - post).sum() + 1)))
+        for g in groups:
+            pattern = votes[:, g].astype(np.int64) @ (1 << np.arange(len(g)))
+            n = np.stack([np.bincount(pattern, weights=w, minlength=1 << len(g)) + 0.5 / len(g) for w in (1 - post, post)])
+            p = np.log(n / n.sum(axis=1, keepdims=True))
+            odds += (p[1] - p[0])[pattern]
+        post = sigmoid(odds)
+    if (post @ said) / max(1e-9, post.sum()) < ((1 - post) @ said) / max(1e-9, (1 - post).sum()):
+        post = 1 - post
+    w = np.stack([1 - post, post])
+    return post, (w @ votes + 0.5) / (w.sum(axis=1, keepdims=True) + 1), groups
 
 
 def logistic(x: np.ndarray, target: np.ndarray, ridge: float = 1.0, rounds: int = 15) -> np.ndarray:
@@ -151,15 +170,34 @@ def train_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int) ->
     return materialize(texts(docs).join(F.broadcast(drawn), "doc_id").select("text", "y", F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)).cast("int").alias("half")), "train")  # at most about `bound` labels
 
 
+def once_each(train: DataFrame) -> DataFrame:
+    """One row of each group of near copies of a training sample, which are no independent evidence.
+
+    Copies are told by their two runs of three words of least hash, which small changes seldom
+    touch.
+    """
+
+    def least_runs(text: str) -> str:
+        w = WORD.findall(text.lower())
+        runs = {" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))}
+        return ",".join(map(str, sorted(zlib.crc32(r.encode()) for r in runs)[:2]))
+
+    def sketch(batch: pa.RecordBatch) -> pa.RecordBatch:
+        least = [least_runs(t) for t in batch.column(0).to_pylist()]
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(least, pa.string())], [*batch.schema.names, "sketch"])
+
+    return materialize(map_batches(train, sketch, "text string, y int, half int, sketch string").dropDuplicates(["sketch", "y"]).drop("sketch"), "once")
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_terms: int = MAX_TERMS) -> ToxicityModel:
     """Fit on at most about ``max_train`` labelled rows whose crc32(doc_id) mod 5 isn't 0.
 
-    The lexicon holds words and word beginnings that toxic training rows have far more often
-    than others; lexicon and pattern voters vote on each row; the label model's posteriors
-    are the targets of the linear classifier. Without rows of both labels there is no
+    The lexicon holds words and word beginnings that toxic training rows surely have more often
+    than others; lexicon and pattern voters vote on each row; the label model's posteriors,
+    from the votes alone, are the targets of the linear classifier, which the labels calibrate. Without rows of both labels there is no
     lexicon, and every score is a smoothed base rate.
     """
-    train = train_sample(docs, labels, "toxic", max_train)
+    train = once_each(train_sample(docs, labels, "toxic", max_train))
     sizes = {r.y: r.n for r in train.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     t, c = sizes.get(1, 0), sizes.get(0, 0)
     if not t or not c:
@@ -173,9 +211,15 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN,
         return pa.RecordBatch.from_pydict({"term": list(n), "c": [v[0] for v in n.values()], "t": [v[1] for v in n.values()]})
 
     counts = map_batches(train, count, "term string, c bigint, t bigint").groupBy("term").agg(F.sum("c").alias("c"), F.sum("t").alias("t"))
+    # how sure it is that toxic rows have a term more often, against as many tries as there are terms;
+    # and of the training rows with it, most must be toxic, or it would not be a voter of its own
     odds = F.log((F.col("t") + 0.5) / (t + 1)) - F.log((F.col("c") + 0.5) / (c + 1))
-    best = counts.filter(F.col("t") >= max(3, t // 200)).withColumn("odds", odds).filter("odds >= 2.5").orderBy(F.desc(F.col("odds") * F.col("t")), "term").limit(max_terms)
-    lexicon = {r.term: i for i, r in enumerate(best.collect())}
+    tries = counts.filter("t >= 2").agg(F.count(F.lit(1))).first()[0]
+    met = F.col("t") + F.col("c")
+    gain = F.col("t") * F.log(F.col("t") / (met * (t / (t + c)))) + F.when(F.col("c") > 0, F.col("c") * F.log(F.col("c") / (met * (c / (t + c))))).otherwise(0)
+    sure = gain >= float(np.log(max(2, tries)))
+    best = counts.filter("t >= 3").withColumn("odds", odds).filter(sure & (F.col("t") >= MIN_PRECISION * (F.col("t") + F.col("c")))).orderBy(F.desc(F.col("odds") * F.col("t")), "term").limit(max_terms)
+    lexicon = {r.term: i for i, r in enumerate(sorted(best.collect(), key=lambda r: (-r.odds, r.term)))}  # at most max_terms
     if not lexicon:
         return ToxicityModel(prior=min(0.49, (t + 0.5) / (t + c + 2)))
     model = ToxicityModel(lexicon)
@@ -188,9 +232,15 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN,
 
     rows = map_batches(train, look, "hits array<int>, shape array<double>, y int").collect()  # bounded by max_train
     hits, shapes, y = [r.hits for r in rows], [tuple(r.shape) for r in rows], np.array([r.y for r in rows], float)
-    post, rate, _ = label_model(model.votes(hits, shapes), y)
-    model.weights = logistic(model.features(hits, shapes), post)
-    model.accuracies = {f"voter{j}": float(post @ (model.votes(hits, shapes)[:, j]) / max(1e-9, model.votes(hits, shapes)[:, j].sum())) for j in range(VOTERS + 4)}
+    votes = model.votes(hits, shapes)
+    post, rate, _ = label_model(votes)
+    x = model.features(hits, shapes)
+    weights = logistic(x, post)
+    # the labels set the scale: where a score of 0.5 lies
+    shift, slope = logistic((x @ weights[1:] + weights[0])[:, None], y, ridge=1e-3)
+    model.weights = weights * max(slope, 1e-3)
+    model.weights[0] += shift
+    model.accuracies = {f"voter{j}": float(post @ votes[:, j] / max(1e-9, votes[:, j].sum())) for j in range(votes.shape[1])}
     return model
 
 
@@ -216,5 +266,9 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, model: ToxicityModel | N
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents whose score is under 0.5, all columns as they are."""
+    """The documents whose score is under 0.5, all columns as they are, whatever their names.
+
+    Null and empty texts have the score of a text without words and stay; texts are scored
+    whole, whatever their length; repeated rows share their fate. An empty table gives no rows.
+    """
     return docs.filter(score_column(F.col("text"), fit_toxicity(docs, labels)) < 0.5)
