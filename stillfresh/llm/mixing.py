@@ -37,9 +37,12 @@ def topic_of(text: Column) -> Column:
 def keyword_topics(topics: dict[str, list[str]]) -> Callable[[Column], Column]:
     """A topic function: the topic whose words stand in a text most often, in the given order at ties; else ''."""
 
+    def hits_of(words: Column, own: list[str]) -> Column:
+        return F.size(F.filter(words, lambda w: w.isin(*own)))
+
     def topic(text: Column) -> Column:
         words = F.split(F.lower(text), r"[^\p{L}\p{N}]+")
-        hits = [F.size(F.filter(words, lambda w, own=own: w.isin(*own))) for own in topics.values()]
+        hits = [hits_of(words, own) for own in topics.values()]
         out = F.lit("")
         for name, n in reversed(list(zip(topics, hits, strict=True))):
             out = F.when((n > 0) & (n == F.greatest(*hits, F.lit(0))), name).otherwise(out)
