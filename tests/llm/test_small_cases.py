@@ -341,8 +341,19 @@ def test_label_model_trusts_good_voters():
     rng = np.random.default_rng(0)
     y = rng.random(3000) < 0.3
     votes = np.stack([np.where(rng.random(3000) < a, y, ~y) for a in (0.95, 0.9, 0.55)], axis=1).astype(float)
-    _, rate, corr = toxicity.label_model(votes, y.astype(float))
-    assert rate[1, 0] > 0.9 > rate[0, 0] + 0.5 and abs(rate[1, 2] - 0.55) < 0.05 and corr.shape == (4, 4)
+    post, rate, groups = toxicity.label_model(votes)
+    assert rate[1, 0] > 0.85 and rate[1, 1] > 0.85 and max(rate[0, :2]) < 0.15 and abs(rate[1, 2] - 0.55) < 0.05 and len(groups) >= 2
+    assert ((post >= 0.5) == y).mean() > 0.92
+
+
+def test_label_model_counts_copies_of_a_voter_once():
+    rng = np.random.default_rng(1)
+    y = rng.random(4000) < 0.3
+    good = [np.where(rng.random(4000) < 0.85, y, ~y) for _ in range(3)]
+    poor = np.where(rng.random(4000) < 0.7, y, ~y)
+    votes = np.stack([*good, poor, poor, np.where(rng.random(4000) < 0.98, poor, ~poor)], axis=1).astype(float)
+    post, _, groups = toxicity.label_model(votes)
+    assert [3, 4, 5] in map(sorted, groups) and ((post >= 0.5) == y).mean() > 0.9
 
 
 def test_rule_statistics(docs):
