@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..sources.tables import written
 
 SCOPE = ("org_id", "family", "namespace", "target_key")
+TENANT = SCOPE[:3]
 
 
 def physical_order() -> list[Column]:
@@ -139,43 +140,56 @@ def last_known(rows: DataFrame, keys: list[str], order: list[str], value: str) -
     return seen.withColumn("last", F.coalesce("_seen", "_carried")).drop("_part", "_seen", "_carried")
 
 
-def batch_producers(reads: DataFrame, builds: DataFrame) -> DataFrame:
+def in_tenant(df: DataFrame, scope: tuple[str, ...]) -> list[Column]:
+    """The scope's columns, '' for a namespace that is NULL."""
+    return [F.coalesce(c, F.lit("")).alias(c) if c == "namespace" else F.col(c) for c in scope]
+
+
+def batch_producers(reads: DataFrame, builds: DataFrame, scope: tuple[str, ...] = TENANT) -> DataFrame:
     """Forward as-of in one batch: the earliest build at or after the read, later records winning ties.
 
-    ``reads``: read_id, name, read_epoch; ``builds``: name, epoch, ord, logic_hash. Reads and
-    builds of a name are read backwards in time, so no read meets more than one build.
+    ``reads``: read_id, name, read_epoch; ``builds``: name, epoch, ord, logic_hash; both with the
+    columns of ``scope``, within which names meet. Reads and builds of a name are read
+    backwards in time, so no read meets more than one build.
     """
     read = reads.filter("read_epoch IS NOT NULL AND name IS NOT NULL").select(
-        "name", (-F.col("read_epoch")).alias("_t"), F.lit(1).alias("_kind"), F.xxhash64("read_id").alias("_ord"), "read_id"
+        *in_tenant(reads, scope), "name", (-F.col("read_epoch")).alias("_t"), F.lit(1).alias("_kind"), F.xxhash64("read_id").alias("_ord"), "read_id"
+    )
+    built = builds.filter("epoch IS NOT NULL AND name IS NOT NULL").select(
+        *in_tenant(builds, scope), "name", (-F.col("epoch")).alias("_t"), F.lit(0).alias("_kind"), F.col("ord").alias("_ord"), F.struct("logic_hash").alias("_build")
     )
-    built = builds.filter("epoch IS NOT NULL AND name IS NOT NULL").select("name", (-F.col("epoch")).alias("_t"), F.lit(0).alias("_kind"), F.col("ord").alias("_ord"), F.struct("logic_hash").alias("_build"))
-    met = last_known(read.unionByName(built, allowMissingColumns=True), ["name"], ["_t", "_kind", "_ord"], "_build")
+    met = last_known(read.unionByName(built, allowMissingColumns=True), [*scope, "name"], ["_t", "_kind", "_ord"], "_build")
     first = met.filter("_kind = 1").select("read_id", F.col("last.logic_hash").alias("logic_hash"))
     return reads.join(first, "read_id", "left").withColumn("producer_state", F.when(F.col("logic_hash").isNotNull(), "build").otherwise("no_build"))
 
 
 def no_pending(rows: DataFrame, pending: DataFrame) -> DataFrame:
-    """Rows whose physical target has no pending write."""
-    return rows.join(pending.select("org_id", "family", "target_key").distinct(), ["org_id", "family", "target_key"], "left_anti")
+    """Rows whose physical target, in its org, family and namespace, has no pending write."""
+    busy = pending.select(*(c.alias(f"_{n}") for c, n in zip(in_tenant(pending, SCOPE), SCOPE, strict=True))).distinct()
+    same = [F.coalesce(rows[c], F.lit("")) == busy[f"_{c}"] if c == "namespace" else rows[c] == busy[f"_{c}"] for c in SCOPE]
+    return rows.join(busy, same, "left_anti")
 
 
-def resolve_deferred(executions: DataFrame, requests: DataFrame) -> DataFrame:
-    """The latest confirmed relation of each node in a request's (project, environment); an empty scope finds nothing."""
-    order = Window.partitionBy("project", "environment", "node_uid").orderBy(F.col("confirmed_ms").desc(), F.col("id").desc())
+def resolve_deferred(executions: DataFrame, requests: DataFrame, scope: tuple[str, ...] = ("org_id", "project", "environment")) -> DataFrame:
+    """The latest confirmed relation of each node in a request's scope; one with an empty part finds nothing.
+
+    ``scope`` may have further columns, such as a profile; both tables hold all of them.
+    """
+    order = Window.partitionBy(*scope, "node_uid").orderBy(F.col("confirmed_ms").desc(), F.col("id").desc())
     latest = executions.filter(F.col("confirmed_ms").isNotNull() & (F.coalesce("target", F.lit("")) != "")).withColumn("_n", F.row_number().over(order)).filter("_n = 1")
-    scope = requests.filter((F.col("project") != "") & (F.col("environment") != "")).select("project", "environment").distinct()
-    return latest.join(scope, ["project", "environment"]).select("project", "environment", "node_uid", "target", "id")
+    wanted = requests.filter(F.forall(F.array(*scope), lambda x: F.coalesce(x, F.lit("")) != "")).select(*scope).distinct()
+    return latest.join(wanted, list(scope)).select(*scope, "node_uid", "target", "id")
 
 
-def copy_chain_depth(history: DataFrame, max_depth: int = 5) -> DataFrame:
+def copy_chain_depth(history: DataFrame, max_depth: int = 5, scope: tuple[str, ...] = TENANT) -> DataFrame:
     """(id, depth) of copies: how many copies deep a state's source is, at most ``max_depth`` + 1.
 
-    ``history``: id, target_key, source_key (NULL for builds), created_ms, confirmed_ms. A
-    copy's parent is its source's latest state with a smaller id that was confirmed by the
+    ``history``: id, target_key, source_key (NULL for builds), created_ms, confirmed_ms, and the
+    columns of ``scope``, which a copy and its source share. A copy's parent is its source's latest state with a smaller id that was confirmed by the
     copy's creation; each step goes to the parent.
     """
     copies = history.filter("source_key IS NOT NULL")
-    parents = written(copy_parents(history).join(copies.select(F.col("id").alias("parent")), "parent", "left_semi"))
+    parents = written(copy_parents(history, scope).join(copies.select(F.col("id").alias("parent")), "parent", "left_semi"))
     at = copies.select("id", F.col("id").alias("at_id"), F.lit(1).alias("depth"))
     out = at.select("id", "depth")
     hop = parents.select(F.col("id").alias("at_id"), "parent")
@@ -185,7 +199,7 @@ def copy_chain_depth(history: DataFrame, max_depth: int = 5) -> DataFrame:
     return out.groupBy("id").agg(F.max("depth").alias("depth"))
 
 
-def copy_parents(history: DataFrame) -> DataFrame:
+def copy_parents(history: DataFrame, scope: tuple[str, ...] = TENANT) -> DataFrame:
     """(id, parent) of copies: the state each copies, where one is known.
 
     The smaller ids are a union of one block of ids for each bit that is set in the copy's
@@ -198,26 +212,34 @@ def copy_parents(history: DataFrame) -> DataFrame:
     bits = history.withColumn("_x", F.col("id") - F.lit(ids.a)).withColumn("_bit", F.explode(F.sequence(F.lit(0), F.lit(max(1, int(ids.b - ids.a).bit_length()) - 1))))
     block, is_set = F.expr("shiftright(_x, _bit)"), F.expr("shiftright(_x, _bit) % 2 = 1")
     states = bits.filter(~is_set & F.col("confirmed_ms").isNotNull() & F.col("target_key").isNotNull()).select(
-        F.col("target_key").alias("_key"), "_bit", block.alias("_block"), F.col("confirmed_ms").alias("_t"), F.lit(0).alias("_kind"), "id", F.struct("confirmed_ms", "id").alias("_state")
+        *in_tenant(history, scope), F.col("target_key").alias("_key"), "_bit", block.alias("_block"), F.col("confirmed_ms").alias("_t"), F.lit(0).alias("_kind"), "id", F.struct("confirmed_ms", "id").alias("_state")
     )
     asked = bits.filter(is_set & F.col("created_ms").isNotNull() & F.col("source_key").isNotNull()).select(
-        F.col("source_key").alias("_key"), "_bit", (block - 1).alias("_block"), F.col("created_ms").alias("_t"), F.lit(1).alias("_kind"), "id"
+        *in_tenant(history, scope), F.col("source_key").alias("_key"), "_bit", (block - 1).alias("_block"), F.col("created_ms").alias("_t"), F.lit(1).alias("_kind"), "id"
     )
-    met = last_known(asked.unionByName(states, allowMissingColumns=True), ["_key", "_bit", "_block"], ["_t", "_kind", "id"], "_state")
+    met = last_known(asked.unionByName(states, allowMissingColumns=True), [*scope, "_key", "_bit", "_block"], ["_t", "_kind", "id"], "_state")
     return met.filter("_kind = 1 AND last IS NOT NULL").groupBy("id").agg(F.max("last").alias("s")).select("id", F.col("s.id").alias("parent"))
 
 
 def copy_candidates(submissions: DataFrame, current: DataFrame, n: int = 16) -> DataFrame:
-    """Other targets whose current state has a submission's namespace identity: the ``n`` latest of each.
+    """Other targets of the same org, family and namespace whose current state has one of a
+    submission's namespace identities: the ``n`` latest of each.
 
-    Ranked by epoch (unknown epochs don't count), then target.
+    ``submissions``: namespace_hash, or ``hashes``, an array of them. Ranked by epoch (unknown
+    epochs don't count), then target. Only the n + 1 best states of an identity are joined, as
+    a submission leaves out no other than its own target's.
     """
+    keys = [*TENANT, "namespace_hash"]
+    order = F.col("source_epoch").desc_nulls_last(), F.col("source_key").asc()
     other = current.filter("last_modified_epoch IS NOT NULL").select(
-        "org_id", "family", "namespace_hash", F.col("target_key").alias("source_key"), F.col("last_modified_epoch").alias("source_epoch"), F.col("id").alias("source_id")
+        *in_tenant(current, TENANT), "namespace_hash", F.col("target_key").alias("source_key"), F.col("last_modified_epoch").alias("source_epoch"), F.col("id").alias("source_id")
     )
-    met = submissions.join(other, ["org_id", "family", "namespace_hash"]).filter(F.col("source_key") != F.col("target_key"))
-    order = Window.partitionBy("submission_id").orderBy(F.col("source_epoch").desc_nulls_last(), F.col("source_key").asc())
-    return met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
+    best = other.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("_n") <= n + 1).drop("_n")
+    asked = submissions.withColumn("namespace", F.coalesce("namespace", F.lit("")))
+    if "hashes" in submissions.columns:
+        asked = asked.withColumn("namespace_hash", F.explode(F.array_distinct("hashes")))
+    met = asked.join(best, keys).filter(F.col("source_key") != F.col("target_key"))
+    return met.withColumn("rank", F.row_number().over(Window.partitionBy("submission_id").orderBy(*order))).filter(F.col("rank") <= n)
 
 
 def first_choice(candidates: DataFrame) -> DataFrame:

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 TOKEN = r"""'(?:[^']|'')*'|"(?:[^"]|"")*"|`[^`]*`|--[^\n]*|/\*[\s\S]*?\*/|[A-Za-z_][A-Za-z0-9_$]*|[0-9]+(?:\.[0-9]+)?|<>|!=|<=|>=|\|\||::|\s+|."""
 # Functions whose value changes between runs, and bare names of clocks.
-CALLS = ("now", "current_timestamp", "current_date", "current_time", "getdate", "sysdate", "localtimestamp", "random", "rand", "randn", "uuid", "uuid_string", "gen_random_uuid", "nextval", "seq4", "seq8")
-BARE = ("current_timestamp", "current_date", "current_time", "localtimestamp", "sysdate")
+CALLS = ("now", "current_timestamp", "current_date", "current_time", "getdate", "sysdate", "localtimestamp", "random", "rand", "randn", "uuid", "uuid_string", "gen_random_uuid", "nextval", "seq1", "seq2", "seq4", "seq8", "systimestamp", "localtime", "randstr", "normal", "uniform", "zipf")
+BARE = ("current_timestamp", "current_date", "current_time", "localtimestamp", "localtime")
 
 
 def sql_tokens(sql: Column) -> Column:

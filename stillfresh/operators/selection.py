@@ -172,6 +172,18 @@ def run_completed(results: DataFrame) -> DataFrame:
 
 
 def seed_candidates(submissions: DataFrame, current: DataFrame) -> DataFrame:
-    """Loads of the same seed, values included, on other targets."""
-    other = current.filter(F.col("execution_type") == SEED).select("logic_hash", "values_hash", F.col("target_key").alias("source_key"), F.col("id").alias("source_id"))
-    return submissions.join(other, ["logic_hash", "values_hash"]).filter(F.col("source_key") != F.col("target_key"))
+    """Loads of the same seed, values included, on other targets of the same org, family and namespace."""
+    from .history import TENANT, in_tenant
+
+    other = current.filter(F.col("execution_type") == SEED).select(*in_tenant(current, TENANT), "logic_hash", "values_hash", F.col("target_key").alias("source_key"), F.col("id").alias("source_id"), F.col("last_modified_epoch").alias("source_epoch"))
+    asked = submissions.withColumn("namespace", F.coalesce("namespace", F.lit("")))
+    return asked.join(other, [*TENANT, "logic_hash", "values_hash"]).filter(F.col("source_key") != F.col("target_key"))
+
+
+def seed_source(candidates: DataFrame, same_object: Column) -> DataFrame:
+    """The newest candidate of each submission that names the same object in another schema; ties go to smaller keys.
+
+    No paging: what isn't admitted is left out before the best one is picked.
+    """
+    best = F.max_by(F.struct("source_key", "source_id"), F.struct("source_epoch", (-F.col("source_id")).alias("i")))
+    return candidates.filter(same_object & F.col("source_epoch").isNotNull()).groupBy("submission_id").agg(best.alias("s")).select("submission_id", "s.source_key", "s.source_id")

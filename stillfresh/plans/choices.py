@@ -90,11 +90,11 @@ def _(t):
     "l20_copy_search",
     """SELECT submission_id, min(rank) FILTER (v = 'choose') AS c, min(rank) FILTER (v = 'stop') AS s
        FROM (SELECT *, CASE WHEN source_id % 7 = 0 THEN 'stop' WHEN source_id % 2 = 0 THEN CASE WHEN source_id % 3 = 0 THEN 'choose' ELSE 'next' END WHEN submission_id % 3 > 0 AND coalesce(stale, 0) = 0 THEN 'choose' ELSE 'stop' END AS v
-             FROM (SELECT *, max(CASE WHEN source_id % 2 = 0 AND source_id % 7 > 0 AND source_id % 3 > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY submission_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS stale FROM met)) GROUP BY 1""",
+             FROM (SELECT *, max(CASE WHEN source_id % 2 = 0 AND source_id % 7 > 0 AND source_id % 3 > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY submission_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS stale FROM met WHERE rank <= 16)) GROUP BY 1""",
     RANKED, CURRENT, CANDIDATES,
 )
 def _(t):
-    met = history.copy_candidates(t("submissions"), history.current_state(t("executions")), 1 << 20)
+    met = history.copy_candidates(t("submissions"), history.current_state(t("executions")), 16)
     df = met.withColumns({"same_upstreams": flag("source_id % 2 = 0"), "reusable": flag("source_id % 3 = 0"), "exists": flag("source_id % 7 > 0"), "own_candidate": flag("submission_id % 3 = 0")})
     # candidates of one epoch and target may tie; the counts below don't depend on their order
     out = selection.search_offers(df).groupBy("submission_id")
@@ -261,11 +261,28 @@ def _(t):
     return selection.run_completed(items)
 
 
-@query("c8_seed_candidates", "SELECT a.id, b.id AS source_id FROM executions a JOIN current b ON a.logic_hash = b.logic_hash AND a.project = b.project AND a.target_key <> b.target_key WHERE b.execution_type = 8 AND a.execution_type = 8", RANKED, CURRENT)
+SEEDS = "seeds AS (SELECT * FROM current WHERE execution_type = 8)"
+SEED_PAIRS = "pairs AS (SELECT a.id, b.id AS source_id, a.target_key, b.target_key AS source_key, b.last_modified_epoch AS epoch FROM executions a JOIN seeds b ON a.org_id = b.org_id AND a.family = b.family AND coalesce(a.namespace, '') = b.namespace AND a.namespace_hash = b.namespace_hash AND a.id % 2 = b.id % 2 AND a.target_key <> b.target_key WHERE a.execution_type = 8)"
+
+
+def seed_pairs(t):
+    seeds = lambda d: d.withColumns({"logic_hash": F.col("namespace_hash"), "values_hash": F.col("id") % 2})
+    subs = seeds(t("executions")).filter("execution_type = 8").select(F.col("id").alias("submission_id"), *history.TENANT, "logic_hash", "values_hash", "target_key")
+    return selection.seed_candidates(subs, seeds(history.current_state(t("executions"))))
+
+
+@query("c8_seed_candidates", "SELECT id, source_id FROM pairs", RANKED, CURRENT, SEEDS, SEED_PAIRS)
+def _(t):
+    return seed_pairs(t).select(F.col("submission_id").alias("id"), "source_id")
+
+
+@query(
+    "f4_seed_source",
+    "SELECT id AS submission_id, source_key, source_id FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY epoch DESC, source_id) AS n FROM pairs WHERE epoch IS NOT NULL AND source_id % 3 > 0) WHERE n = 1",
+    RANKED, CURRENT, SEEDS, SEED_PAIRS,
+)
 def _(t):
-    seeds = lambda d: d.withColumn("values_hash", F.col("project"))
-    subs = seeds(t("executions")).filter("execution_type = 8").select("id", "logic_hash", "values_hash", "target_key")
-    return selection.seed_candidates(subs, seeds(history.current_state(t("executions")))).select("id", "source_id")
+    return selection.seed_source(seed_pairs(t), F.col("source_id") % 3 > 0)
 
 
 @query("m3_lineage", "SELECT n.uid, coalesce(d.decision, 'none') AS decision, count(i.name) AS inputs FROM nodes n LEFT JOIN (SELECT 'n' || right(node_uid, 1) AS uid, arg_max(decision, decision_id) AS decision FROM decisions WHERE length(node_uid) = 7 GROUP BY 1) d USING (uid) LEFT JOIN node_inputs i USING (uid) GROUP BY ALL")

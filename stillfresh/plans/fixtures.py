@@ -19,11 +19,11 @@ SELECTS = {
                CASE WHEN o_custkey % 5 = 0 THEN NULL WHEN o_custkey % 5 = 1 THEN '' ELSE 'ns' || CAST(o_custkey % 2 AS VARCHAR(20)) END AS namespace,
                'Cat.s' || CAST(o_custkey % 4 AS VARCHAR(20)) || '.t' || CAST(o_custkey % 60 AS VARCHAR(20)) AS target,
                'model.' || CAST(o_custkey % 60 AS VARCHAR(20)) AS node_uid, CAST(1 + o_orderkey % 10 AS INT) AS execution_type,
-               CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE MS(o_orderdate) END AS last_modified_epoch,
+               CASE WHEN o_orderkey % 11 = 0 AND o_custkey % 60 % 7 = 0 THEN NULL ELSE MS(o_orderdate) END AS last_modified_epoch,
                MS(o_orderdate) - 60000 AS created_ms,
-               CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE MS(o_orderdate) + o_orderkey % 7 * 1000 END AS confirmed_ms,
+               CASE WHEN o_orderkey % 13 = 0 AND o_custkey % 60 % 4 = 1 THEN NULL ELSE MS(o_orderdate) + o_orderkey % 7 * 1000 END AS confirmed_ms,
                md5('logic' || CAST(o_custkey % 60 AS VARCHAR(20)) || CAST(o_orderkey % 3 AS VARCHAR(20))) AS logic_hash,
-               md5('ns' || CAST(o_custkey % 15 AS VARCHAR(20))) AS namespace_hash,
+               md5('ns' || CAST(o_custkey % 6 AS VARCHAR(20))) AS namespace_hash,
                'p' || CAST(o_custkey % 7 AS VARCHAR(20)) AS project, CASE WHEN o_custkey % 9 = 0 THEN '' ELSE 'env' || CAST(o_custkey % 2 AS VARCHAR(20)) END AS environment,
                o_orderkey * 37 % 5000 AS runtime_ms
         FROM orders""",
@@ -41,7 +41,7 @@ SELECTS = {
                CASE WHEN c_custkey % 5 < 2 THEN '' ELSE 'ns' || CAST(c_custkey % 2 AS VARCHAR(20)) END AS namespace,
                'cat.s' || CAST(c_custkey % 4 AS VARCHAR(20)) || '.t' || CAST(c_custkey % 60 AS VARCHAR(20)) AS target_key,
                md5('logic' || CAST(c_custkey % 60 AS VARCHAR(20)) || CAST(c_custkey % 3 AS VARCHAR(20))) AS submitted_hash,
-               md5('ns' || CAST(c_custkey % 15 AS VARCHAR(20))) AS namespace_hash,
+               md5('ns' || CAST(c_custkey % 6 AS VARCHAR(20))) AS namespace_hash,
                CAST(1 + c_custkey % 10 AS INT) AS execution_type, CASE WHEN c_custkey % 2 = 0 THEN 'any' ELSE 'all' END AS policy,
                CASE c_custkey % 3 WHEN 0 THEN 0 WHEN 1 THEN 86400000 ELSE 31536000000 END AS tolerance_ms, 1100000000000 AS now_ms
         FROM customer""",

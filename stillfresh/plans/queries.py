@@ -130,11 +130,10 @@ def _(t):
     return t("executions").join(deps, "id").select("id", identity.logic_hash(*one).alias("logic"))
 
 
-@query("h8_scd_id", "SELECT o_orderkey AS k, md5(o_custkey || '|' || strftime(o_orderdate, '%Y-%m-%d %H:%M:%S')) AS id FROM orders WHERE hour(o_orderdate) + second(o_orderdate) >= 0")
+@query("h8_scd_id", "SELECT o_orderkey AS k, md5(o_custkey || '|' || rtrim(rtrim(strftime(CAST(o_orderdate AS TIMESTAMP) + to_milliseconds(o_orderkey % 100 * 50), '%Y-%m-%d %H:%M:%S.%f'), '0'), '.')) AS id FROM orders")
 def _(t):
-    stamp = F.col("o_orderdate").cast("timestamp")
-    # a whole second keeps its zeros: only a fraction's are trimmed
-    return t("orders").select(F.col("o_orderkey").alias("k"), F.md5(F.concat_ws("|", F.col("o_custkey").cast("string"), F.date_format(stamp, "yyyy-MM-dd HH:mm:ss"))).alias("id"))
+    stamp = F.timestamp_millis(F.unix_millis(F.col("o_orderdate").cast("timestamp")) + F.col("o_orderkey") % 100 * 50)
+    return t("orders").select(F.col("o_orderkey").alias("k"), identity.scd_id(F.col("o_custkey").cast("string"), stamp).alias("id"))
 
 
 # --- displays ---------------------------------------------------------------------------------
@@ -195,9 +194,9 @@ def _(t):
     return short(history.latest_test(t("executions")))
 
 
-@query("e5_deferral", "SELECT project, environment, node_uid, target, id FROM (SELECT *, row_number() OVER (PARTITION BY project, environment, node_uid ORDER BY confirmed_ms DESC, id DESC) AS n FROM executions WHERE confirmed_ms IS NOT NULL) WHERE n = 1 AND environment <> '' AND project <> 'p0'")
+@query("e5_deferral", "SELECT org_id, project, environment, node_uid, target, id FROM (SELECT *, row_number() OVER (PARTITION BY org_id, project, environment, node_uid ORDER BY confirmed_ms DESC, id DESC) AS n FROM executions WHERE confirmed_ms IS NOT NULL) WHERE n = 1 AND environment <> '' AND project <> 'p0'")
 def _(t):
-    wanted = t("executions").select("project", "environment").filter("project <> 'p0'")
+    wanted = t("executions").select("org_id", "project", "environment").filter("project <> 'p0'")
     return history.resolve_deferred(t("executions"), wanted)
 
 
@@ -286,16 +285,19 @@ def _(t):
 
 @query(
     "c3_batch_producers",
-    """SELECT read_id, r.name, read_epoch, logic_hash, CASE WHEN logic_hash IS NULL THEN 'no_build' ELSE 'build' END AS producer_state
-       FROM (SELECT execution_id AS read_id, name, min(epoch) AS read_epoch FROM inputs WHERE execution_id % 4 = 0 GROUP BY 1, 2 HAVING execution_id % 3 = name[-1]::INT % 3) r
-       LEFT JOIN LATERAL (SELECT logic_hash FROM executions WHERE target_key = r.name AND last_modified_epoch >= r.read_epoch ORDER BY last_modified_epoch, id DESC LIMIT 1) b ON true""".replace("name[-1]::INT", "CAST(right(name, 1) AS INT)"),
+    """SELECT execution_id AS read_id, r.name, read_epoch, logic_hash, CASE WHEN logic_hash IS NULL THEN 'no_build' ELSE 'build' END AS producer_state
+       FROM (SELECT execution_id, name, org_id, family, namespace, min(read_epoch) AS read_epoch FROM reads GROUP BY ALL) r
+       ASOF LEFT JOIN (SELECT org_id, family, coalesce(namespace, '') AS namespace, target_key AS name, last_modified_epoch AS epoch, arg_max(logic_hash, id) AS logic_hash
+                       FROM executions WHERE last_modified_epoch IS NOT NULL GROUP BY 1, 2, 3, 4, 5) b
+       ON r.org_id = b.org_id AND r.family = b.family AND r.namespace = b.namespace AND r.name = b.name AND r.read_epoch <= b.epoch""",
+    READS,
 )
 def _(t):
-    reads = t("inputs").filter("execution_id % 4 = 0").groupBy(F.col("execution_id").alias("read_id"), "name").agg(F.min("epoch").alias("read_epoch"))
-    reads = reads.filter("read_id % 3 = CAST(right(name, 1) AS INT) % 3").withColumn("key", F.concat_ws("|", "read_id", "name"))
-    builds = t("executions").select(F.col("target_key").alias("name"), F.col("last_modified_epoch").alias("epoch"), F.col("id").alias("ord"), "logic_hash")
-    out = history.batch_producers(reads.select(F.col("key").alias("read_id"), "name", "read_epoch"), builds)
-    return out.select(F.substring_index("read_id", "|", 1).cast("long").alias("read_id"), "name", "read_epoch", "logic_hash", "producer_state")
+    scope = t("executions").select(F.col("id").alias("execution_id"), *history.in_tenant(t("executions"), history.TENANT))
+    reads = t("inputs").groupBy("execution_id", "name").agg(F.min("epoch").alias("read_epoch")).join(scope, "execution_id").withColumn("read_id", F.struct("execution_id", "name"))
+    builds = t("executions").select(*history.TENANT, F.col("target_key").alias("name"), F.col("last_modified_epoch").alias("epoch"), F.col("id").alias("ord"), "logic_hash")
+    out = history.batch_producers(reads.drop("execution_id"), builds)
+    return out.select(F.col("read_id.execution_id").alias("read_id"), "name", "read_epoch", "logic_hash", "producer_state")
 
 
 @query(
@@ -308,59 +310,57 @@ def _(t):
 def _(t):
     reads = t("inputs").groupBy(F.struct("execution_id", "name").alias("read_id"), "name").agg(F.min("epoch").alias("read_epoch"))
     builds = t("executions").select(F.col("target_key").alias("name"), F.col("last_modified_epoch").alias("epoch"), F.col("id").alias("ord"), "logic_hash")
-    return history.batch_producers(reads, builds).withColumn("read_id", F.col("read_id.execution_id"))
+    return history.batch_producers(reads, builds, scope=()).withColumn("read_id", F.col("read_id.execution_id"))
+
 
+CHAIN = "chain AS (SELECT id, target_key, CASE WHEN id % 2 = 0 THEN 'cat.s' || (id % 4) || '.t' || (id % 60) END AS source_key, created_ms, confirmed_ms, org_id, family, coalesce(namespace, '') AS namespace FROM executions WHERE confirmed_ms IS NOT NULL)"
 
-CHAIN = "chain AS (SELECT id, target_key, CASE WHEN id % 2 = 0 THEN 'cat.s' || (id % 4) || '.t' || (id % 60) END AS source_key, created_ms, confirmed_ms FROM executions WHERE id % 7 = 0 AND confirmed_ms IS NOT NULL)"
+
+def chain_of(t):
+    source = F.when(F.col("id") % 2 == 0, F.concat(F.lit("cat.s"), (F.col("id") % 4).cast("string"), F.lit(".t"), (F.col("id") % 60).cast("string")))
+    return t("executions").filter("confirmed_ms IS NOT NULL").select("id", "target_key", source.alias("source_key"), "created_ms", "confirmed_ms", *history.TENANT)
 
 
 @query(
     "c4_copy_chain",
-    """SELECT id, max(depth) AS depth FROM walk GROUP BY id""",
+    "SELECT id, max(depth) AS depth FROM walk GROUP BY id",
     CHAIN,
-    """walk AS (WITH RECURSIVE w AS (
-         SELECT id, id AS at_id, source_key, created_ms, 1 AS depth FROM chain WHERE source_key IS NOT NULL
-         UNION ALL
-         SELECT w.id, p.id, p.source_key, p.created_ms, w.depth + 1 FROM w, chain p
-         WHERE w.depth <= 3 AND p.target_key = w.source_key AND p.confirmed_ms <= w.created_ms AND p.id < w.at_id AND p.source_key IS NOT NULL
-           AND NOT EXISTS (SELECT 1 FROM chain q WHERE q.target_key = w.source_key AND q.confirmed_ms <= w.created_ms AND q.id < w.at_id AND (q.confirmed_ms, q.id) > (p.confirmed_ms, p.id)))
-       SELECT * FROM w)""",
+    """parents AS (SELECT id, parent FROM (SELECT c.id, p.id AS parent, p.source_key, row_number() OVER (PARTITION BY c.id ORDER BY p.confirmed_ms DESC, p.id DESC) AS n
+         FROM chain c JOIN chain p ON p.target_key = c.source_key AND p.org_id = c.org_id AND p.family = c.family AND p.namespace = c.namespace AND p.confirmed_ms <= c.created_ms AND p.id < c.id) WHERE n = 1 AND source_key IS NOT NULL)""",
+    """walk AS (WITH RECURSIVE w AS (SELECT id, id AS at_id, 1 AS depth FROM chain WHERE source_key IS NOT NULL
+         UNION ALL SELECT w.id, p.parent, w.depth + 1 FROM w JOIN parents p ON p.id = w.at_id WHERE w.depth <= 3) SELECT * FROM w)""",
 )
 def _(t):
-    source = F.when(F.col("id") % 2 == 0, F.concat(F.lit("cat.s"), (F.col("id") % 4).cast("string"), F.lit(".t"), (F.col("id") % 60).cast("string")))
-    chain = t("executions").filter("id % 7 = 0 AND confirmed_ms IS NOT NULL").select("id", "target_key", source.alias("source_key"), "created_ms", "confirmed_ms")
-    return history.copy_chain_depth(chain, 3)
+    return history.copy_chain_depth(chain_of(t), 3)
 
 
 @query(
     "c4_all_copy_chains",
     "SELECT id, max(depth) AS depth FROM walk GROUP BY id",
-    CHAIN.replace("id % 7 = 0 AND ", ""),
+    CHAIN,
     """parents AS (SELECT id, parent FROM (SELECT c.id, p.id AS parent, p.source_key, row_number() OVER (PARTITION BY c.id ORDER BY p.confirmed_ms DESC, p.id DESC) AS n
          FROM chain c JOIN chain p ON p.target_key = c.source_key AND p.confirmed_ms <= c.created_ms AND p.id < c.id) WHERE n = 1 AND source_key IS NOT NULL)""",
     """walk AS (WITH RECURSIVE w AS (SELECT id, id AS at_id, 1 AS depth FROM chain WHERE source_key IS NOT NULL
          UNION ALL SELECT w.id, p.parent, w.depth + 1 FROM w JOIN parents p ON p.id = w.at_id WHERE w.depth <= 3) SELECT * FROM w)""",
 )
 def _(t):
-    source = F.when(F.col("id") % 2 == 0, F.concat(F.lit("cat.s"), (F.col("id") % 4).cast("string"), F.lit(".t"), (F.col("id") % 60).cast("string")))
-    chain = t("executions").filter("confirmed_ms IS NOT NULL").select("id", "target_key", source.alias("source_key"), "created_ms", "confirmed_ms")
-    return history.copy_chain_depth(chain, 3)
+    return history.copy_chain_depth(chain_of(t), 3, scope=())
 
 
-@query("c6_no_pending", "SELECT id FROM executions e WHERE confirmed_ms IS NOT NULL AND NOT EXISTS (SELECT 1 FROM executions p WHERE p.confirmed_ms IS NULL AND p.id % 5 = 0 AND p.org_id = e.org_id AND p.family = e.family AND p.target_key = e.target_key)")
+@query("c6_no_pending", "SELECT id FROM executions e WHERE confirmed_ms IS NOT NULL AND NOT EXISTS (SELECT 1 FROM executions p WHERE p.confirmed_ms IS NULL AND p.id % 5 = 0 AND p.org_id = e.org_id AND p.family = e.family AND coalesce(p.namespace, '') = coalesce(e.namespace, '') AND p.target_key = e.target_key)")
 def _(t):
     e = t("executions")
     return history.no_pending(e.filter("confirmed_ms IS NOT NULL"), e.filter("confirmed_ms IS NULL AND id % 5 = 0")).select("id")
 
 
-@query("c6_all_pending", "SELECT id FROM executions e WHERE confirmed_ms IS NOT NULL AND NOT EXISTS (SELECT 1 FROM executions p WHERE p.confirmed_ms IS NULL AND p.org_id = e.org_id AND p.family = e.family AND p.target_key = e.target_key)")
+@query("c6_all_pending", "SELECT id FROM executions e WHERE confirmed_ms IS NOT NULL AND NOT EXISTS (SELECT 1 FROM executions p WHERE p.confirmed_ms IS NULL AND p.org_id = e.org_id AND p.family = e.family AND coalesce(p.namespace, '') = coalesce(e.namespace, '') AND p.target_key = e.target_key)")
 def _(t):
     e = t("executions")
     return history.no_pending(e.filter("confirmed_ms IS NOT NULL"), e.filter("confirmed_ms IS NULL")).select("id")
 
 
 CANDIDATES = """met AS (SELECT submission_id, c.target_key AS source_key, last_modified_epoch AS source_epoch, row_number() OVER (PARTITION BY submission_id ORDER BY last_modified_epoch DESC, c.target_key) AS rank, c.id AS source_id
-  FROM submissions s JOIN current c ON s.org_id = c.org_id AND s.family = c.family AND s.namespace_hash = c.namespace_hash AND s.target_key <> c.target_key WHERE last_modified_epoch IS NOT NULL)"""
+  FROM submissions s JOIN current c ON s.org_id = c.org_id AND s.family = c.family AND s.namespace = c.namespace AND s.namespace_hash = c.namespace_hash AND s.target_key <> c.target_key WHERE last_modified_epoch IS NOT NULL)"""
 
 
 def candidates(t, n):
@@ -374,12 +374,12 @@ def _(t):
 
 @query(
     "f2_first_choice",
-    "SELECT submission_id, CASE WHEN c < coalesce(s, 1000000) THEN c END AS chosen_rank FROM (SELECT submission_id, min(CASE WHEN source_epoch % 3 = 0 THEN rank END) AS c, min(CASE WHEN source_epoch % 3 = 1 THEN rank END) AS s FROM met GROUP BY 1)",
+    "SELECT submission_id, CASE WHEN c < coalesce(s, 1000000) THEN c END AS chosen_rank FROM (SELECT submission_id, min(CASE WHEN source_epoch % 3 = 0 THEN rank END) AS c, min(CASE WHEN source_epoch % 3 = 1 THEN rank END) AS s FROM met WHERE rank <= 16 GROUP BY 1)",
     RANKED, CURRENT, CANDIDATES.replace("last_modified_epoch AS source_epoch", "last_modified_epoch // 86400000 AS source_epoch").replace("DESC, c.target_key)", "DESC, c.target_key, c.id)"),
 )
 def _(t):
     day = F.floor(F.col("source_epoch") / 86400000) % 3
-    return history.first_choice(candidates(t, 1 << 20).withColumn("verdict", F.when(day == 0, "choose").when(day == 1, "stop").otherwise("next")))
+    return history.first_choice(candidates(t, 16).withColumn("verdict", F.when(day == 0, "choose").when(day == 1, "stop").otherwise("next")))
 
 
 # --- freshness and decisions ------------------------------------------------------------------

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -28,7 +29,12 @@ CREDENTIAL = ("authorization", "cookie", "token", "secret", "password", "credent
 
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a table in the shared folder, so that its rows and their places are settled."""
-    base = df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = f"file://{tempfile.gettempdir()}"
     path = f"{base.rstrip('/')}/stillfresh-{uuid.uuid4().hex}/written"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
