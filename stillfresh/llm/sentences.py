@@ -128,6 +128,19 @@ def repeated_runs(base: DataFrame) -> DataFrame:
     return met.join(firsts, ["h", "g", "row", "at"], "left").select("row", "doc_id", "at", "k", "first_id", F.coalesce("first", F.lit(False)).alias("first"))
 
 
+def rows_passing(base: DataFrame, rows: DataFrame, wanted: bool) -> DataFrame:
+    """row, doc_id, parts of the rows that a bitset of ``rows`` lets pass, or of the others; nothing moves."""
+    shared = base.sparkSession.sparkContext.broadcast(member_filter(rows.select(F.xxhash64("row").alias("h"))))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            good = passes(shared.value, b.column(0).to_numpy()) == wanted
+            if good.any():
+                yield b.select(["row", "doc_id", "parts"]).filter(pa.array(good))
+
+    return base.select(F.xxhash64("row").alias("h"), "row", "doc_id", "parts").mapInArrow(keep, "row bigint, doc_id bigint, parts array<string>")
+
+
 def repeated_sentences(
     docs: DataFrame, min_words: int = MIN_WORDS, span: int | None = SPAN, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -149,10 +162,12 @@ def repeated_sentences(
         F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.sequence("at", F.col("at") + F.col("k") - 1))))).alias("removed"),
         F.array_sort(F.collect_set("first_id")).alias("first_ids"),
     )
+    covered = materialize(covered, "covered")
     none = F.array().cast("array<int>"), F.array().cast("array<bigint>")
-    return base.select("doc_id", "row", "parts").join(covered, "row", "left").select(
-        "doc_id", "row", "parts", F.coalesce("removed", none[0]).alias("removed"), F.coalesce("first_ids", none[1]).alias("first_ids")
-    )
+    met = rows_passing(base, covered, True).join(covered, "row", "left").withColumns({"removed": F.coalesce("removed", none[0]), "first_ids": F.coalesce("first_ids", none[1])})
+    rest = rows_passing(base, covered, False).withColumns({"removed": none[0], "first_ids": none[1]})
+    columns = "doc_id", "row", "parts", "removed", "first_ids"
+    return met.select(*columns).unionByName(rest.select(*columns))
 
 
 def drop_repeats(docs: DataFrame, **settings) -> DataFrame:
