@@ -10,6 +10,17 @@ KINDS = ("unspecified", "full", "append", "merge", "delete_insert", "microbatch"
 DECISIONS = ("unspecified", "build", "skip", "clone")
 SNAPSHOT, SEED, TEST, VIEW = 7, 8, 9, 10
 
+# Stored codes of decision reasons, by number.
+REASONS = (
+    "first_build", "existing_target_without_history", "data_test_existing_target_without_history", "query_observed_outside_scope",
+    "query_changed_outside_scope", "existing_target_copy_disabled_diagnostic", "no_reuse_candidate.identity_mismatch",
+    "no_reuse_candidate.resolution_context_changed", "no_reuse_candidate.input_binding_changed", "no_reuse_candidate.execution_type_changed",
+    "no_reuse_candidate.upstream_names_changed", "no_reuse_candidate.copy_logic_mismatch", "no_reuse_candidate.failed_reuse_qualification",
+    "no_reuse_candidate.own_target_changed_or_missing", "no_reuse_candidate.own_target_modified", "no_reuse_candidate.own_target_missing",
+    "no_reuse_candidate.incomplete_cached_test_results", "dependency_set_changed", "no_build_anchor", "upstream_outdated",
+    "upstream_query_changed", "reused.fresh", "reused.tolerated_stale", "reused.within_lag_tolerance", "result_copy", "copy_chain_limit", "copy_disabled",
+)
+
 
 def humanize_ms(ms: Column) -> Column:
     """A duration in whole units, rounded down; months are 30.5 days, rounded to the nearest."""
@@ -41,7 +52,7 @@ def relative_age(now_ms: Column, then_ms: Column, family: Column) -> Column:
         .when(age.between(60_000, 3_599_999), F.when(lake, even(60)).otherwise(F.floor((s + 30) / 60) * 60_000))
         .otherwise(age)
     )
-    return F.when(age < 1000, "now").otherwise(F.concat(humanize_ms(rounded), F.lit(" ago")))
+    return F.when(age < 1000, "now").otherwise(F.concat(F.transform(F.array(rounded), humanize_ms)[0], F.lit(" ago")))  # an array, so that the rounded age is worked out once
 
 
 def utc_text(ms: Column) -> Column:
@@ -52,6 +63,12 @@ def micros_text(us: Column) -> Column:
     return F.date_format(F.timestamp_micros(us), "yyyy-MM-dd HH:mm:ss.SSSSSS")
 
 
+def micros(text: Column) -> Column:
+    """Microseconds of a UTC time text; NULL unless :func:`micros_text` gives the same text back."""
+    us = F.unix_micros(F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm:ss.SSSSSS")))
+    return F.when(micros_text(us) == text, us)
+
+
 def fmt_runtime(ms: Column) -> Column:
     return F.when(ms >= 1000, F.concat(F.format_string("%.1f", ms / 1000.0), F.lit("s"))).when(ms.isNotNull(), F.concat(ms.cast("string"), F.lit("ms"))).otherwise("—")
 
@@ -64,6 +81,17 @@ def decision_name(decision: Column) -> Column:
     return F.coalesce(F.get(F.array(*map(F.lit, DECISIONS)), decision), F.lit("unknown"))
 
 
+def reason_code(number: Column) -> Column:
+    """The stored code of a reason's number; NULL for numbers that name none."""
+    return F.get(F.array(*map(F.lit, REASONS)), number)
+
+
+def reason_number(code: Column) -> Column:
+    """The number of a stored code; NULL for any other text."""
+    place = F.array_position(F.array(*map(F.lit, REASONS)), code)
+    return F.when(place > 0, place - 1)
+
+
 def node_noun(kind: Column) -> Column:
     return F.when(kind == SNAPSHOT, "snapshot").when(kind == TEST, "data test").when(kind == SEED, "seed").otherwise("model")
 

@@ -37,8 +37,8 @@ def rollup_dimension(dimension: DataFrame, decisions: DataFrame, key: str) -> Da
 
 def decision_rollup(decisions: DataFrame) -> DataFrame:
     """Totals of every level from org down to invocation, in one pass; ``level`` counts the keys that are rolled up."""
-    rolled = decisions.rollup("org_id", "project", "environment").agg(F.grouping_id().alias("gid"), F.count(F.lit(1)).alias("total"), F.count_if(_is("build")).alias("built"))
-    return rolled.select("org_id", "project", "environment", F.bit_count("gid").alias("level"), "total", "built")
+    rolled = decisions.rollup("org_id", "project", "environment", "invocation").agg(F.grouping_id().alias("gid"), F.count(F.lit(1)).alias("total"), F.count_if(_is("build")).alias("built"))
+    return rolled.select("org_id", "project", "environment", "invocation", F.bit_count("gid").alias("level"), "total", "built")
 
 
 def invocation_counts(decisions: DataFrame) -> DataFrame:
@@ -73,6 +73,22 @@ def explain_census(decisions: DataFrame) -> DataFrame:
     return sets.select("kind", "decision", F.col("gid").cast("int").alias("gid"), "n")
 
 
+def tree_census(trees: DataFrame) -> DataFrame:
+    """(kind, decision, measure, name, n): what explain trees hold, by kind and decision and over all (both NULL).
+
+    ``trees``: kind, decision, origin, lines (array of marker and badge; NULL or empty for an
+    empty tree). Measures: tree, empty, origin, marker, badge; a NULL name counts as ''.
+    """
+    fact = lambda measure, name: F.struct(F.lit(measure).alias("measure"), F.coalesce(name, F.lit("")).alias("name"))
+    lines = F.coalesce("lines", F.array().cast(trees.schema["lines"].dataType))
+    whole = F.array(fact("tree", F.lit("")), fact("origin", F.col("origin")))
+    empty = F.when(F.size(lines) == 0, F.array(fact("empty", F.lit("")))).otherwise(F.array().cast("array<struct<measure:string,name:string>>"))
+    of_lines = [F.transform(lines, lambda x: fact("marker", x["marker"])), F.transform(lines, lambda x: fact("badge", x["badge"]))]
+    facts = trees.select("kind", "decision", F.explode(F.concat(whole, empty, *of_lines)).alias("f")).select("kind", "decision", "f.measure", "f.name")
+    keys = [F.col(c) for c in ("kind", "decision", "measure", "name")]
+    return facts.groupingSets([keys, keys[2:]], *keys).agg(F.count(F.lit(1)).alias("n"))
+
+
 def agreement_report(compared: DataFrame) -> DataFrame:
     """Totals by mutation axis and over all: agreements, skips only one side took, divergences."""
     same = F.col("expected") == F.col("actual")

@@ -10,6 +10,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.identity import scd_id
 
@@ -19,6 +20,17 @@ def build_full(sel: DataFrame) -> DataFrame:
     return sel
 
 
+def build_seed(rows: DataFrame, schema: T.StructType) -> DataFrame:
+    """A seed's next version: the file's rows in the declared columns and types; a value that doesn't fit fails the build."""
+    return rows.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields))
+
+
+def build_view(name: str, definition: DataFrame) -> DataFrame:
+    """A view holds no rows: its definition is registered under ``name`` and read anew each time."""
+    definition.createOrReplaceTempView(name)
+    return definition.sparkSession.table(name)
+
+
 def build_append(prev: DataFrame, sel: DataFrame) -> DataFrame:
     return prev.unionByName(sel)
 
@@ -106,6 +118,12 @@ def build_replace_where(prev: DataFrame, sel: DataFrame, pred: str) -> DataFrame
     return prev.filter(~holds).unionByName(checked)
 
 
+def snapshot_match(open_: DataFrame, src: DataFrame, key: str) -> DataFrame:
+    """Open versions ``o`` and source rows ``s`` of the same key; either is NULL where the other side has no such key."""
+    o, s = open_.select(F.struct("*").alias("o")), src.select(F.struct("*").alias("s"))
+    return o.join(s, F.col(f"o.{key}") == F.col(f"s.{key}"), "full_outer")
+
+
 def build_snapshot(
     hist: DataFrame, src: DataFrame, key: str, strategy: str, now, updated_at: str | None = None, check_cols: tuple[str, ...] = (), hard_deletes: str = "ignore"
 ) -> DataFrame:
@@ -118,8 +136,7 @@ def build_snapshot(
     ``invalidate`` closes open versions whose key the source lacks.
     """
     open_, closed = hist.filter("dbt_valid_to IS NULL"), hist.filter("dbt_valid_to IS NOT NULL")
-    o, s = open_.select(F.struct("*").alias("o")), src.select(F.struct("*").alias("s"))
-    both = o.join(s, F.col(f"o.{key}") == F.col(f"s.{key}"), "full_outer")
+    both = snapshot_match(open_, src, key)
     when = F.col(f"s.{updated_at}") if updated_at else F.lit(now)
     if strategy == "timestamp":
         differs = F.coalesce(F.col("o.dbt_valid_from") < F.col(f"s.{updated_at}"), F.lit(False))
@@ -167,10 +184,13 @@ def select_new(src: DataFrame, target: DataFrame, column: str, default) -> DataF
 
 
 def transition(prev: DataFrame, sel: DataFrame, before: str, after: str, key: list[str]) -> DataFrame:
-    """A node of another kind on the same name: append and merge go on with the rows that an incremental kind left; all else starts anew."""
-    incremental = ("append", "merge")
-    if before in incremental and after == "append":
-        return build_append(prev, sel)
-    if before in incremental and after == "merge":
-        return build_merge(prev, sel, key)
-    return build_full(sel)
+    """A node of another kind on the same name: an incremental kind goes on with the rows that one left; all else starts anew.
+
+    Incremental kinds: append, merge, delete_insert and insert_overwrite (``key`` names its
+    partitions). A table, seed or view before or after means the selection alone.
+    """
+    go_on = {
+        "append": lambda: build_append(prev, sel), "merge": lambda: build_merge(prev, sel, key),
+        "delete_insert": lambda: build_delete_insert(prev, sel, key), "insert_overwrite": lambda: build_insert_overwrite(prev, sel, key),
+    }
+    return go_on[after]() if before in go_on and after in go_on else build_full(sel)

@@ -43,6 +43,21 @@ def replay_compare(expected: DataFrame, actual: DataFrame) -> DataFrame:
     return e.join(a, ["fixture", "entry"], "full_outer").select("fixture", "entry", outcome.alias("outcome"))
 
 
+def correlate(expected: DataFrame, actual: DataFrame) -> DataFrame:
+    """The actual replay with the expected one's request ids.
+
+    Both: fixture, entry, minted (the id a response gave, or NULL), refers (the id a request
+    names, or NULL), response. Ids of the same fixture and entry are the same call's; an id
+    that no entry gave stays as it is.
+    """
+    ids = lambda d, name: d.filter("minted IS NOT NULL").select("fixture", "entry", F.col("minted").alias(name))
+    same = ids(actual, "_a").join(ids(expected, "_e"), ["fixture", "entry"]).groupBy("fixture", "_a").agg(F.min_by("_e", "entry").alias("_e"))
+    out = actual
+    for column in ("minted", "refers"):
+        out = out.join(same.withColumnRenamed("_a", column), ["fixture", column], "left").withColumn(column, F.coalesce("_e", column)).drop("_e")
+    return out.select(*actual.columns)
+
+
 def score_rule(trace: DataFrame) -> DataFrame:
     """file, decidable, mismatches of recomputed decisions (expected, actual)."""
     known = F.col("expected").isNotNull() & F.col("actual").isNotNull()

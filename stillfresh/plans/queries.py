@@ -485,7 +485,7 @@ def _(t):
     return audit.rollup_dimension(t("nation").select(F.concat(F.lit("p"), F.col("n_nationkey").cast("string")).alias("project")), t("decisions"), "project")
 
 
-@query("d4_decision_rollup", f"SELECT org_id, project, environment, CAST(bit_count(grouping_id(org_id, project, environment)) AS INTEGER) AS level, count(*) AS total, {BUILT} AS built FROM decisions GROUP BY ROLLUP (org_id, project, environment)")
+@query("d4_decision_rollup", f"SELECT org_id, project, environment, invocation, CAST(bit_count(grouping_id(org_id, project, environment, invocation)) AS INTEGER) AS level, count(*) AS total, {BUILT} AS built FROM decisions GROUP BY ROLLUP (org_id, project, environment, invocation)")
 def _(t):
     return audit.decision_rollup(t("decisions"))
 

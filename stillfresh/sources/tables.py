@@ -27,15 +27,19 @@ TRANSPORT = ("authorization", "proxy-authorization", "cookie", "set-cookie", "co
 CREDENTIAL = ("authorization", "cookie", "token", "secret", "password", "credential", "api-key", "api_key")
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the shared folder, so that its rows and their places are settled."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder under ``spark.checkpoint.dir``; a local master without the setting takes this machine's."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = f"file://{tempfile.gettempdir()}"
-    path = f"{base.rstrip('/')}/stillfresh-{uuid.uuid4().hex}/written"
+    return f"{base.rstrip('/')}/stillfresh-{uuid.uuid4().hex}/{name}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder, so that its rows and their places are settled."""
+    path = shared_folder(df.sparkSession, "written")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -46,8 +50,8 @@ def read_executions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def append_log(df: DataFrame, path: str, day: Column) -> None:
-    """Append executions or decisions, a folder for each day."""
-    df.withColumn("day", day).write.mode("append").partitionBy("day").parquet(path)
+    """Append executions or decisions, a folder for each day; rows of a day come together first, and large days are split."""
+    df.withColumn("day", day).hint("rebalance", "day").write.mode("append").partitionBy("day").parquet(path)
 
 
 def read_trace(spark: SparkSession, path: str) -> DataFrame:
