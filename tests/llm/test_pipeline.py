@@ -112,3 +112,35 @@ def test_empty_input(spark, tmp_path):
         stage(spark, docs, SF).write.parquet(f"{tmp_path}/{i}")
         docs = spark.read.parquet(f"{tmp_path}/{i}")
         assert docs.count() == 0
+
+
+def odd_documents(spark):
+    """A few documents beside rows with nulls, no text, a very long text and repeats, and columns whose names the stages use."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").filter("doc_id < 200")
+    clash = {"h": F.lit(1), "key": F.lit("k"), "row": F.lit(2), "n": F.lit(3), "_row": F.lit(4), "_p": F.lit(0.5), "_dropped": F.lit(True), "topic": F.lit("t"), "score": F.lit(9), "predicted": F.lit(7)}
+    long = " ".join(f"w{i % 7919}x{i}" for i in range(60_000))
+    twice = "the same row comes two times in this table"
+    rows = [
+        (900_001, None, "en", "s", 0), (900_002, "", "en", "s", 0), (900_003, long, "en", "s", len(long)), (None, "a row without an id has words of its own", "en", "s", 40),
+        (900_004, "seven words are here without a source", None, None, 38), (900_005, twice, "en", "s", len(twice)), (900_005, twice, "en", "s", len(twice)),
+    ]
+    return docs.unionByName(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")).withColumns(clash)
+
+
+def test_odd_rows_pass_all_stages(spark, tmp_path):
+    at = odd_documents(spark)
+    columns, odd = at.columns, "doc_id IS NULL OR doc_id > 900000"
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        before = at
+        stage(spark, at, SF).write.parquet(f"{tmp_path}/{i}")
+        at = spark.read.parquet(f"{tmp_path}/{i}")
+        if name != "packing":
+            assert at.columns == columns
+            assert at.select("h", "key", "row", "n", "_row", "_p", "_dropped", "topic", "score", "predicted").distinct().count() == 1
+        if name in ("toxicity", "ngram_jaccard_join", "secret_scans"):  # none of them is toxic, a copy of another, or secret
+            assert sorted(map(str, at.filter(odd).select("doc_id", "text").collect())) == sorted(map(str, before.filter(odd).select("doc_id", "text").collect()))
+        if name == "mixing":
+            assert at.exceptAll(before).isEmpty() and at.filter("doc_id IN (900001, 900002)").isEmpty()
+    whole = Tokenizer.from_file(tokens.default_path())
+    want = {r.doc_id: len(whole.encode(r.text or "", add_special_tokens=False).ids) + 1 for r in before.filter("doc_id > 900000").collect()}
+    assert {r.doc_id: r.n for r in at.filter("doc_id > 900000").groupBy("doc_id").agg(F.sum("length").alias("n")).collect()} == want
