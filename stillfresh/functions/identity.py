@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import names
+
 
 def framed(*fields: Column) -> Column:
     """Fields end to end, each after its length in bytes; a NULL has a mark of its own."""
@@ -42,6 +44,27 @@ def template_hash(version: Column, dialect: Column, body: Column, config_signatu
     return framed_hash(version, dialect, F.lit("template"), body, config_signature, map_hash(extras))
 
 
+def schema_abstracted(
+    version: Column, dialect: Column, sql: Column, default_schema: Column, extras: Column, deps: Column, keys: Column, tokens: Column, known: Column
+) -> Column:
+    """Identity of a submission with the schemas of its dependencies' names replaced by tokens.
+
+    Each dependency's name, part by part, stays with its definition, so definitions that
+    change places change the identity; the default schema counts by its token. ``known`` is
+    :func:`names.known_names` of those names as a column, so that it is made once a row.
+    Lexical: a known name within a literal is replaced too, in all environments alike.
+    """
+    token = lambda schema: F.coalesce(F.get(tokens, (F.array_position(keys, names.schema_key(schema)) - 1).cast("int")), F.lit(""))
+
+    def bound(d):
+        parts = names.name_parts(d["name"])
+        shown = F.transform(parts, lambda p, i: F.when((F.size(parts) == 3) & (i == 1), token(p)).otherwise(names.canon_ident(p)))
+        return F.concat(framed(F.size(parts).cast("string")), F.array_join(F.transform(shown, lambda p: framed(p)), ""), framed(names.abstract_text(d["query"], known)))
+
+    listed = F.array_join(F.array_sort(F.transform(deps, bound)), "")
+    return framed_hash(version, F.lower(dialect), token(default_schema), names.abstract_text(sql, known), map_hash(extras), F.size(deps).cast("string"), listed)
+
+
 def seed_hash(dialect: Column, catalog: Column, extras: Column) -> Column:
     """Identity of a seed; its values are compared apart."""
     return framed_hash(dialect, catalog, map_hash(extras))

@@ -93,3 +93,36 @@ def mentions(text: Column, ident: Column) -> Column:
     """Whether a text has the identifier as a whole word, in any case."""
     escaped = F.regexp_replace(F.lower(ident), r"([^a-z0-9_])", r"\\$1")
     return F.regexp_like(F.lower(text), F.concat(F.lit("(?<![a-z0-9_$])"), escaped, F.lit("(?![a-z0-9_$])")))
+
+
+def schema_key(schema: Column) -> Column:
+    """A schema as warehouses compare it; an empty one is NULL."""
+    return canon_ident(empty_as_null(schema))
+
+
+def known_names(names: Column, keys: Column, tokens: Column) -> Column:
+    """(pattern, to) of three-part names: what finds one in a text in any spelling, and the name with its schema's token.
+
+    ``keys``: schemas by :func:`schema_key`; ``tokens``: their tokens, place by place. Other
+    names are left out.
+    """
+
+    def spelled(key):
+        plain = F.regexp_replace(key, r"([^A-Za-z0-9_])", r"\\$1")
+        quoted = F.concat(F.lit('"'), F.regexp_replace(F.replace(key, F.lit('"'), F.lit('""')), r"([^A-Za-z0-9_])", r"\\$1"), F.lit('"'))
+        return F.when(F.upper(key) == key, F.concat(F.lit("(?:(?i:"), plain, F.lit(")|"), quoted, F.lit(")"))).otherwise(quoted)
+
+    def one(parts):
+        token = F.get(tokens, (F.array_position(keys, F.get(parts, 1)) - 1).cast("int"))
+        whole = F.concat(F.lit('(?<![A-Za-z0-9_$."])'), F.array_join(F.transform(parts, spelled), r"\."), F.lit('(?![A-Za-z0-9_$"])'))
+        to = F.concat_ws(".", F.get(parts, 0), F.concat(F.lit("\x01"), token), F.get(parts, 2))
+        return F.struct(whole.alias("pattern"), F.regexp_replace(to, r"([$\\])", r"\\$1").alias("to"))
+
+    # each step's results are variables of the next, so that no name is taken apart twice
+    apart = F.transform(F.array_distinct(names), lambda n: F.transform(name_parts(n), canon_ident))
+    return F.transform(F.filter(apart, lambda p: F.size(p) == 3), one)
+
+
+def abstract_text(text: Column, known: Column) -> Column:
+    """A text with its known names written as in ``known``; names that aren't qualified stay."""
+    return F.aggregate(known, text, lambda t, k: F.regexp_replace(t, k["pattern"], k["to"]))

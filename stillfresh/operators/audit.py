@@ -178,3 +178,8 @@ def audit_skips(decided: DataFrame) -> DataFrame:
     """Skips that no evidence allows; must be empty."""
     unsafe = F.coalesce(F.col("set_changed"), F.lit(False)) | F.coalesce(F.col("any_unprovable"), F.lit(False)) | (F.coalesce("drifted", F.lit(0)) > 0) & ~F.col("is_stale")
     return decided.filter((F.col("decision") == "skip") & unsafe)
+
+
+def upstream_set(inputs: DataFrame, key: str) -> DataFrame:
+    """key, names: the distinct upstream names of each execution or submission, in order, comma-joined."""
+    return inputs.groupBy(key).agg(F.array_join(F.array_sort(F.collect_set("name")), ",").alias("names"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import identity, names
-from ..operators import audit, evidence, freshness, history, selection, traces
+from ..operators import audit, evidence, explain, freshness, history, selection, traces
 from ..sources import tables as sources
 from .queries import CANDIDATES, CURRENT, RANKED, query
 
@@ -184,6 +184,73 @@ def _(t):
     return tokens.select("execution_id", identity.framed_hash(reads).alias("h"))
 
 
+# Texts that read the inputs of an execution, which runs in schema s0 to s3; one dependency has a definition.
+READ_NAMES = "n AS (SELECT DISTINCT execution_id AS id, upper(name) AS name, split_part(upper(name), '.', 2) AS s FROM inputs)"
+HOMES = "homes AS (SELECT DISTINCT id, 'S' || CAST(id % 4 AS VARCHAR) AS own FROM n)"
+KEYS = "keys AS (SELECT id, s FROM n UNION SELECT id, own FROM homes)"
+READ_IN = "read_in AS (SELECT id, own, own AS dest FROM homes UNION SELECT id, own, s FROM homes JOIN keys USING (id))"
+TOKENS = "tokens AS (SELECT id, dest, own, s, m, 'ns__' || CAST(dense_rank() OVER (PARTITION BY id, dest ORDER BY m) - 1 AS VARCHAR) AS tk FROM (SELECT id, dest, own, s, CASE WHEN s = own THEN dest ELSE s END AS m FROM read_in JOIN keys USING (id)))"
+WRITTEN = """texts AS (SELECT id, dest, own, 'select * from ' || string_agg(x, ' join ' ORDER BY name) AS body, 'select 1 from ' || arg_min(x, name) AS def,
+  string_agg('1:3;3:CAT;' || strlen(tk) || ':' || tk || ';' || strlen(o) || ':' || o || ';' || CASE WHEN name = first THEN strlen('select 1 from ' || x) || ':select 1 from ' || x ELSE '1:x' END || ';', '' ORDER BY tk, strlen(o) || ':' || o, x) AS deps, count(*) AS k
+  FROM (SELECT *, 'CAT.' || chr(1) || tk || '.' || o AS x, min(name) OVER (PARTITION BY id, dest) AS first FROM (SELECT n.*, t.dest, t.own, t.tk, split_part(n.name, '.', 3) AS o FROM n JOIN tokens t USING (id, s))) GROUP BY id, dest, own)"""
+ABSTRACTED = "hashed AS (SELECT t.id, t.dest, t.own, sha256('5:ns-v1;9:snowflake;' || strlen(tk) || ':' || tk || ';' || strlen(body) || ':' || body || ';' || '64:' || sha256('1:0;0:;') || ';' || strlen(CAST(k AS VARCHAR)) || ':' || k || ';' || strlen(deps) || ':' || deps || ';') AS h FROM texts t JOIN tokens o ON t.id = o.id AND t.dest = o.dest AND o.s = t.own)"
+READING = (READ_NAMES, HOMES, KEYS, READ_IN, TOKENS, WRITTEN, ABSTRACTED)
+
+
+def reading(t):
+    """Submissions whose SQL reads an execution's inputs, with names as dependencies."""
+    each = t("inputs").groupBy("execution_id").agg(F.array_sort(F.collect_set("name")).alias("ns"))
+    first = lambda n: F.when(n == F.col("ns")[0], F.concat(F.lit("select 1 from "), n)).otherwise("x")
+    return each.select(
+        F.col("execution_id").alias("submission_id"), F.lit("snowflake").alias("dialect"), F.lit("cat").alias("catalog"), F.concat(F.lit("s"), (F.col("execution_id") % 4).cast("string")).alias("default_schema"),
+        F.concat(F.lit("select * from "), F.array_join("ns", " join ")).alias("sql"), F.expr("CAST(map() AS MAP<STRING, STRING>)").alias("extras"),
+        F.transform("ns", lambda n: F.struct(n.alias("name"), first(n).alias("query"))).alias("deps"),
+    )
+
+
+@query("l4_namespace_identity", "SELECT id AS submission_id, h AS namespace_hash FROM hashed WHERE dest = own", *READING)
+def _(t):
+    return explain.namespace_hash(reading(t))
+
+
+@query(
+    "l5_rehomed_hashes",
+    "SELECT a.id AS submission_id, a.dest AS schema, a.h AS hash, named FROM hashed a JOIN (SELECT id, h FROM hashed WHERE dest = own) b ON a.id = b.id AND a.h <> b.h JOIN (SELECT id, dest, string_agg(DISTINCT m, ',' ORDER BY m) AS named FROM tokens GROUP BY 1, 2) c ON a.id = c.id AND a.dest = c.dest WHERE a.dest <> a.own",
+    *READING,
+)
+def _(t):
+    return explain.rehomed_hashes(reading(t)).withColumn("named", F.array_join("named", ","))
+
+
+# Reads cut to two relations, so that candidates' and submissions' sets can be the same.
+FEW = "few AS (SELECT execution_id, 'raw.s.t' || CAST(CAST(split_part(name, '.t', 2) AS INT) % 2 AS VARCHAR) AS name, max(epoch) AS epoch, max(producer) AS producer FROM inputs GROUP BY 1, 2)"
+JUDGED_PAIRS = """pairs AS (SELECT m.submission_id, rank, source_id, source_epoch, source_id % 5 = 0 AS is_copy, execution_type, policy, tolerance_ms, now_ms - source_epoch AS age FROM met m JOIN submissions s USING (submission_id) WHERE rank <= 16),
+  now_p AS (SELECT p.*, name, epoch, producer FROM pairs p JOIN few ON execution_id = submission_id),
+  then_p AS (SELECT p.submission_id, source_id, name, epoch, producer FROM pairs p JOIN few ON execution_id = source_id),
+  read_p AS (SELECT * FROM then_p UNION ALL SELECT submission_id, source_id, name, CASE WHEN epoch IS NULL THEN source_epoch ELSE least(epoch, source_epoch) END, NULL FROM now_p n WHERE is_copy AND NOT EXISTS (SELECT 1 FROM then_p t WHERE t.submission_id = n.submission_id AND t.source_id = n.source_id)),
+  side AS (SELECT submission_id, source_id, a.name IS NULL OR b.name IS NULL AS other, a.epoch IS NULL OR b.epoch IS NULL AS unknown, coalesce(a.epoch > b.epoch, true) AS moved, coalesce(a.producer <> b.producer, false) AS made
+    FROM now_p a FULL JOIN read_p b USING (submission_id, source_id, name)),
+  fold AS (SELECT submission_id, source_id, bool_or(other) AS other, bool_or(unknown) AS unknown, bool_or(made) AS made, count(*) FILTER (moved OR unknown) AS d, count(*) AS n FROM side GROUP BY 1, 2),
+  offers AS (SELECT p.submission_id, rank, p.source_id, NOT coalesce(other, false) AS same, n IS NULL OR NOT (other OR unknown OR made OR CASE WHEN execution_type = 9 OR policy = 'any' THEN d > 0 ELSE d = n END AND NOT (tolerance_ms > 0 AND age < tolerance_ms)) AS reusable
+    FROM pairs p LEFT JOIN fold f ON p.submission_id = f.submission_id AND p.source_id = f.source_id)"""
+
+
+@query(
+    "l20_judged_search",
+    """SELECT submission_id, same, reusable, verdict, count(*) AS n FROM (
+         SELECT *, CASE WHEN source_id % 7 = 0 THEN 'stop' WHEN same THEN CASE WHEN reusable THEN 'choose' ELSE 'next' END WHEN submission_id % 3 > 0 AND coalesce(stale, 0) = 0 THEN 'choose' ELSE 'stop' END AS verdict
+         FROM (SELECT *, max(CASE WHEN same AND NOT reusable AND source_id % 7 > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY submission_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS stale FROM offers)) GROUP BY ALL""",
+    RANKED, CURRENT, CANDIDATES, FEW, JUDGED_PAIRS,
+)
+def _(t):
+    met = history.copy_candidates(t("submissions"), history.current_state(t("executions")), 16).select("submission_id", "rank", "source_id", "source_key", "source_epoch", F.expr("source_id % 5 = 0").alias("is_copy"))
+    name = F.concat(F.lit("raw.s.t"), (F.split_part("name", F.lit(".t"), F.lit(2)).cast("int") % 2).cast("string"))
+    few = t("inputs").groupBy("execution_id", name.alias("name")).agg(F.max("epoch").alias("epoch"), F.max("producer").alias("producer"))
+    offers = selection.judge_equivalents(met, t("submissions"), few.withColumnRenamed("execution_id", "submission_id"), few)
+    offers = offers.withColumns({"exists": F.expr("source_id % 7 > 0"), "own_candidate": F.expr("submission_id % 3 = 0")})
+    return selection.search_offers(offers).groupBy("submission_id", F.col("same_upstreams").alias("same"), "reusable", "verdict").agg(F.count(F.lit(1)).alias("n"))
+
+
 TRACE = """trace AS (SELECT event_id AS position, CASE WHEN event_type IN ('view', 'click') THEN 'confirm' ELSE 'submit' END AS method, 'r' || (event_id % 300) AS request_id,
   CASE WHEN event_type IN ('view', 'click') THEN NULL ELSE 't' || (event_id % 40) END AS target, event_id * 3 AS epoch, event_id % 7 > 0 AS ok, 'model.' || (event_id % 60) AS uid FROM events)"""
 PAIRED = "paired AS (SELECT t.position, t.epoch, s.target FROM trace t JOIN (SELECT request_id, min(position) AS p, arg_min(target, position) AS target FROM trace WHERE method <> 'confirm' AND target IS NOT NULL GROUP BY 1) s USING (request_id) WHERE method = 'confirm' AND ok AND s.p < t.position)"

@@ -6,6 +6,7 @@ format; streams read one file a micro-batch.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 
@@ -56,6 +57,18 @@ def last_counts(counts: DataFrame) -> DataFrame:
 # --- sources and sinks ------------------------------------------------------------------------
 
 
+@query("a12_write_result", "SELECT k, part, name, n FROM prev WHERE NOT EXISTS (SELECT 1 FROM sel WHERE sel.part IS NOT DISTINCT FROM prev.part AND sel.k % 5 = 0) UNION ALL SELECT k, part, name, n FROM sel WHERE k % 5 = 0 UNION ALL SELECT k, part, name, n FROM sel WHERE k % 5 = 1")
+def _(t):
+    relation = f"result_{uuid.uuid4().hex}"
+    cut = lambda df: df.select("k", "part", "name", "n")
+    sources.write_result(cut(t("prev")), relation, "table", ("part",))
+    sources.write_result(cut(t("sel").filter("k % 5 = 0")), relation, "incremental")
+    sources.write_result(cut(t("sel").filter("k % 5 = 1")), relation, "append")
+    spark = t("prev").sparkSession
+    sources.write_result(spark.table(relation), f"{relation}_view", "view")
+    return spark.table(f"{relation}_view").select("k", "part", "name", "n")
+
+
 @query("a1_read_executions", "SELECT id, target, namespace, confirmed_ms, true AS no_inputs FROM raw_executions")
 def _(t):
     old = t("raw_executions").drop("project", "environment", "runtime_ms")

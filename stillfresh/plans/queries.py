@@ -512,7 +512,7 @@ def _(t):
 
 @query("d17_upstream_set", "SELECT execution_id, string_agg(name, ',' ORDER BY name) AS names FROM (SELECT DISTINCT execution_id, name FROM inputs) GROUP BY 1")
 def _(t):
-    return t("inputs").groupBy("execution_id").agg(F.array_join(F.array_sort(F.collect_set("name")), ",").alias("names"))
+    return audit.upstream_set(t("inputs"), "execution_id")
 
 
 @query("e4_latest_decisions", "SELECT org_id, environment, node_uid, decision_id, decision FROM (SELECT *, row_number() OVER (PARTITION BY org_id, environment, node_uid ORDER BY created_at DESC, decision_id DESC) AS n FROM decisions) WHERE n = 1")

@@ -44,6 +44,31 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def write_result(df: DataFrame, relation: str, kind: str, partition: tuple[str, ...] = ()) -> None:
+    """A node's rows as the relation of its kind in the session's catalog.
+
+    table, seed and snapshot replace the relation; incremental replaces the partitions that
+    ``df`` has rows of and makes the relation if it is missing; append adds rows; view names
+    the query and stores nothing.
+    """
+    spark = df.sparkSession
+    there = kind in ("incremental", "append") and spark.catalog.tableExists(relation)
+    if kind == "view":
+        df.createOrReplaceTempView(relation)
+    elif there:
+        mode = "spark.sql.sources.partitionOverwriteMode"
+        before = spark.conf.get(mode)
+        spark.conf.set(mode, "dynamic")  # tables of the session's catalog take it from the session alone
+        try:
+            df.select(*spark.table(relation).columns).write.insertInto(relation, overwrite=kind == "incremental")
+        finally:
+            spark.conf.set(mode, before)
+    elif kind in ("table", "seed", "snapshot", "incremental", "append"):
+        df.write.format("parquet").partitionBy(*partition).saveAsTable(relation, mode="overwrite")
+    else:
+        raise ValueError(f"no relation of kind {kind}")
+
+
 def read_executions(spark: SparkSession, path: str) -> DataFrame:
     """The log under its fixed schema; columns that older files lack are NULL."""
     return spark.read.schema(EXECUTION).parquet(path)
