@@ -198,8 +198,13 @@ READING = (READ_NAMES, HOMES, KEYS, READ_IN, TOKENS, WRITTEN, ABSTRACTED)
 
 
 def reading(t):
-    """Submissions whose SQL reads an execution's inputs, with names as dependencies."""
+    """Submissions whose SQL reads an execution's inputs, with names as dependencies.
+
+    Rows are small but costly to hash, so they are dealt to all cores, where they would come
+    together by bytes.
+    """
     each = t("inputs").groupBy("execution_id").agg(F.array_sort(F.collect_set("name")).alias("ns"))
+    each = each.repartition(2 * each.sparkSession.sparkContext.defaultParallelism, "execution_id")
     first = lambda n: F.when(n == F.col("ns")[0], F.concat(F.lit("select 1 from "), n)).otherwise("x")
     return each.select(
         F.col("execution_id").alias("submission_id"), F.lit("snowflake").alias("dialect"), F.lit("cat").alias("catalog"), F.concat(F.lit("s"), (F.col("execution_id") % 4).cast("string")).alias("default_schema"),
