@@ -101,9 +101,9 @@ def _(t):
     return out.agg(F.min(F.when(F.col("verdict") == "choose", F.col("rank"))).alias("c"), F.min(F.when(F.col("verdict") == "stop", F.col("rank"))).alias("s"))
 
 
-@query("l21_copy_plan", "SELECT id, CASE WHEN NOT same_kind THEN 'refused' WHEN is_copy THEN 'copies_disabled' WHEN id % 3 = 0 OR id % 6 >= id % 3 THEN 'chain_limit' WHEN binding_changed THEN 'unavailable' ELSE 'copy' END AS plan FROM cases WHERE id % 12 <> 1", CASES)
+@query("l21_copy_plan", "SELECT id, CASE WHEN NOT same_kind THEN 'refused' WHEN is_copy THEN 'copies_disabled' WHEN id % 3 = 0 OR id % 6 >= id % 3 THEN 'chain_limit' WHEN binding_changed THEN 'unavailable' ELSE 'copy' END AS plan FROM cases", CASES)
 def _(t):
-    df = cases(t).filter("id % 12 <> 1").withColumns({"kind_admits": F.col("same_kind"), "allow_clones": ~F.col("is_copy"), "chain_limit": F.expr("id % 3"), "copy_depth": F.expr("id % 6"), "source_available": ~F.col("binding_changed")})
+    df = cases(t).withColumns({"kind_admits": F.col("same_kind"), "allow_clones": ~F.col("is_copy"), "chain_limit": F.expr("id % 3"), "copy_depth": F.expr("id % 6"), "source_available": ~F.col("binding_changed")})
     return selection.copy_plan(df).select("id", "plan")
 
 
@@ -273,9 +273,9 @@ def _(t):
     return traces.confirmed_targets(trace(t))
 
 
-@query("m11_suppression", "SELECT position, equivalent, coalesce(c < position, false) AS proven FROM (SELECT position, 't' || (position % 50) AS equivalent FROM trace WHERE position % 10 = 3) LEFT JOIN (SELECT target, min(position) AS c FROM paired GROUP BY 1) ON target = equivalent", TRACE, PAIRED)
+@query("m11_suppression", "SELECT position, equivalent, coalesce(c < position, false) AS proven FROM (SELECT position, 't' || (position % 50) AS equivalent FROM trace) LEFT JOIN (SELECT target, min(position) AS c FROM paired GROUP BY 1) ON target = equivalent", TRACE, PAIRED)
 def _(t):
-    claims = trace(t).filter("position % 10 = 3").selectExpr("position", "concat('t', position % 50) AS equivalent")
+    claims = trace(t).selectExpr("position", "concat('t', position % 50) AS equivalent")
     return traces.audit_suppression(trace(t), claims).select("position", "equivalent", "proven")
 
 
@@ -357,9 +357,9 @@ def _(t):
     return selection.seed_source(seed_pairs(t), F.col("source_id") % 3 > 0)
 
 
-@query("m3_lineage", "SELECT n.uid, coalesce(d.decision, 'none') AS decision, count(i.name) AS inputs FROM nodes n LEFT JOIN (SELECT 'n' || right(node_uid, 1) AS uid, arg_max(decision, decision_id) AS decision FROM decisions WHERE length(node_uid) = 7 GROUP BY 1) d USING (uid) LEFT JOIN node_inputs i USING (uid) GROUP BY ALL")
+@query("m3_lineage", "SELECT n.uid, coalesce(d.decision, 'none') AS decision, count(i.name) AS inputs FROM nodes n LEFT JOIN (SELECT 'n' || split_part(node_uid, '.', 2) AS uid, arg_max(decision, decision_id) AS decision FROM decisions GROUP BY 1) d USING (uid) LEFT JOIN node_inputs i USING (uid) GROUP BY ALL")
 def _(t):
-    last = audit.dedupe_decisions(t("decisions").filter("length(node_uid) = 7").withColumn("uid", F.concat(F.lit("n"), F.expr("right(node_uid, 1)"))), "uid").select("uid", "decision")
+    last = audit.dedupe_decisions(t("decisions").withColumn("uid", F.concat(F.lit("n"), F.split_part("node_uid", F.lit("."), F.lit(2)))), "uid").select("uid", "decision")
     counts = t("node_inputs").groupBy("uid").agg(F.count("name").alias("inputs"))
     return t("nodes").select("uid").join(last, "uid", "left").join(counts, "uid", "left").select("uid", F.coalesce("decision", F.lit("none")).alias("decision"), F.coalesce("inputs", F.lit(0)).alias("inputs"))
 

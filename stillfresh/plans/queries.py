@@ -347,10 +347,10 @@ def _(t):
     return history.copy_chain_depth(chain_of(t), 3, scope=())
 
 
-@query("c6_no_pending", "SELECT id FROM executions e WHERE confirmed_ms IS NOT NULL AND NOT EXISTS (SELECT 1 FROM executions p WHERE p.confirmed_ms IS NULL AND p.id % 5 = 0 AND p.org_id = e.org_id AND p.family = e.family AND coalesce(p.namespace, '') = coalesce(e.namespace, '') AND p.target_key = e.target_key)")
+@query("c6_no_pending", "SELECT id FROM executions e WHERE confirmed_ms IS NOT NULL AND NOT EXISTS (SELECT 1 FROM executions p WHERE p.confirmed_ms IS NULL AND p.org_id = e.org_id AND p.family = e.family AND coalesce(p.namespace, '') = coalesce(e.namespace, '') AND p.target_key = e.target_key)")
 def _(t):
     e = t("executions")
-    return history.no_pending(e.filter("confirmed_ms IS NOT NULL"), e.filter("confirmed_ms IS NULL AND id % 5 = 0")).select("id")
+    return history.no_pending(e.filter("confirmed_ms IS NOT NULL"), e.filter("confirmed_ms IS NULL")).select("id")
 
 
 @query("c6_all_pending", "SELECT id FROM executions e WHERE confirmed_ms IS NOT NULL AND NOT EXISTS (SELECT 1 FROM executions p WHERE p.confirmed_ms IS NULL AND p.org_id = e.org_id AND p.family = e.family AND coalesce(p.namespace, '') = coalesce(e.namespace, '') AND p.target_key = e.target_key)")
