@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 import pytest
 
@@ -63,19 +64,20 @@ def test_judged_equivalents(spark):
 
 
 def test_result_relations(spark):
+    name = f"result_{uuid.uuid4().hex}"  # the warehouse folder outlives a session
     df = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "k int, p string")
-    write_result(df, "result_t", "table", ("p",))
-    write_result(df.filter("k = 1").selectExpr("k + 10 AS k", "p"), "result_t", "incremental")
-    assert sorted(map(tuple, spark.table("result_t").select("k", "p").collect()), key=str) == [(11, "a"), (2, "b"), (3, None)]
-    write_result(df.filter("k = 2"), "result_t", "append")
-    assert spark.table("result_t").count() == 4
-    write_result(df.limit(0), "result_t", "incremental")
-    assert spark.table("result_t").count() == 4
+    write_result(df, name, "table", ("p",))
+    write_result(df.filter("k = 1").selectExpr("k + 10 AS k", "p"), name, "incremental")
+    assert sorted(map(tuple, spark.table(name).select("k", "p").collect()), key=str) == [(11, "a"), (2, "b"), (3, None)]
+    write_result(df.filter("k = 2"), name, "append")
+    assert spark.table(name).count() == 4
+    write_result(df.limit(0), name, "incremental")
+    assert spark.table(name).count() == 4
     assert spark.conf.get("spark.sql.sources.partitionOverwriteMode").lower() == "static"
-    write_result(df, "result_v", "view")
-    assert spark.table("result_v").count() == 3
+    write_result(df, f"{name}_v", "view")
+    assert spark.table(f"{name}_v").count() == 3
     with pytest.raises(ValueError, match="no relation"):
-        write_result(df, "result_x", "other")
+        write_result(df, f"{name}_x", "other")
 
 
 def test_only_the_last_versions_stay(spark, tmp_path):
