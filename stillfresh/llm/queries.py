@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, ngram_join, packing, pfor, quality, secrets, sentences, topk, toxicity, url_rules
+from . import centroids, mixing, negatives, ngram_join, packing, pfor, quality, ring, secrets, sentences, topk, toxicity, url_rules
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,6 +58,18 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(read_table(spark, sf_dir, "pages"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(read_table(spark, sf_dir, "embeddings"))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(read_table(spark, sf_dir, "embeddings"))
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ring.sharding_digest(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_topk_search": op1_topk_search,
     "op2_substring_dedup": op2_substring_dedup,
@@ -70,10 +82,15 @@ QUERIES: dict[str, Query] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_url_filters": op10_url_filters,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_centroid_clustering": op12_centroid_clustering,
+    "op13_sharding": op13_sharding,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_topk_search": topk.ORACLE_SQL,
     "op2_substring_dedup": sentences.oracle_sql(),
     "op3_mixing": mixing.oracle_sql(),
+    "op11_hard_negatives": negatives.ORACLE_SQL,
+    "op12_centroid_clustering": centroids.oracle_sql(),
 }
