@@ -33,7 +33,8 @@ def is_volatile(sql: Column) -> Column:
     tokens = sql_tokens(sql)
     after = F.concat(F.slice(tokens, 2, 1_000_000), F.array(F.lit("")))
     pairs = F.arrays_zip(tokens.alias("t"), after.alias("a"))
-    return F.exists(pairs, lambda p: p["t"].isin(*BARE) | (p["t"].isin(*CALLS) & (p["a"] == "(")))
+    called = F.exists(pairs, lambda p: p["t"].isin(*BARE) | (p["t"].isin(*CALLS) & (p["a"] == "(")))
+    return F.coalesce(called, F.lit(False))  # a text without tokens calls nothing
 
 
 def scan_volatile(df: DataFrame, column: str) -> DataFrame:

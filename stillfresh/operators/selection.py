@@ -128,12 +128,14 @@ def judge_equivalents(candidates: DataFrame, submissions: DataFrame, current: Da
     ``current``: submission_id, name, epoch, producer; ``recorded``: execution_id and the
     same. A candidate reads the same upstreams if its names, its own target left out, are the
     submission's; it is then judged as if it were the reuse candidate. A copy that recorded
-    nothing reads what the submission reads, no later than the copy.
+    nothing reads what the submission reads, no later than the copy. A column build_ms, where
+    there is one, is the time from which the age counts instead of the epoch.
     """
     from . import freshness
 
     subs = submissions.select("submission_id", "target_key", "execution_type", "policy", "tolerance_ms", "now_ms")
-    pairs = candidates.select("submission_id", "source_id", "source_key", "source_epoch", "is_copy").withColumn("pair", F.concat_ws(":", "submission_id", "source_id")).join(subs, "submission_id")
+    built = F.col("build_ms" if "build_ms" in candidates.columns else "source_epoch").alias("build_ms")
+    pairs = candidates.select("submission_id", "source_id", "source_key", "source_epoch", "is_copy", built).withColumn("pair", F.concat_ws(":", "submission_id", "source_id")).join(subs, "submission_id")
     each = lambda df: df.select("pair", F.upper("name").alias("name"), "epoch", "producer")
     now = pairs.join(current, "submission_id").filter("name <> target_key")
     then = pairs.join(recorded.withColumnRenamed("execution_id", "source_id"), "source_id").filter("name <> source_key")
@@ -141,7 +143,7 @@ def judge_equivalents(candidates: DataFrame, submissions: DataFrame, current: Da
     named = lambda df: each(df).withColumnRenamed("pair", "submission_id")
     verdicts = freshness.upstream_verdicts(named(now), named(then).unionByName(named(adopted)))
     folded = freshness.fold_freshness(verdicts).join(verdicts.groupBy("submission_id").agg(F.bool_or(F.col("n_now").isNull() | F.col("n_then").isNull()).alias("other")), "submission_id")
-    asked = pairs.select(F.col("pair").alias("submission_id"), "execution_type", "policy", "tolerance_ms", (F.col("now_ms") - F.col("source_epoch")).alias("build_age_ms"), F.col("source_epoch").alias("prev_epoch"))
+    asked = pairs.select(F.col("pair").alias("submission_id"), "execution_type", "policy", "tolerance_ms", (F.col("now_ms") - F.col("build_ms")).alias("build_age_ms"), F.col("source_epoch").alias("prev_epoch"))
     judged = freshness.judge_freshness(asked, folded).select(F.col("submission_id").alias("_pair"), (~F.coalesce("other", F.lit(False))).alias("same_upstreams"), F.col("rebuild").isNull().alias("reusable"))
     return candidates.withColumn("_pair", F.concat_ws(":", "submission_id", "source_id")).join(judged, "_pair").drop("_pair")
 

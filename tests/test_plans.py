@@ -8,7 +8,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from stillfresh.plans import choices, copies, queries, reports  # noqa: F401  they add to the registered queries
+from stillfresh.plans import answers, choices, copies, queries, reports  # noqa: F401  they add to the registered queries
 from stillfresh.plans.fixtures import TABLES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
