@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators import evidence, tables
+from ..operators import evidence, tables, history
 from ..sources import tables as sources
 from ..streaming import states
 from .queries import BUILT, CONFIRMS, CURRENT, RANKED, confirms, query
@@ -35,13 +35,11 @@ def stream_of(df: DataFrame, files: int = 3) -> DataFrame:
     return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-def last_state(start: Callable, stream: DataFrame) -> DataFrame:
-    """The state that a stream has written when its input is used up."""
-    spark = stream.sparkSession
-    path = sources.shared_folder(spark, "state")
-    run = start(stream, path, sources.shared_folder(spark, "progress"))
-    run.awaitTermination()
-    return states.last_version(spark, path, run.lastProgress["batchId"])
+def ran(start: Callable, stream: DataFrame) -> str:
+    """The folder that a stream has logged to when its input is used up."""
+    path = sources.shared_folder(stream.sparkSession, "state")
+    start(stream, path, sources.shared_folder(stream.sparkSession, "progress")).awaitTermination()
+    return path
 
 
 def last_counts(counts: DataFrame) -> DataFrame:
@@ -51,7 +49,7 @@ def last_counts(counts: DataFrame) -> DataFrame:
     run = counts.writeStream.outputMode("complete").option("checkpointLocation", sources.shared_folder(spark, "progress"))
     run = run.foreachBatch(lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/v={number}")).trigger(availableNow=True).start()
     run.awaitTermination()
-    return states.last_version(spark, path, run.lastProgress["batchId"])
+    return spark.read.parquet(f"{path}/v={run.lastProgress['batchId']}")
 
 
 # --- sources and sinks ------------------------------------------------------------------------
@@ -170,19 +168,27 @@ def _(t):
     CONFIRMS,
 )
 def _(t):
-    pending = t("executions").filter("id % 5 > 0").select("request_id", "target", "confirmed_ms")
-    by_request = confirms(t).repartition(3, "request_id").sortWithinPartitions("arrival", "confirm_id")
-    path = sources.shared_folder(pending.sparkSession, "stream")
-    by_request.write.parquet(path)  # a request's confirmations come in one batch, in order
-    stream = pending.sparkSession.readStream.schema(by_request.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    return last_state(lambda s, p, c: states.stream_confirm(s, pending, p, c), stream)
+    at = lambda seconds: F.timestamp_seconds(seconds).alias("at")
+    pending = t("executions").filter("id % 5 > 0").select(F.lit("org").alias("org_id"), "request_id", "target", "confirmed_ms", at(F.lit(1000)))
+    asked = confirms(t).select(F.lit("org").alias("org_id"), "request_id", "confirm_id", "arrival", "epoch", at(F.col("arrival") + 1000))
+    spark = pending.sparkSession
+    paths = [sources.shared_folder(spark, "stream") for _ in range(2)]
+    # a request's confirmations come in one batch; its pending row comes in any, before or after
+    pending.repartition(3).write.parquet(paths[0])
+    asked.repartition(3, "request_id").write.parquet(paths[1])
+    for i in range(2):  # the end of the streams: events far ahead, on which the watermark passes those that wait
+        pending.limit(1).select(F.lit("end").alias("org_id"), F.lit("end").alias("request_id"), "target", "confirmed_ms", at(F.lit(10_000_000 + i))).coalesce(1).write.mode("append").parquet(paths[0])
+        asked.limit(1).select(F.lit("end").alias("org_id"), F.lit("end").alias("request_id"), "confirm_id", "arrival", "epoch", at(F.lit(10_000_000 + i))).coalesce(1).write.mode("append").parquet(paths[1])
+    first, second = (spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(p) for df, p in zip((pending, asked), paths, strict=True))
+    path = ran(lambda s, p, c: states.stream_confirm(s, second, p, c), first)
+    return states.outcomes(spark, path).filter("request_id <> 'end'").drop("org_id")
 
 
 @query("i2_stream_current_state", "SELECT id, target_key, last_modified_epoch FROM current", RANKED, CURRENT)
 def _(t):
     log = t("executions").filter("confirmed_ms IS NOT NULL")
-    out = last_state(states.stream_current_state, stream_of(log.unionByName(log.filter("id % 5 = 0"))))
-    return out.select("id", "target_key", "last_modified_epoch")
+    path = ran(states.stream_current_state, stream_of(log.unionByName(log.filter("id % 5 = 0"))))
+    return states.last_rows(log.sparkSession, path, list(history.SCOPE)).select("id", "target_key", "last_modified_epoch")
 
 
 @query("i3_stream_invocation_counts", f"SELECT invocation, {BUILT} AS built, count(*) FILTER (decision = 'skip') AS reused, count(*) FILTER (decision = 'clone') AS cloned FROM decisions GROUP BY 1")
@@ -230,7 +236,8 @@ def _(t):
 @query("i7_stream_node_state", "SELECT org_id, node_uid, max(id) AS id, arg_max(logic_hash, id) AS logic_hash FROM executions GROUP BY 1, 2")
 def _(t):
     updates = t("executions").select("org_id", "node_uid", "id", "logic_hash")
-    return last_state(lambda s, p, c: states.stream_node_state(s, p, c, ["org_id", "node_uid"], "id"), stream_of(updates))
+    path = ran(lambda s, p, c: states.stream_node_state(s, p, c, ["org_id", "node_uid"], "id"), stream_of(updates))
+    return states.last_rows(updates.sparkSession, path, ["org_id", "node_uid"])
 
 
 @query(
@@ -247,4 +254,4 @@ def _(t):
     for i in range(3):  # files in the order in which they were written
         seen.filter(F.floor(F.col("seq") / third) == i).coalesce(1).write.mode("append").parquet(path)
     stream = seen.sparkSession.readStream.schema(seen.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    return last_state(states.stream_observations, stream).select("generation", "relation", "seq", "ordinal")
+    return states.last_observations(seen.sparkSession, ran(states.stream_observations, stream)).select("generation", "relation", "seq", "ordinal")
