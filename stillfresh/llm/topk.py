@@ -79,9 +79,11 @@ def top_k(
     vectors are searched once and share their result, from which each query drops itself, so
     a vector of a third of all rows costs one row. Vectors of unequal length are compared as
     if filled up with zeros. Null ids take no part, nor do vectors that are null or hold null
-    or non-finite components. Fewer than k other rows give fewer ranks; an empty table, none.
+    or non-finite components. Rows equal in id and vector are one row; rows that share an id
+    only are rows of their own, each a query and a candidate of the others. Fewer than k other
+    rows give fewer ranks; an empty table, none.
     """
-    rows = quantized(vectors, scale, id_col, vector_col).filter("vec_id IS NOT NULL")
+    rows = quantized(vectors, scale, id_col, vector_col).filter("vec_id IS NOT NULL").distinct()
     groups = materialize(vector_groups(rows, k).withColumn("vid", F.monotonically_increasing_id()), "groups")
     asked = materialize(rows.filter(F.col("vec_id") % every == 0), "asked")
     of_query = asked.select("v").distinct().join(groups.select("v", "vid"), "v").select(F.col("vid").alias("qid"), F.col("v").alias("q"))
@@ -146,11 +148,11 @@ def top_k(
 
     kept = on_grid(queries.join(cutoff, "qid"), tiles, n_blocks, n_tiles, collect, schema)
     few = kept.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= take).select("qid", "vid", F.col("total").alias("score"))
-    scored = few.join(groups.select("vid", "ids"), "vid").select("qid", "score", F.explode("ids").alias("vec_id"))
+    scored = few.join(groups.select("vid", "ids"), "vid").select("qid", "score", (F.col("qid") == F.col("vid")).alias("same"), F.explode("ids").alias("vec_id"))
     best = scored.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id"))).filter(F.col("r") <= take)
-    lists_of = best.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("r", "vec_id", "score"))).alias("best"))
+    lists_of = best.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("r", "vec_id", "score", "same"))).alias("best"))
     named = of_query.join(lists_of, "qid").select("q", "best")
-    out = asked.join(named, F.col("v") == F.col("q")).select(F.col("vec_id").alias("query_id"), F.slice(F.filter("best", lambda x: x["vec_id"] != F.col("vec_id")), 1, k).alias("best"))
+    out = asked.join(named, F.col("v") == F.col("q")).select(F.col("vec_id").alias("query_id"), F.slice(F.filter("best", lambda x: ~(x["same"] & (x["vec_id"] == F.col("vec_id")))), 1, k).alias("best"))
     return out.select("query_id", F.posexplode("best").alias("p", "x")).select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))
 
 
