@@ -145,7 +145,8 @@ def keyed(rows: DataFrame, width: int, percent: int) -> DataFrame:
     """doc_id, key, n, fp, h, sigs of every document: one written table.
 
     ``h``, the first 48 bits of the set's fingerprint, names classes while candidates are
-    sought; ``fp`` is the whole fingerprint.
+    sought; ``fp`` is the whole fingerprint. Sets that share a name are candidates of each
+    other, which the exact test then tells apart.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("fp", pa.binary()), ("h", pa.int64()), ("sigs", pa.binary())])
 
@@ -183,10 +184,9 @@ def candidate_links(table: DataFrame) -> DataFrame:
     low, schema = np.uint64(48 - bits), pa.schema([("bucket", pa.int32()), ("sigs", pa.binary()), ("hs", pa.binary())])
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for b in batches:
-            hs = b.column(0).to_pylist()
-            new = [h not in seen and not seen.add(h) for h in hs]
+        seen: set[bytes] = set()
+        for b in batches:  # a set is sent once; sets that share their 48 bits are both sent, under one name
+            new = [f not in seen and not seen.add(f) for f in b.column(2).to_pylist()]
             b = b.filter(pa.array(new, pa.bool_()))
             if not b.num_rows:
                 continue
@@ -209,7 +209,7 @@ def candidate_links(table: DataFrame) -> DataFrame:
             _, _, a, b = runs_of(first, second.astype(np.int64))
         return pa.Table.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    routed = table.filter("n > 0").select("h", "sigs").mapInArrow(route, "bucket int, sigs binary, hs binary")
+    routed = table.filter("n > 0").select("h", "sigs", "fp").mapInArrow(route, "bucket int, sigs binary, hs binary")
     return routed.groupBy("bucket").applyInArrow(meet, "a bigint, b bigint")
 
 
@@ -327,10 +327,11 @@ def texts_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(member_filter(wanted.select(F.col("key").alias("h"))))
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         for b in batches:
             b = b.filter(pa.array(passes(shared.value, b.column(0).to_numpy())))
-            new = [k not in seen and not seen.add(k) for k in b.column(0).to_pylist()]
+            both = [(k, hash(t)) for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            new = [x not in seen and not seen.add(x) for x in both]
             b = b.filter(pa.array(new, pa.bool_()))
             if b.num_rows:
                 yield b
