@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from dataclasses import dataclass, field
+from itertools import accumulate
 from math import log2
 
 import pyarrow as pa
@@ -99,6 +101,17 @@ def window_spans(run: str, rule: EntropyRule) -> list[tuple[int, int]]:
     return spans
 
 
+def whole_token(run: str, start: int, end: int) -> tuple[int, int]:
+    """The part of a candidate that a suspicious span lies in: up to an equals sign on both sides, padding included."""
+    left = run.rfind("=", 0, start) + 1
+    right = run.find("=", end)
+    if right < 0:
+        return left, len(run)
+    while right < len(run) and run[right] == "=":
+        right += 1
+    return left, right
+
+
 def find_secrets(text: str, rule: EntropyRule, candidates: re.Pattern, allowed: re.Pattern):
     """(kind, start, end) of one text, by start, then kind in the order of KINDS."""
     found: list[tuple[int, int, int]] = []
@@ -110,12 +123,15 @@ def find_secrets(text: str, rule: EntropyRule, candidates: re.Pattern, allowed:
     for at, run in runs:
         found += [(at + m.start(), 2, at + m.end()) for m in HEX.finditer(run) if len(m[0]) >= MIN_HEX]
     base = sorted(found)
+    starts, reach = [s for s, _, _ in base], list(accumulate((e for _, _, e in base), max))
     for at, run in runs:
         if allowed.fullmatch(run):
             continue
         for s, e in window_spans(run, rule):
+            s, e = whole_token(run, s, e)
             s, e = at + s, at + e
-            if not any(b <= s and e <= stop for b, _, stop in base):
+            k = bisect_right(starts, s) - 1
+            if (k < 0 or reach[k] < e) and (s, 3, e) not in found[-1:]:
                 found.append((s, 3, e))
     return [(KINDS[k], s, e) for s, k, e in sorted(found)]
 
@@ -127,7 +143,8 @@ def scan_secrets(
 
     Works on whole texts, each row by itself: no shuffle, and repeated rows give repeated
     rows. A null or empty text has no spans. Positions are code points, end exclusive.
-    Entropy spans that lie wholly in a base span are not repeated.
+    An entropy span is the whole token that a suspicious window was found in; those that lie
+    wholly in a base span are not repeated.
     """
     rule = rule or EntropyRule()
     rows = texts(docs, id_col, text_col)
