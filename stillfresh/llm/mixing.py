@@ -118,7 +118,7 @@ def draw(seed: str) -> Column:
 
 
 def share(weight: Column, n: Column) -> Column:
-    """A cell's probability; documents without tokens weigh nothing and stay."""
+    """A cell's probability; one of a cell without tokens."""
     return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), weight / n))
 
 
@@ -143,14 +143,15 @@ def mix_probabilities(
     ``targets`` gives (value, want in tokens) by dimension; without it, those of
     :func:`flattened_targets`, which the values can reach. A document's probability is its
     cell's raked weight over the cell's tokens. The draw hashes the doc_id, so repeated rows of
-    an id share their fate. Null source or lang count as '', null and empty texts as no
-    tokens; texts are counted whole. An empty table gives no rows. Aggregation is in two
+    an id share their fate. Null source or lang count as ''. Documents without words, null and
+    empty texts among them, weigh nothing and stay; texts are counted whole. An empty table gives no rows. Aggregation is in two
     steps, so a source of any share costs one row for each task and cell.
     """
     rows = materialize(measured(docs, topic), "measured")
     weights, _ = weighted(rows, targets, rounds, budget, flatten)
     weights = weights.select(*DIMENSIONS, share(F.col("weight"), F.col("n")).alias("probability"))
     out = rows.join(F.broadcast(weights) if weights.count() <= ONE_PLACE else weights, list(DIMENSIONS))
+    out = out.withColumn("probability", F.when(F.col("n_tokens") == 0, 1.0).otherwise(F.col("probability")))
     return out.select("doc_id", *DIMENSIONS, "n_tokens", "probability", (draw(seed) < F.col("probability")).alias("sampled"))
 
 
@@ -173,7 +174,7 @@ def mix_documents(
     weights = weights.select(*(F.col(d).alias(own[d]) for d in DIMENSIONS), share(F.col("weight"), F.col("n")).alias(p))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     same = (F.col(own["topic"]) == topic(text)) & (F.col(own["source"]) == F.coalesce(F.col("source").cast("string"), F.lit(""))) & (F.col(own["lang"]) == F.coalesce(F.col("lang").cast("string"), F.lit("")))
-    kept = docs.join(F.broadcast(weights) if weights.count() <= ONE_PLACE else weights, same).filter(draw(seed) < F.col(p))
+    kept = docs.join(F.broadcast(weights) if weights.count() <= ONE_PLACE else weights, same).filter((draw(seed) < F.col(p)) | ~text.rlike(r"[^ \t-\r]"))
     return kept.drop(*own.values(), p)
 
 
@@ -206,4 +207,4 @@ def oracle_sql(rounds: int = ROUNDS, budget: float = BUDGET, flatten: float = FL
     return f"""WITH {', '.join(ctes)}
         SELECT doc_id, source, lang, topic, n_tokens, round(probability, 9) AS probability,
                CAST(('0x' || substr(md5(CAST(doc_id AS VARCHAR) || '|{seed}'), 1, 12)) AS BIGINT) / 281474976710656.0 < probability AS sampled
-        FROM (SELECT rows.*, CASE WHEN n = 0 THEN 1.0 ELSE least(1.0, weight / n) END AS probability FROM rows JOIN {now} USING (source, lang, topic))"""
+        FROM (SELECT rows.*, CASE WHEN n = 0 OR n_tokens = 0 THEN 1.0 ELSE least(1.0, weight / n) END AS probability FROM rows JOIN {now} USING (source, lang, topic))"""

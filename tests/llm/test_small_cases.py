@@ -123,6 +123,22 @@ def test_secrets(spark, docs):
     assert secrets.redact_secrets(docs).columns == docs.columns and secrets.redact_secrets(docs).count() == docs.count()
 
 
+def test_whole_tokens_are_redacted(spark):
+    key = "aGVsbG9Xb3JsZDEyMzQ1Njc4OTBhYmNkZWZ5LZXk"
+    texts = [f"k {key} end", f"k x={key}== end", f"{key}={key[::-1]}"]
+    own = spark.createDataFrame([doc(i, t) for i, t in enumerate(texts)], DOCS)
+    found = {r.doc_id: [(x.start, x.end) for x in r.found if x.kind == "entropy"] for r in secrets.scan_secrets(own).collect()}
+    assert found == {0: [(2, 42)], 1: [(2, 46)], 2: [(0, 81)]}
+    assert {r.doc_id: r.text for r in secrets.redact_secrets(own).collect()} == {0: "k [SECRET] end", 1: "k [SECRET] end", 2: "[SECRET]"}
+
+
+def test_sets_that_share_a_name_send_all_signatures(spark):
+    pack = lambda *s: ngram_join.packed(np.array(s, np.uint64), np.array([len(s)]), ngram_join.SIG_BYTES)[0].as_py()
+    rows = [(5, pack(11, 12), b"one", 3), (5, pack(21, 22), b"two", 3), (9, pack(21, 33), b"three", 3)]
+    table = spark.createDataFrame(rows, "h long, sigs binary, fp binary, n long").coalesce(1)
+    assert {(r.a, r.b) for r in ngram_join.candidate_links(table).collect()} == {(5, 9)}
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text("abcdefABCDEF0123456789+/", min_size=20, max_size=70))
 def test_entropy_windows_equal_direct_counts(run):
@@ -213,6 +229,14 @@ def test_mixing(docs):
     assert mixing.mix_probabilities(docs.limit(0), rounds=1).count() == 0
 
 
+def test_documents_without_words_stay(spark):
+    rows = [doc(i, " \t\n" if i % 3 else None) for i in range(40)] + [doc(100 + i, "some words here") for i in range(40)]
+    docs = spark.createDataFrame(rows, DOCS)
+    out = mixing.mix_probabilities(docs).collect()
+    assert all(r.sampled and r.probability == 1 for r in out if r.doc_id < 100) and not all(r.sampled for r in out)
+    assert sorted(r.doc_id for r in mixing.mix_documents(docs).collect()) == sorted(r.doc_id for r in out if r.sampled)
+
+
 def test_mixing_keeps_clashing_columns(docs):
     names = docs.withColumns({"cell_p": F.lit(7), "CELL_topic": F.lit("a"), "topic": F.lit("b"), "weight": F.lit(None).cast("string")})
     kept = mixing.mix_documents(names, rounds=2)
@@ -263,6 +287,11 @@ def test_topk(spark):
             want |= {(a, k + 1, b, -s) for k, (s, b) in enumerate(best)}
     for lists, tile in ((2, 4096), (3, 64)):
         assert {tuple(r) for r in topk.top_k(df, lists=lists, tile=tile).collect()} == want
+    same = df.filter("vec_id < 20").unionByName(df.filter("vec_id = 0")).unionByName(df.filter("vec_id = 0")).unionByName(df.filter("vec_id = 7"))
+    assert sorted(map(tuple, topk.top_k(same).collect())) == sorted(map(tuple, topk.top_k(df.filter("vec_id < 20")).collect()))
+    seven = spark.createDataFrame([(50, [1.0, 0.0], "")] * 7 + [(50, [0.0, 2.0], "")] + [(60 + i, [0.5, 0.1 * i], "") for i in range(3)], VECTORS)
+    got = sorted((r.rank, r.vec_id, r.score) for r in topk.top_k(seven).collect())
+    assert [g[1] for g in got].count(50) == 2 and len(got) == 8  # each of both rows of id 50 finds the other and the three
     few = df.filter("vec_id IN (0, 1, 2)")
     assert topk.top_k(few).count() == 2 and topk.top_k(df.limit(0)).count() == 0
 
