@@ -40,7 +40,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample by probabilities that meet the source, language and topic targets; all columns.
 
     A null source, language or text counts as empty. Each id draws once, so rows that repeat
-    an id in one cell share their fate. Documents without words weigh nothing and go. No
+    an id in one cell share their fate. Documents without words weigh nothing and stay. No
     documents: no rows.
     """
     return mixing.mix_documents(docs)
