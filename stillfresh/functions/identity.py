@@ -34,14 +34,31 @@ def logic_identity(sql_hash: Column, values_hash: Column, namespace_hash: Column
 
 
 def logic_hash(version: Column, dialect: Column, catalog: Column, schema: Column, sql: Column, extras: Column, deps: Column) -> Column:
-    """Strict identity: all settings, exact SQL text, extras and dependencies in order of name."""
-    listed = F.array_join(F.transform(F.array_sort(deps), lambda d: framed(d["name"], d["query"])), "")
-    return framed_hash(version, dialect, catalog, schema, F.lit("rendered"), sql, map_hash(extras), F.size(deps).cast("string"), listed)
+    """Strict identity: all settings, exact SQL text, extras and dependencies.
 
+    A dependency (name, query, catalog, schema) counts with where its definition resolves
+    names, as the same text reads other relations in another schema.
+    """
+    return framed_hash(version, dialect, catalog, schema, F.lit("rendered"), sql, map_hash(extras), *listed_dependencies(deps))
+
+
+def listed_dependencies(deps: Column) -> tuple[Column, Column]:
+    """How many dependencies there are, and all of them in order, framed."""
+    each = F.array_sort(F.transform(deps, lambda d: F.struct(d["name"].alias("name"), d["query"].alias("query"), d["catalog"].alias("catalog"), d["schema"].alias("schema"))))
+    return F.size(deps).cast("string"), F.array_join(F.transform(each, lambda d: framed(d["name"], d["query"], d["catalog"], d["schema"])), "")
 
-def template_hash(version: Column, dialect: Column, body: Column, config_signature: Column, extras: Column) -> Column:
-    """Identity by unrendered body and configuration."""
-    return framed_hash(version, dialect, F.lit("template"), body, config_signature, map_hash(extras))
+
+def template_hash(version: Column, dialect: Column, catalog: Column, schema: Column, body: Column, extras: Column, deps: Column, config_signature: Column, macros: Column) -> Column:
+    """Identity by the unrendered body instead of the SQL.
+
+    On databricks the declared configuration's signature and the macros' stand for the
+    extras, and body and signature count in lower case; an absent macros hash differs from
+    an empty one.
+    """
+    databricks = names.warehouse_family(dialect) == "databricks"
+    declared = framed(F.lit("declared-config-signature"), F.lower(F.coalesce(config_signature, F.lit(""))), F.when(macros.isNull(), "macros-absent").otherwise("macros-present"), F.coalesce(macros, F.lit("")))
+    settings = F.when(databricks, declared).otherwise(framed(map_hash(extras)))
+    return framed_hash(version, F.lower(dialect), catalog, schema, F.lit("template"), F.when(databricks, F.lower(body)).otherwise(body), settings, *listed_dependencies(deps))
 
 
 def schema_abstracted(
@@ -50,19 +67,20 @@ def schema_abstracted(
     """Identity of a submission with the schemas of its dependencies' names replaced by tokens.
 
     Each dependency's name, part by part, stays with its definition, so definitions that
-    change places change the identity; the default schema counts by its token. ``known`` is
-    :func:`names.known_names` of those names as a column, so that it is made once a row.
-    Lexical: a known name within a literal is replaced too, in all environments alike.
+    change places change the identity; the default schema counts by its token. ``sql`` and the
+    query of ``deps`` (parts, query) come as :func:`names.text_pieces`, which are the same in
+    all readings; ``known`` is :func:`names.schema_map` of the reading. Lexical: a known name
+    within a literal is replaced too, in all environments alike.
     """
-    token = lambda schema: F.coalesce(F.get(tokens, (F.array_position(keys, names.schema_key(schema)) - 1).cast("int")), F.lit(""))
+    token = lambda schema: F.coalesce(F.get(tokens, (F.array_position(keys, schema) - 1).cast("int")), F.lit(""))
 
     def bound(d):
-        parts = names.name_parts(d["name"])
-        shown = F.transform(parts, lambda p, i: F.when((F.size(parts) == 3) & (i == 1), token(p)).otherwise(names.canon_ident(p)))
-        return F.concat(framed(F.size(parts).cast("string")), F.array_join(F.transform(shown, lambda p: framed(p)), ""), framed(names.abstract_text(d["query"], known)))
+        parts = d["parts"]
+        shown = F.transform(parts, lambda p, i: F.when((F.size(parts) == 3) & (i == 1), token(p)).otherwise(p))
+        return F.concat(framed(F.size(parts).cast("string")), F.array_join(F.transform(shown, lambda p: framed(p)), ""), framed(names.mapped_text(d["query"], known)))
 
     listed = F.array_join(F.array_sort(F.transform(deps, bound)), "")
-    return framed_hash(version, F.lower(dialect), token(default_schema), names.abstract_text(sql, known), map_hash(extras), F.size(deps).cast("string"), listed)
+    return framed_hash(version, F.lower(dialect), token(names.schema_key(default_schema)), names.mapped_text(sql, known), map_hash(extras), F.size(deps).cast("string"), listed)
 
 
 def seed_hash(dialect: Column, catalog: Column, extras: Column) -> Column:

@@ -100,29 +100,48 @@ def schema_key(schema: Column) -> Column:
     return canon_ident(empty_as_null(schema))
 
 
-def known_names(names: Column, keys: Column, tokens: Column) -> Column:
-    """(pattern, to) of three-part names: what finds one in a text in any spelling, and the name with its schema's token.
+#: Pieces that a text falls into: chains of dotted names, and what stands between them.
+PIECE = r'(?s)\.*(?:"(?:[^"]|"")*"|[A-Za-z0-9_$]+)(?:\.(?:"(?:[^"]|"")*"|[A-Za-z0-9_$]+))*|[^A-Za-z0-9_$".]+|.'
+JOIN = "\x02"
 
-    ``keys``: schemas by :func:`schema_key`; ``tokens``: their tokens, place by place. Other
-    names are left out.
+
+def canonical_parts(name: Column) -> Column:
+    return F.transform(name_parts(name), canon_ident)
+
+
+def text_pieces(text: Column) -> Column:
+    """The text as an array of (text, key, rest): one fixed pattern, whatever names are looked for.
+
+    A chain of three names or more has a ``key``, its first three as warehouses compare them, and
+    ``rest``, what follows them; other pieces have neither.
     """
 
-    def spelled(key):
-        plain = F.regexp_replace(key, r"([^A-Za-z0-9_])", r"\\$1")
-        quoted = F.concat(F.lit('"'), F.regexp_replace(F.replace(key, F.lit('"'), F.lit('""')), r"([^A-Za-z0-9_])", r"\\$1"), F.lit('"'))
-        return F.when(F.upper(key) == key, F.concat(F.lit("(?:(?i:"), plain, F.lit(")|"), quoted, F.lit(")"))).otherwise(quoted)
+    def chain(piece, parts):
+        key = F.array_join(F.transform(F.slice(parts, 1, 3), canon_ident), JOIN)
+        rest = F.array_join(F.transform(F.slice(parts, 4, 1_000), lambda p: F.concat(F.lit("."), p)), "")
+        return F.struct(piece.alias("text"), F.when(F.size(parts) >= 3, key).alias("key"), F.when(F.size(parts) >= 3, rest).alias("rest"))
+
+    def one(piece):
+        named = F.when(piece.contains(".") & ~piece.startswith("."), name_parts(piece)).otherwise(F.array().cast("array<string>"))
+        return F.get(F.transform(F.array(named), lambda parts: chain(piece, parts)), F.lit(0))
+
+    return F.transform(F.regexp_extract_all(text, F.lit(PIECE), F.lit(0)), one)
+
+
+def schema_map(parts: Column, keys: Column, tokens: Column) -> Column:
+    """A map from the keys of three-part names to the names with their schema's token.
+
+    ``parts``: arrays of canonical parts; ``keys``: schemas by :func:`schema_key`; ``tokens``: their
+    tokens, place by place. Other names are left out.
+    """
 
-    def one(parts):
-        token = F.get(tokens, (F.array_position(keys, F.get(parts, 1)) - 1).cast("int"))
-        whole = F.concat(F.lit('(?<![A-Za-z0-9_$."])'), F.array_join(F.transform(parts, spelled), r"\."), F.lit('(?![A-Za-z0-9_$"])'))
-        to = F.concat_ws(".", F.get(parts, 0), F.concat(F.lit("\x01"), token), F.get(parts, 2))
-        return F.struct(whole.alias("pattern"), F.regexp_replace(to, r"([$\\])", r"\\$1").alias("to"))
+    def one(p):
+        token = F.get(tokens, (F.array_position(keys, F.get(p, 1)) - 1).cast("int"))
+        return F.struct(F.array_join(p, JOIN).alias("key"), F.concat_ws(".", F.get(p, 0), F.concat(F.lit("\x01"), token), F.get(p, 2)).alias("to"))
 
-    # each step's results are variables of the next, so that no name is taken apart twice
-    apart = F.transform(F.array_distinct(names), lambda n: F.transform(name_parts(n), canon_ident))
-    return F.transform(F.filter(apart, lambda p: F.size(p) == 3), one)
+    return F.map_from_entries(F.transform(F.array_distinct(F.filter(parts, lambda p: F.size(p) == 3)), one))
 
 
-def abstract_text(text: Column, known: Column) -> Column:
-    """A text with its known names written as in ``known``; names that aren't qualified stay."""
-    return F.aggregate(known, text, lambda t, k: F.regexp_replace(t, k["pattern"], k["to"]))
+def mapped_text(pieces: Column, known: Column) -> Column:
+    """The text of :func:`text_pieces` with its known names as in the map ``known``; names that aren't qualified stay."""
+    return F.array_join(F.transform(pieces, lambda x: F.coalesce(F.concat(F.try_element_at(known, x["key"]), x["rest"]), x["text"])), "")

@@ -209,7 +209,7 @@ def reading(t):
     return each.select(
         F.col("execution_id").alias("submission_id"), F.lit("snowflake").alias("dialect"), F.lit("cat").alias("catalog"), F.concat(F.lit("s"), (F.col("execution_id") % 4).cast("string")).alias("default_schema"),
         F.concat(F.lit("select * from "), F.array_join("ns", " join ")).alias("sql"), F.expr("CAST(map() AS MAP<STRING, STRING>)").alias("extras"),
-        F.transform("ns", lambda n: F.struct(n.alias("name"), first(n).alias("query"))).alias("deps"),
+        F.transform("ns", lambda n: F.struct(n.alias("name"), first(n).alias("query"), F.lit("cat").alias("catalog"), F.lit("s").alias("schema"))).alias("deps"),
     )
 
 

@@ -121,11 +121,11 @@ FRAME = "strlen({0}) || ':' || {0} || ';'"
     "l1_logic_hash",
     f"""SELECT id, sha256('1:1;' || {FRAME.format('family')} || '3:cat;' || {FRAME.format('namespace_')} || '8:rendered;' || {FRAME.format('logic_hash')} || {FRAME.format('m')} || strlen(CAST(n AS VARCHAR)) || ':' || n || ';' || {FRAME.format('listed')}) AS logic
         FROM (SELECT id, family, coalesce(namespace, '') AS namespace_, logic_hash, sha256('1:1;' || strlen('7:project;' || {FRAME.format('project')}) || ':' || '7:project;' || {FRAME.format('project')} || ';') AS m FROM executions)
-        JOIN (SELECT execution_id AS id, count(*) AS n, string_agg({FRAME.format('name')} || {FRAME.format('q')}, '' ORDER BY name, q) AS listed
-              FROM (SELECT execution_id, name, coalesce(producer, '-') AS q FROM inputs) GROUP BY 1) USING (id)""",
+        JOIN (SELECT execution_id AS id, count(*) AS n, string_agg({FRAME.format('name')} || {FRAME.format('q')} || '3:cat;' || {FRAME.format('s')}, '' ORDER BY name, q, s) AS listed
+              FROM (SELECT execution_id, name, coalesce(producer, '-') AS q, 's' || CAST(execution_id % 3 AS VARCHAR) AS s FROM inputs) GROUP BY 1) USING (id)""",
 )
 def _(t):
-    deps = t("inputs").groupBy(F.col("execution_id").alias("id")).agg(F.collect_list(F.struct("name", F.coalesce("producer", F.lit("-")).alias("query"))).alias("deps"))
+    deps = t("inputs").groupBy(F.col("execution_id").alias("id")).agg(F.collect_list(F.struct("name", F.coalesce("producer", F.lit("-")).alias("query"), F.lit("cat").alias("catalog"), F.concat(F.lit("s"), (F.col("execution_id") % 3).cast("string")).alias("schema"))).alias("deps"))
     one = F.lit("1"), F.col("family"), F.lit("cat"), F.coalesce("namespace", F.lit("")), F.col("logic_hash"), F.create_map(F.lit("project"), "project"), F.col("deps")
     return t("executions").join(deps, "id").select("id", identity.logic_hash(*one).alias("logic"))
 

@@ -46,10 +46,21 @@ def frame(x: str) -> str:
 EXTRAS = f"sha256('1:2;' || strlen(b) || ':' || b || ';') AS m FROM (SELECT *, '1:a;' || {frame('project')} || '1:z;' || {frame('family')} AS b FROM executions)"
 
 
-@query("l2_template_hash", f"SELECT id, sha256('2:v1;' || {frame('family')} || '8:template;' || {frame('logic_hash')} || CASE WHEN namespace IS NULL THEN 'N;' ELSE {frame('namespace')} END || '64:' || m || ';') AS h FROM (SELECT *, {EXTRAS})")
+@query(
+    "l2_template_hash",
+    f"""SELECT id, sha256('2:v1;' || {frame('family')} || '3:cat;' || {frame('project')} || '8:template;' || {frame('body')} || {frame('settings')} || {frame('k')} || {frame('listed')}) AS h
+        FROM (SELECT *, CASE WHEN family = 'databricks' THEN lower(logic_hash) ELSE logic_hash END AS body,
+                CASE WHEN family = 'databricks' THEN '25:declared-config-signature;' || strlen(lower(coalesce(namespace, ''))) || ':' || lower(coalesce(namespace, '')) || ';' || CASE WHEN id % 3 = 0 THEN '13:macros-absent;0:;' ELSE '14:macros-present;2:mx;' END ELSE '64:' || m || ';' END AS settings
+              FROM (SELECT *, {EXTRAS}))
+        JOIN (SELECT execution_id AS id, CAST(count(*) AS VARCHAR) AS k, string_agg({frame('name')} || '1:q;3:cat;' || {frame('s')}, '' ORDER BY name, s) AS listed FROM (SELECT execution_id, name, 's' || CAST(execution_id % 3 AS VARCHAR) AS s FROM inputs) GROUP BY 1) USING (id)""",
+)
 def _(t):
     extras = F.create_map(F.lit("z"), "family", F.lit("a"), "project")
-    return t("executions").select("id", identity.template_hash(F.lit("v1"), F.col("family"), F.col("logic_hash"), F.col("namespace"), extras).alias("h"))
+    dep = F.struct("name", F.lit("q").alias("query"), F.lit("cat").alias("catalog"), F.concat(F.lit("s"), (F.col("execution_id") % 3).cast("string")).alias("schema"))
+    deps = t("inputs").groupBy(F.col("execution_id").alias("id")).agg(F.collect_list(dep).alias("deps"))
+    macros = F.when(F.col("id") % 3 != 0, "mx")
+    h = identity.template_hash(F.lit("v1"), F.col("family"), F.lit("cat"), F.col("project"), F.col("logic_hash"), extras, F.col("deps"), F.col("namespace"), macros)
+    return t("executions").join(deps, "id").select("id", h.alias("h"))
 
 
 @query("l3_seed_hash", f"SELECT id, sha256({frame('family')} || {frame('org_id')} || '64:' || m || ';') AS h FROM (SELECT *, {EXTRAS})")

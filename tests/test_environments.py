@@ -5,16 +5,19 @@ from __future__ import annotations
 import uuid
 
 import pytest
+from pyspark.sql import functions as F
 
+
+from stillfresh.functions import identity, names
 from stillfresh.operators import explain, selection
 from stillfresh.sources.tables import write_result
 from stillfresh.streaming import states
 
-SUBMISSION = "submission_id long, dialect string, catalog string, default_schema string, sql string, extras map<string,string>, deps array<struct<name:string,query:string>>"
+SUBMISSION = "submission_id long, dialect string, catalog string, default_schema string, sql string, extras map<string,string>, deps array<struct<name:string,query:string,catalog:string,schema:string>>"
 
 
 def one(i, schema, sql, deps, dialect="snowflake"):
-    return (i, dialect, "cdo", schema, sql, {}, deps)
+    return (i, dialect, "cdo", schema, sql, {}, deps and [(*d, "cdo", schema) if len(d) == 2 else d for d in deps])
 
 
 def hashes(spark, rows):
@@ -49,6 +52,28 @@ def test_rehomed_into_the_source_schema(spark):
     assert got[0].hash == own[1] != own[2]
 
 
+def test_where_a_dependency_resolves_counts(spark):
+    dep = lambda catalog, schema: [("cdo.raw.a", "select * from x", catalog, schema)]
+    rows = [one(1, "dev", "q", dep("cdo", "s1"), "duckdb"), one(2, "dev", "q", dep("cdo", "s2"), "duckdb"), one(3, "dev", "q", dep("cdx", "s1"), "duckdb"), one(4, "dev", "q", dep("cdo", "s1"), "duckdb")]
+    got = hashes(spark, rows)
+    assert got[1] == got[4] and len({got[1], got[2], got[3]}) == 3
+    df = spark.createDataFrame(rows, SUBMISSION)
+    lit = F.lit
+    whole = lambda dialect, macros=None, signature="c", schema="s": identity.template_hash(lit("v"), lit(dialect), lit("cat"), lit(schema), lit("Body"), F.col("extras"), F.col("deps"), lit(signature).cast("string"), lit(macros).cast("string"))
+    r = df.filter("submission_id < 3").select("submission_id", *(c.alias(n) for n, c in {
+        "a": whole("duckdb"), "schema": whole("duckdb", schema="t"), "bricks": whole("databricks"), "none": whole("databricks", None), "empty": whole("databricks", ""), "some": whole("databricks", "m"), "other": whole("databricks", None, "d"), "upper": whole("Databricks", None, "C"),
+    }.items())).orderBy("submission_id").collect()
+    assert r[0].a != r[1].a and r[0].a != r[0].schema and r[0].bricks == r[0].none == r[0].upper and len({r[0].none, r[0].empty, r[0].some, r[0].other}) == 4
+
+
+def test_pieces_of_a_text(spark):
+    text = 'select a.b.c.d, .x.y.z, "A"."b".c, 1.5e3, \'it\'\'s a.b.c\', é.b.c.d "open'
+    row = spark.createDataFrame([(text,)], "t string").select(names.text_pieces(F.col("t")).alias("p")).first()
+    assert "".join(x.text for x in row.p) == text
+    keyed = [(x.key.split(names.JOIN), x.rest) for x in row.p if x.key is not None]
+    assert keyed == [(["A", "B", "C"], ".d"), (["A", "b", "C"], ""), (["A", "B", "C"], "")]
+
+
 def test_judged_equivalents(spark):
     subs = spark.createDataFrame([(1, "c.dev.o", 1, "any", 0, 1000)], "submission_id long, target_key string, execution_type int, policy string, tolerance_ms long, now_ms long")
     now = spark.createDataFrame([(1, "c.raw.x", 200, None), (1, "c.dev.o", 5, None)], "submission_id long, name string, epoch long, producer string")
