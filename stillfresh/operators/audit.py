@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.display import reuse_rate
-from ..sources.tables import written
+from . import graphs
 
 
 def _is(name: str) -> Column:
@@ -110,33 +110,18 @@ def lineage_edges(nodes: DataFrame, inputs: DataFrame) -> DataFrame:
 def lineage_layers(edges: DataFrame) -> DataFrame:
     """(node, layer): the longest path to each node from nodes without inputs.
 
-    A frontier of (node, layer) grows a step at a time, each node once a step, as a written
-    table; steps end when none is left. As many steps as nodes mean a cycle, which is an error.
+    A cycle is an error, also one that no other node leads to. Long chains cost few rounds.
     """
-    nodes = written(edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct())
-    most = nodes.count()
-    out = front = nodes.join(edges.select(F.col("dst").alias("node")).distinct(), "node", "left_anti").withColumn("layer", F.lit(0))
-    for layer in range(1, most + 1):
-        front = written(front.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct().withColumn("layer", F.lit(layer)))
-        if front.isEmpty():
-            break
-        if layer == most:
-            raise ValueError("the lineage has a cycle")
-        out = out.unionByName(front)
-    return out.groupBy("node").agg(F.max("layer").alias("layer"))
+    return graphs.layers(edges)
 
 
 def expand_selection(selected: DataFrame, edges: DataFrame, up: bool, down: bool) -> DataFrame:
-    """The selected nodes (column node) with all their ancestors and/or descendants, each step a written table."""
+    """The selected nodes (column node) with all their ancestors and/or descendants."""
     found = selected.select("node").distinct()
     for a, b, wanted in (("dst", "src", up), ("src", "dst", down)):
-        front = selected.select("node").distinct()
-        while wanted:
-            front = written(front.join(edges, F.col("node") == F.col(a)).select(F.col(b).alias("node")).distinct().join(found, "node", "left_anti"))
-            if front.isEmpty():
-                break
-            found = found.unionByName(front)
-    return found
+        if wanted:
+            found = found.unionByName(graphs.descendants(selected, edges.select(F.col(a).alias("src"), F.col(b).alias("dst"))))
+    return found.distinct()
 
 
 COMPONENTS = ("body", "configs", "descriptions", "macros", "contract")
