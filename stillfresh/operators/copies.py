@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.display import TEST
+from ..sources.tables import written
 from .evidence import content_digest
-from .history import SCOPE, TENANT, attach_current, current_state, in_tenant, latest_of_type, ranked
+from .history import SCOPE, TENANT, attach_current, copy_parents, current_state, in_tenant, latest_of_type, ranked
 
 
 def copyable(kind: Column, constraints: Column, indexes: Column, columns: Column) -> Column:
@@ -141,6 +142,37 @@ def register_copy(requests: DataFrame, current: DataFrame) -> DataFrame:
     return met.withColumn("plan", plan).select("copy_id", "plan", kept("source_id"), kept("logic_hash"), kept("runtime_ms"))
 
 
+def inherited(history: DataFrame, recorded: DataFrame, scope: tuple[str, ...] = TENANT, doublings: int = 3) -> DataFrame:
+    """(id, root_id, depth, namespace_hash, runtime_ms, inputs) of copies that clients registered: what each took over.
+
+    A copy is made of its source's latest state before it; a source that is a registered copy
+    itself passes on what it took over. So a copy's logic and inputs are those of the first
+    state behind it that is none, its runtime the nearest that was reported on the way. ``depth``
+    counts the copies in between, itself included; ``inputs`` has the root's names but its own,
+    in order, joined by commas. A chain that ends at an unknown state has no root.
+
+    ``history``: id, the scope, target_key, source_key, sql_hash (NULL: registered), namespace_hash,
+    runtime_ms, created_ms, confirmed_ms; ``recorded``: execution_id, name. Each copy's pointer
+    leaps to where its parent's points, so a chain of n copies takes log n joins.
+    """
+    registered = history.filter("source_key IS NOT NULL AND sql_hash IS NULL").select("id", "runtime_ms")
+    parents = copy_parents(history, scope)
+    met = registered.join(parents, "id", "left").join(registered.select(F.col("id").alias("parent"), F.lit(True).alias("goes")), "parent", "left")
+    at = written(met.select("id", F.col("parent").alias("to"), F.lit(1).alias("depth"), "runtime_ms", F.coalesce("goes", F.lit(False)).alias("open")))
+    while not at.filter("open").isEmpty():
+        for _ in range(doublings):
+            further = at.select(F.col("id").alias("to"), F.col("to").alias("next"), F.col("depth").alias("more"), F.col("runtime_ms").alias("reported"), F.col("open").alias("goes"))
+            on = at.join(further, "to", "left")
+            leap = lambda then, own: F.when(F.col("open"), then).otherwise(own)
+            at = on.select("id", leap(F.col("next"), F.col("to")).alias("to"), (F.col("depth") + leap(F.col("more"), F.lit(0))).alias("depth"), leap(F.coalesce("runtime_ms", "reported"), F.col("runtime_ms")).alias("runtime_ms"), (F.col("open") & F.coalesce("goes", F.lit(False))).alias("open"))
+        at = written(at)
+    roots = history.select(F.col("id").alias("to"), F.col("target_key").alias("_key"), "namespace_hash", F.col("runtime_ms").alias("_runtime"))
+    used = at.select(F.col("to").alias("execution_id")).distinct().join(roots.select(F.col("to").alias("execution_id"), "_key"), "execution_id")
+    names = used.join(recorded.select("execution_id", "name"), "execution_id").filter("name <> _key").groupBy("execution_id").agg(F.array_join(F.array_sort(F.collect_set("name")), ",").alias("inputs"))
+    out = at.join(roots, "to", "left").join(names.withColumnRenamed("execution_id", "to"), "to", "left")
+    return out.select("id", F.col("to").alias("root_id"), "depth", "namespace_hash", F.coalesce("runtime_ms", "_runtime").alias("runtime_ms"), F.when(F.col("to").isNotNull(), F.coalesce("inputs", F.lit(""))).alias("inputs"))
+
+
 def diagnostic_current(submissions: DataFrame, executions: DataFrame, n: int = 50) -> DataFrame:
     """For each submission the ``n`` other targets of its org and family that were confirmed last, any namespace.
 

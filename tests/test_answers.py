@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from stillfresh.operators import answers
+from stillfresh.operators import answers, copies
 
 SUBS = "submission_id long, org_id string, family string, namespace string, target_key string, execution_type int, node_uid string, project string, sql string, sql_hash string, text_hash string, root string, template_hash string, compare_template boolean, body_hash string, namespace_hash string, values_hash string, evaluation_requested boolean, ignore_external boolean, policy string, tolerance_ms long, now_ms long, allow_clones boolean, chain_limit int"
 RUNS = "id long, org_id string, family string, namespace string, target_key string, execution_type int, node_uid string, project string, sql_hash string, text_hash string, root string, template_hash string, namespace_hash string, values_hash string, last_modified_epoch long, created_ms long, confirmed_ms long, source_key string, source_epoch long, published boolean, table_type string, failures double, should_error boolean, should_warn boolean"
@@ -89,3 +89,30 @@ def test_search_for_equivalents(spark):
 def test_nothing_recorded(spark, runs):
     assert settle(spark, [sub()], [read(1, None)], runs, []) == {1: ("build", "first_build", None, 6, 6)}
     assert settle(spark, [], [], runs, []) == {}
+
+
+def test_copies_of_copies(spark):
+    """Chains of eleven copies: what each takes over is found by following them one by one."""
+    rows, n = [], 0
+    for c in range(6):  # chains that share nothing but names in other orgs
+        for i in range(12):
+            n += 1
+            kind = "build" if i == 0 else "submitted" if (c == 1 and i == 6) else "registered"
+            confirmed = None if (c == 2 and i == 4) else n * 10 + 5
+            rows.append((n, f"o{c}", "snowflake", None if c % 2 else "", f"t{i}", f"t{i - 1}" if i else None, None if kind == "registered" else "s", f"ns{c}.{i}", 100 * c + i if (i % 4 == c % 4 or i == 0) else None, n * 10, confirmed))
+    schema = "id long, org_id string, family string, namespace string, target_key string, source_key string, sql_hash string, namespace_hash string, runtime_ms long, created_ms long, confirmed_ms long"
+    recorded = [(r[0], x) for r in rows for x in (f"raw{r[0] % 3}", "raw", r[4]) if r[6] is not None]
+    by_id = {r[0]: r for r in rows}
+    state = lambda org, key, before: max((r for r in rows if r[1] == org and r[4] == key and r[10] is not None and r[0] < before), key=lambda r: (r[10], r[0]), default=None)
+    want = {}
+    for r in rows:
+        if r[5] is not None and r[6] is None:
+            at, depth, run = r, 0, None
+            while at is not None and at[5] is not None and at[6] is None:
+                run, depth, at = at[8] if run is None else run, depth + 1, state(at[1], at[5], at[0])
+            inputs = None if at is None else ",".join(sorted({x for i, x in recorded if i == at[0]} - {at[4]}))
+            want[r[0]] = (at and at[0], depth, at and at[7], run if run is not None else at and at[8], inputs)
+    got = copies.inherited(spark.createDataFrame(rows, schema), spark.createDataFrame(recorded, "execution_id long, name string"))
+    assert {r.id: tuple(r)[1:] for r in got.collect()} == want
+    assert max(d for _, d, *_ in want.values()) == 11 and any(root is None for root, *_ in want.values()) and by_id
+    assert copies.inherited(spark.createDataFrame([], schema), spark.createDataFrame([], "execution_id long, name string")).isEmpty()
