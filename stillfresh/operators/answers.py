@@ -188,8 +188,8 @@ def over_build_of_type(e: Evidence, selected: DataFrame, n: int = 50) -> DataFra
     return out.withColumns({"no_candidate": F.when(has, against).otherwise(F.col("no_candidate")), "base": F.when(has, F.col("own_build")).otherwise(F.col("base"))}).drop("own_build")
 
 
-def judge(e: Evidence, asked: DataFrame, row: str = "base") -> DataFrame:
-    """``asked`` with what :func:`freshness.judge_freshness` adds for the recorded row ``row``.
+def upstream_rows(e: Evidence, asked: DataFrame, row: str = "base") -> DataFrame:
+    """Verdicts on each upstream of ``asked`` against the recorded row ``row``, as :func:`freshness.upstream_verdicts` gives them.
 
     A copy that recorded no inputs reads what the submission reads, no later than the copy.
     """
@@ -198,7 +198,12 @@ def judge(e: Evidence, asked: DataFrame, row: str = "base") -> DataFrame:
     then = pairs.join(e.recorded, "execution_id").filter("name <> own")
     adopted = now.filter("_copy").join(then.select("submission_id").distinct(), "submission_id", "left_anti").withColumns({"epoch": F.least("epoch", "_epoch"), "producer": F.lit(None).cast("string")})
     cut = lambda df: df.select("submission_id", F.upper("name").alias("name"), "epoch", "producer")
-    folded = freshness.fold_freshness(freshness.upstream_verdicts(cut(now), cut(then).unionByName(cut(adopted))))
+    return freshness.upstream_verdicts(cut(now), cut(then).unionByName(cut(adopted)))
+
+
+def judge(e: Evidence, asked: DataFrame, row: str = "base") -> DataFrame:
+    """``asked`` with what :func:`freshness.judge_freshness` adds for the recorded row ``row``."""
+    folded = freshness.fold_freshness(upstream_rows(e, asked, row))
     aged = asked.withColumns({"prev_epoch": F.col(f"{row}.last_modified_epoch"), "build_age_ms": F.col("now_ms") - build_time(row)})
     return freshness.judge_freshness(aged, folded)
 
@@ -326,7 +331,11 @@ def answer(e: Evidence) -> DataFrame:
     ``matched_id`` is the build that was reused or judged, ``source_id`` the execution that is
     copied or, with codes, would have been. A repeated submission_id is not supported.
     """
-    settled, current = selected(e)
+    return answer_settled(e, *selected(e))
+
+
+def answer_settled(e: Evidence, settled: DataFrame, current: DataFrame) -> DataFrame:
+    """:func:`answer` from what :func:`selected` has written."""
     skipped = settled.filter("no_candidate IS NULL AND rebuild IS NULL").select("submission_id", F.concat(F.lit("reused_"), "reuse").alias("reason"), F.col("drift_present").alias("is_stale"), F.col("base.id").alias("matched_id"))
     undecided = settled.filter("no_candidate IS NOT NULL OR rebuild IS NOT NULL")
     asked = written(lookups(undecided))
