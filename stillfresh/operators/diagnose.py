@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.display import SNAPSHOT, VIEW
-from .history import TENANT, ranked
+from .history import SCOPE, TENANT, ranked
 
-FULL, MERGE = 1, 3
+FULL, APPEND, MERGE, MICROBATCH = 1, 2, 3, 5
 # Numbers of rejection codes.
 OTHER_TARGET, NOT_FULL, TARGET_ABSENT, NO_MATCH, SAME_TARGET, OTHER_QUERY, TOO_OLD, CHAIN_LIMIT = 1, 3, 4, 6, 7, 8, 9, 10
 EVERYWHERE = ("org_id", "family")
@@ -93,3 +93,53 @@ def diagnose(decided: DataFrame, executions: DataFrame) -> DataFrame:
     merge = kind == MERGE
     df = put(df, applies("direct_copy", F.col("equivalent"), OUTDATED), OTHER_TARGET, F.when(merge, CHAIN_LIMIT).otherwise(NOT_FULL), F.when(merge, "copy_chain_limit").otherwise(reason))
     return df.drop("_on", "older_here", "other_now", "other_ever", "absent_scope", "peer", "equivalent")
+
+
+def kind_runs(executions: DataFrame) -> DataFrame:
+    """The scope, since_id, run_length: of each target's history the latest run of builds of one kind, and the build it began with."""
+    of = Window.partitionBy(*SCOPE).orderBy("rank")
+    rows = ranked(executions).withColumn("_other", ~F.col("execution_type").eqNullSafe(F.first("execution_type").over(of)))
+    past = F.max(F.col("_other").cast("int")).over(of.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return rows.withColumn("_past", past).filter("_past = 0").groupBy(*SCOPE).agg(F.max_by("id", "rank").alias("since_id"), F.count(F.lit(1)).alias("run_length"))
+
+
+def exact_request() -> Column:
+    """Requests on databricks that want exact freshness by rendered SQL."""
+    return (F.col("family") == "databricks") & (F.col("tolerance_ms") == 0) & (F.col("policy") == "any") & ~F.col("compare_template")
+
+
+def plain_reads(inputs: DataFrame, own: DataFrame, key: str, known: Column) -> DataFrame:
+    """(key, n, plain) of ``own`` (key, own): how many inputs there are besides the own target, and whether all are plain sources."""
+    met = inputs.join(own, key).filter("name <> own")
+    return met.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.coalesce((F.col("producer") == "none") & known, F.lit(False))).alias("plain"))
+
+
+def transitions(settled: DataFrame, answered: DataFrame, verdicts: DataFrame, inputs: DataFrame, recorded: DataFrame, executions: DataFrame) -> DataFrame:
+    """(submission_id, latest_id, since_id, run_length, drifted): rebuilds that only a change between append and merge forced.
+
+    They are shown against the target's latest build: it stands as built, all its upstreams
+    are plain sources whose epochs both sides know, and ``drifted`` says whether one has changed
+    since. ``since_id`` is the first build of that kind's run. ``settled`` and ``answered`` are from
+    :mod:`answers`, ``verdicts`` of each upstream against the latest build.
+    """
+    turned = ((F.col("execution_type") == APPEND) & (F.col("prev.execution_type") == MERGE)) | ((F.col("execution_type") == MERGE) & (F.col("prev.execution_type") == APPEND))
+    stands = F.col("prev.source_key").isNull() & (F.col("n_own") > 0) & (F.col("own_epoch") > 0) & (F.col("own_epoch") == F.col("prev.last_modified_epoch"))
+    asked = settled.filter(exact_request() & turned & stands & F.col("same_identity") & F.col("same_upstreams")).join(answered.filter("decision = 'build' AND reason IN ('execution_type_changed', 'own_target_modified')").select("submission_id"), "submission_id")
+    own = asked.select("submission_id", F.col("target_key").alias("own"))
+    now = plain_reads(inputs, own, "submission_id", F.col("epoch") > 0).filter("plain").select("submission_id")
+    then = plain_reads(recorded, asked.select(F.col("prev.id").alias("execution_id"), F.col("prev.target_key").alias("own")).distinct(), "execution_id", F.lit(True)).filter("plain").select(F.col("execution_id").alias("latest_id"))
+    folded = verdicts.groupBy("submission_id").agg(F.bool_or("unprovable").alias("_unknown"), F.bool_and(F.coalesce((F.col("epoch") > 0) & (F.col("recorded_epoch") > 0), F.lit(False))).alias("_known"), F.bool_or("drifted").alias("drifted"))
+    met = asked.select("submission_id", *SCOPE, F.col("prev.id").alias("latest_id")).join(now, "submission_id").join(then, "latest_id").join(folded.filter("_known AND NOT _unknown"), "submission_id").join(kind_runs(executions), list(SCOPE))
+    return met.select("submission_id", "latest_id", "since_id", "run_length", "drifted")
+
+
+def partial_targets(settled: DataFrame, answered: DataFrame, inputs: DataFrame, deps: DataFrame) -> DataFrame:
+    """(submission_id, reason): first builds of microbatch nodes whose table is there all the same, left by a batch that failed.
+
+    Their reason says so, and nothing of the partial table is reused.
+    """
+    own = settled.select("submission_id", F.col("target_key").alias("own"))
+    reads = plain_reads(inputs, own, "submission_id", F.col("epoch") > 0).filter("plain AND n = 1").select("submission_id")
+    first = answered.filter("decision = 'build' AND reason = 'first_build'").select("submission_id")
+    asked = settled.filter(exact_request() & (F.col("execution_type") == MICROBATCH) & (F.col("namespace") != "") & (F.col("n_own") == 1) & (F.col("own_epoch") > 0))
+    return asked.join(first, "submission_id").join(reads, "submission_id").join(deps.select("submission_id").distinct(), "submission_id", "left_anti").select("submission_id", F.lit(UNKNOWN).alias("reason"))
