@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -154,6 +156,51 @@ def test_outcome(rows: DataFrame, fail_calc: str, error_if: str, warn_if: str, s
     return flags.withColumn("status", F.when(fails, "fail").when(F.col("should_warn"), "warn").otherwise("pass"))
 
 
+@dataclass(frozen=True)
+class DataTest:
+    """A test of a table: ``failing`` is the predicate of rows that fail it."""
+
+    name: str
+    failing: str
+    fail_calc: str = "count(*)"
+    error_if: str = "> 0"
+    warn_if: str = "> 0"
+    severity: str = "error"
+
+
+def run_tests(rows: DataFrame, tests: list[DataTest], store: str | None = None) -> DataFrame:
+    """test, failures, should_error, should_warn, status: all tests of a table from one scan of it.
+
+    The predicates of all tests are folded in one pass; a NULL predicate is no failure. With
+    ``store``, the failing rows are written there, a folder test=name for each test, and the
+    outcomes come from what was written, so the table is still scanned once.
+    """
+    spark = rows.sparkSession
+    if store:
+        mark = fresh_name(rows, "test")
+        hit = F.filter(F.array(*(F.when(F.expr(t.failing), F.lit(t.name)) for t in tests)), lambda n: n.isNotNull())
+        rows.withColumn(mark, F.explode(hit)).write.partitionBy(mark).mode("overwrite").parquet(store)
+        failing = spark.read.schema(rows.schema.add(mark, "string")).parquet(store)
+        counted = failing.agg(*(F.expr(f"{t.fail_calc} FILTER (WHERE {mark} = '{t.name}')").cast("long").alias(f"f{i}") for i, t in enumerate(tests)))
+    else:
+        counted = rows.agg(*(F.expr(f"{t.fail_calc} FILTER (WHERE {t.failing})").cast("long").alias(f"f{i}") for i, t in enumerate(tests)))
+    each = F.array(*(
+        F.struct(
+            F.lit(t.name).alias("test"), F.col(f"f{i}").alias("failures"), F.expr(f"coalesce(f{i} {t.error_if}, false)").alias("should_error"), F.expr(f"coalesce(f{i} {t.warn_if}, false)").alias("should_warn"),
+            F.lit(t.severity == "error").alias("errs"),
+        ) for i, t in enumerate(tests)
+    ))
+    told = counted.select(F.explode(each).alias("x")).select("x.*")
+    return told.select("test", "failures", "should_error", "should_warn", F.when(F.col("should_error") & F.col("errs"), "fail").when(F.col("should_warn"), "warn").otherwise("pass").alias("status"))
+
+
+def fresh_name(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one that no column has."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def audit_scope(df: DataFrame) -> DataFrame:
     """Physical targets that more than one org's rows claim under one org-less key; for eyes, not an error."""
     return df.groupBy("family", "target_key").agg(F.countDistinct("org_id").alias("orgs"), F.count(F.lit(1)).alias("n")).filter("orgs > 1")

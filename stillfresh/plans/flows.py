@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators import evidence, tables, history
+from ..operators import audit, evidence, history, tables
 from ..sources import tables as sources
 from ..streaming import states
 from .queries import BUILT, CONFIRMS, CURRENT, RANKED, confirms, query
@@ -103,6 +103,35 @@ def _(t):
     return trace.select("method", "request", F.col("metadata")[0][1].alias("header"), F.endswith("file", F.lit(".json")).alias("has_file"))
 
 
+@query("a6_bad_lines", "SELECT count(*) AS bad, CAST(sum(line) AS BIGINT) AS places FROM (SELECT event_id, row_number() OVER (ORDER BY event_id) AS line FROM events) WHERE event_id % 7 = 3")
+def _(t):
+    spark = t("events").sparkSession
+    text = F.when(F.expr("event_id % 7 = 3"), F.concat(F.lit("{"), F.col("event_type"))).otherwise(F.to_json(F.struct(F.col("event_type").alias("method"))))
+    path = sources.shared_folder(spark, "flow")
+    t("events").select("event_id", text.alias("value")).repartitionByRange(1, "event_id").sortWithinPartitions("event_id").select("value").write.text(path)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")  # many splits of one file
+    try:
+        found = sources.written(sources.bad_lines(spark, path, sources.TRACE))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    return found.agg(F.count(F.lit(1)).alias("bad"), F.sum("line").alias("places"))
+
+
+TESTS = [audit.DataTest(f"t{i}", f"o_orderkey % {i + 3} = 0 AND o_totalprice > {i * 9000}", "count(*)" if i % 2 else "sum(o_custkey)", f"> {i * 100}", "> 0", "error" if i % 3 else "warn") for i in range(50)]
+
+
+@query(
+    "m6_run_tests",
+    " UNION ALL ".join(
+        f"SELECT '{x.name}' AS test, CAST(f AS BIGINT) AS failures, coalesce(f {x.error_if}, false) AS should_error, coalesce(f {x.warn_if}, false) AS should_warn, CASE WHEN {str(x.severity == 'error').lower()} AND coalesce(f {x.error_if}, false) THEN 'fail' WHEN coalesce(f {x.warn_if}, false) THEN 'warn' ELSE 'pass' END AS status FROM (SELECT {x.fail_calc} AS f FROM orders WHERE {x.failing})"
+        for x in TESTS
+    ),
+)
+def _(t):
+    return audit.run_tests(t("orders"), TESTS, sources.shared_folder(t("orders").sparkSession, "failures"))
+
+
 @query(
     "a7_read_seed",
     f"""SELECT k, name, day FROM (SELECT c_custkey AS k, c_mktsegment || ';' || {QUOTE} || 'x' AS name, CASE WHEN c_custkey % 5 > 0 THEN c_custkey % 50 END AS day FROM customer)

@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -79,8 +79,29 @@ def append_log(df: DataFrame, path: str, day: Column) -> None:
     df.withColumn("day", day).hint("rebalance", "day").write.mode("append").partitionBy("day").parquet(path)
 
 
-def read_trace(spark: SparkSession, path: str) -> DataFrame:
-    """JSON lines of recorded calls with their file; a bad line fails the read."""
+def bad_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """(file, line, text): the lines of JSON files that don't fit the schema, counted from 1; blank lines are none.
+
+    Files are read in splits. A line's number is its place in its split and the lines of the
+    file's splits before it, which are counted in the same scan's rows: a row for each split.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"))
+    splits = lines.groupBy("file", "split").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    flagged = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
+    read = F.from_json("value", flagged, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    bad = lines.filter(F.trim("value") != "").filter(read["_corrupt"].isNotNull())
+    return bad.join(splits.withColumn("before", before), ["file", "split"]).select("file", (F.col("before") + F.col("at") - F.col("first") + 1).alias("line"), F.col("value").alias("text"))
+
+
+def read_trace(spark: SparkSession, path: str, check: bool = True) -> DataFrame:
+    """JSON lines of recorded calls with their file; a bad line is an error that names the first such line of a file.
+
+    The check is a scan of its own; without it a bad line fails the read when it is met.
+    """
+    found = bad_lines(spark, path, TRACE).orderBy("file", "line").limit(1).collect() if check else []
+    if found:
+        raise ValueError(f"{found[0].file}, line {found[0].line}: no recorded call: {found[0].text[:200]}")
     return spark.read.schema(TRACE).option("mode", "FAILFAST").json(path).withColumn("file", F.input_file_name())
 
 
