@@ -102,6 +102,13 @@ def hashed_spans(docs: DataFrame, span: int | None, min_words: int, id_col: str,
     return materialize(rows.mapInArrow(one, "row bigint, doc_id bigint, parts array<string>, at array<int>, k array<int>, h array<bigint>, g array<int>"), "spans")
 
 
+def by_rows(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in slices, so that what is made of one stays small."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def repeated_runs(base: DataFrame) -> DataFrame:
     """The runs (row, doc_id, at, k) whose hash another place has too, with ``first_id`` and whether they are that ``first`` place.
 
@@ -115,7 +122,7 @@ def repeated_runs(base: DataFrame) -> DataFrame:
     shared = base.sparkSession.sparkContext.broadcast(member_filter(again.select("h")))
 
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in by_rows(batches):
             flat = [b.column(c).flatten() for c in ("at", "k", "h", "g")]
             keep = passes(shared.value, flat[2].to_numpy()) if len(flat[2]) else np.zeros(0, bool)
             owner = np.repeat(np.arange(b.num_rows), np.diff(np.asarray(b.column("h").offsets)))[keep]
@@ -133,7 +140,7 @@ def rows_passing(base: DataFrame, rows: DataFrame, wanted: bool) -> DataFrame:
     shared = base.sparkSession.sparkContext.broadcast(member_filter(rows.select(F.xxhash64("row").alias("h"))))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in by_rows(batches):
             good = passes(shared.value, b.column(0).to_numpy()) == wanted
             if good.any():
                 yield b.select(["row", "doc_id", "parts"]).filter(pa.array(good))
