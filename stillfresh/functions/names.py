@@ -39,6 +39,7 @@ def in_scope(df: DataFrame, org: str, family: str, namespace: str | None) -> Dat
 
 
 def eq_ns(a: Column, b: Column) -> Column:
+    """Equal, or both NULL."""
     return a.eqNullSafe(b)
 
 

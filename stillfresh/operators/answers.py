@@ -289,10 +289,7 @@ def seed_sources(undecided: DataFrame, current: DataFrame) -> DataFrame:
     open_ = (F.col("n_own") == 0) | ((F.col("no_candidate") == "identity_mismatch") & F.coalesce(F.col("prev.execution_type") == SEED, F.lit(False)))
     asked = undecided.filter((F.col("execution_type") == SEED) & (F.col("family") == "snowflake") & (F.col("namespace") != "") & F.col("no_candidate").isNotNull() & open_)
     asked = asked.withColumn("logic_hash", F.col("sql_hash")).filter(F.coalesce("values_hash", F.lit("")) != "")
-    found = selection.seed_candidates(asked.select("submission_id", *SCOPE, "logic_hash", "values_hash"), current.withColumn("logic_hash", F.col("sql_hash")))
-    a, b = name_parts(F.lower("source_key")), name_parts(F.lower("target_key"))
-    elsewhere = (F.size(a) == 3) & (F.size(b) == 3) & (a[0] == b[0]) & (a[2] == b[2]) & (a[1] != b[1])
-    best = selection.seed_source(found, elsewhere)
+    best = selection.seed_choice(asked.select("submission_id", *SCOPE, "logic_hash", "values_hash"), current.withColumn("logic_hash", F.col("sql_hash")))
     types = current.select(F.col("id").alias("source_id"), "table_type")
     met = best.join(types, "source_id").join(asked.select("submission_id", "allow_clones", F.when(F.col("chain_limit") == 0, 0).alias("chain_limit"), F.lit("absent").alias("target_state")), "submission_id")
     ready = F.coalesce(F.instr(F.upper("table_type"), "VIEW"), F.lit(0)) == 0

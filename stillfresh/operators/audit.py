@@ -7,7 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import names
 from ..functions.display import reuse_rate
+from ..sources.tables import written
 from . import graphs
 
 
@@ -109,6 +111,25 @@ def lineage_edges(nodes: DataFrame, inputs: DataFrame) -> DataFrame:
     return inputs.join(made, "name").filter("src <> uid").select("src", F.col("uid").alias("dst")).distinct()
 
 
+def lineage(decisions: DataFrame, nodes: DataFrame, inputs: DataFrame) -> DataFrame:
+    """uid, label, decision, upstreams, downstreams: each node with its latest decision and its edges by :func:`lineage_edges`.
+
+    ``decisions``: uid, decision_id, decision; ``nodes``: uid, relation; ``inputs``: uid, name. A
+    node without a decision says none; ``upstreams`` has the names of the nodes before it, in order.
+    """
+    last = dedupe_decisions(decisions, "uid").select("uid", "decision")
+    edges = written(lineage_edges(nodes, inputs))
+    before = edges.groupBy(F.col("dst").alias("uid")).agg(F.array_sort(F.collect_list("src")).alias("upstreams"))
+    after = edges.groupBy(F.col("src").alias("uid")).agg(F.count(F.lit(1)).alias("downstreams"))
+    joined = nodes.select("uid", F.element_at(F.split("relation", r"\."), -1).alias("label")).join(last, "uid", "left").join(before, "uid", "left").join(after, "uid", "left")
+    return joined.select("uid", "label", F.coalesce("decision", F.lit("none")).alias("decision"), F.coalesce("upstreams", F.array().cast("array<string>")).alias("upstreams"), F.coalesce("downstreams", F.lit(0)).alias("downstreams"))
+
+
+def invocation_decisions(decisions: DataFrame) -> DataFrame:
+    """Decisions with ``n``, their place within their invocation, by time, then id."""
+    return decisions.withColumn("n", F.row_number().over(Window.partitionBy("invocation").orderBy("created_at", "decision_id")).cast("long"))
+
+
 def lineage_layers(edges: DataFrame) -> DataFrame:
     """(node, layer): the longest path to each node from nodes without inputs.
 
@@ -139,7 +160,7 @@ def classify_nodes(nodes: DataFrame, state: DataFrame) -> DataFrame:
     recorded = state.select(*keys, *(F.col(c).alias(f"_{c}") for c in (*COMPONENTS, "relation")), F.lit(True).alias("_known"))
     both = nodes.join(recorded, list(keys), "left")
     new = F.col("_known").isNull()
-    flags = {c: new | ~F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*COMPONENTS, "relation")}
+    flags = {c: new | ~names.eq_ns(F.col(c), F.col(f"_{c}")) for c in (*COMPONENTS, "relation")}
     modified = new
     for c in COMPONENTS:
         modified = modified | flags[c]

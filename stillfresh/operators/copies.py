@@ -5,6 +5,8 @@ Names of physical targets meet within their org, family and namespace only.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +36,21 @@ def copy_table(source: DataFrame, recorded: DataFrame) -> DataFrame:
     return source.crossJoin(F.broadcast(same.select(F.lit(True).alias("_same")))).drop("_same")  # one row at most
 
 
+def copy_into(source: DataFrame, recorded: DataFrame, write: Callable[[DataFrame], None]) -> int:
+    """Copy the source by ``write`` if its content's digest is the ``recorded`` one, and return the number of rows.
+
+    A refused copy is an error, so an empty source can't be taken for one and a target stays as it
+    was. The rows are settled first: what is digested is what is written.
+    """
+    settled = written(source)
+    now = content_digest(settled).first()
+    then = recorded.first()
+    if then is None or not now.known or (now.format, now.digest) != (then.format, then.digest):
+        raise ValueError("the source isn't what was recorded: nothing was copied")
+    write(settled)
+    return settled.count()
+
+
 def frozen_source_check(pending: DataFrame, executions: DataFrame) -> DataFrame:
     """(id, direct_current, submit_current): whether a pending copy's source stands as its proof says.
 

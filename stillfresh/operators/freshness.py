@@ -99,6 +99,11 @@ def judge_freshness(submissions: DataFrame, folded: DataFrame) -> DataFrame:
     return out.withColumns({"reuse": F.when(F.col("rebuild").isNull(), reuse), "drift_present": d > 0, "upstreams_unchanged": (n == 0) | flag("unchanged"), "within_lag": lag})
 
 
+def reusable(judged: DataFrame) -> DataFrame:
+    """submission_id, reuse, build_age_ms: how fresh each build would be if it were reused; those that must be rebuilt are left out."""
+    return judged.filter("rebuild IS NULL").select("submission_id", "reuse", "build_age_ms")
+
+
 def decide(judged: DataFrame) -> DataFrame:
     """SKIP or BUILD for each submission; only a tolerated skip is stale.
 

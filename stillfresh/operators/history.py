@@ -86,10 +86,10 @@ def record_batch(records: DataFrame) -> DataFrame:
 
 
 def upsert_latest(state: DataFrame, updates: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Last write wins for each key; updates with an empty key part are left out."""
+    """Last write wins for each key, of equal orders the same row in every run; updates with an empty key part are left out."""
     filled = updates.filter(F.forall(F.array(*(F.col(k).cast("string") for k in keys)), lambda k: F.coalesce(k, F.lit("")) != ""))
     both = state.unionByName(filled, allowMissingColumns=True)
-    return both.groupBy(*keys).agg(F.max_by(F.struct(*both.columns), order).alias("r")).select("r.*")
+    return both.groupBy(*keys).agg(F.max_by(F.struct(*both.columns), F.struct(order, F.xxhash64(*both.columns))).alias("r")).select("r.*")
 
 
 def upsert_dimension(dim: DataFrame, updates: DataFrame, keys: list[str]) -> DataFrame:

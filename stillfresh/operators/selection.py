@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.display import SEED, SNAPSHOT, TEST, VIEW
@@ -113,8 +113,6 @@ def search_offers(df: DataFrame) -> DataFrame:
     tried. One of another environment is taken unjudged, but only before any was found stale
     and only for a target without a candidate of its own; all else ends the search.
     """
-    from pyspark.sql import Window
-
     before = Window.partitionBy("submission_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
     stale = F.coalesce(F.max((F.col("same_upstreams") & F.col("exists") & ~F.col("reusable")).cast("int")).over(before), F.lit(0)) > 0
     verdict = F.when(~F.col("exists"), "stop").when(F.col("same_upstreams"), F.when(F.col("reusable"), "choose").otherwise("next")).when(~F.col("own_candidate") & ~stale, "choose").otherwise("stop")
@@ -207,6 +205,29 @@ def seed_candidates(submissions: DataFrame, current: DataFrame) -> DataFrame:
     return asked.join(other, [*TENANT, "logic_hash", "values_hash"]).filter(F.col("source_key") != F.col("target_key"))
 
 
+def seed_choice(submissions: DataFrame, current: DataFrame) -> DataFrame:
+    """submission_id, source_key, source_id: the newest load of the same seed, values included, in another schema.
+
+    Loads meet by database and object too, and only the two best of such a key are joined, as
+    one of them at most is the submission's own target; so no seed's loads are paired with
+    all submissions of it. Ties go to smaller ids.
+    """
+    from ..functions.names import name_parts
+    from .history import TENANT, in_tenant
+
+    def placed(df: DataFrame) -> DataFrame:
+        parts = name_parts(F.lower("target_key"))
+        return df.withColumn("_parts", parts).filter(F.size("_parts") == 3).withColumns({"_database": F.col("_parts")[0], "_schema": F.col("_parts")[1], "_object": F.col("_parts")[2]}).drop("_parts")
+
+    keys = [*TENANT, "logic_hash", "values_hash", "_database", "_object"]
+    loads = placed(current.filter((F.col("execution_type") == SEED) & F.col("last_modified_epoch").isNotNull()).select(*in_tenant(current, TENANT), "logic_hash", "values_hash", "target_key", "id", "last_modified_epoch"))
+    order = Window.partitionBy(*keys).orderBy(F.desc("last_modified_epoch"), "id")
+    best = loads.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= 2).select(*keys, "_n", F.col("_schema").alias("_other"), F.col("target_key").alias("source_key"), F.col("id").alias("source_id"))
+    asked = placed(submissions.withColumn("namespace", F.coalesce("namespace", F.lit("")))).select("submission_id", *keys, "_schema")
+    met = asked.join(best, keys).filter(F.col("_other") != F.col("_schema"))
+    return met.groupBy("submission_id").agg(F.min_by(F.struct("source_key", "source_id"), "_n").alias("s")).select("submission_id", "s.source_key", "s.source_id")
+
+
 def seed_source(candidates: DataFrame, same_object: Column) -> DataFrame:
     """The newest candidate of each submission that names the same object in another schema; ties go to smaller keys.
 

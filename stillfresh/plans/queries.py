@@ -532,9 +532,7 @@ def _(t):
 
 @query("f6_invocation_decisions", "SELECT invocation, decision_id, row_number() OVER (PARTITION BY invocation ORDER BY created_at, decision_id) AS n FROM decisions")
 def _(t):
-    from pyspark.sql import Window
-
-    return t("decisions").select("invocation", "decision_id", F.row_number().over(Window.partitionBy("invocation").orderBy("created_at", "decision_id")).cast("long").alias("n"))
+    return audit.invocation_decisions(t("decisions")).select("invocation", "decision_id", "n")
 
 
 @query("m13_scope_audit", "SELECT family, project AS target_key, count(DISTINCT org_id) AS orgs, count(*) AS n FROM executions GROUP BY 1, 2 HAVING count(DISTINCT org_id) > 1")

@@ -26,7 +26,7 @@ def _(t):
 
 @query("l31_reusable", "SELECT submission_id, CASE WHEN stale THEN 'within_lag_tolerance' WHEN d > 0 THEN 'tolerated_stale' ELSE 'fresh' END AS reuse FROM judged WHERE rebuild IS NULL", *CHAIN_OF)
 def _(t):
-    return judged(t).filter("rebuild IS NULL").select("submission_id", "reuse")
+    return freshness.reusable(judged(t)).select("submission_id", "reuse")
 
 
 @query("c11_explain_inputs", "SELECT d.decision_id, m.id AS matched, u.id AS unmatched, c.id AS compared FROM decisions d LEFT JOIN executions m ON m.id = d.decision_id % 1500 AND d.decision_id % 3 = 0 LEFT JOIN executions u ON u.id = d.decision_id % 1500 AND d.decision_id % 3 = 1 LEFT JOIN executions c ON c.request_id = d.request_id")

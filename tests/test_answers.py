@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from stillfresh.operators import answers, copies
+from stillfresh.operators import answers, copies, evidence
 
 SUBS = "submission_id long, org_id string, family string, namespace string, target_key string, execution_type int, node_uid string, project string, sql string, sql_hash string, text_hash string, root string, template_hash string, compare_template boolean, body_hash string, namespace_hash string, values_hash string, evaluation_requested boolean, ignore_external boolean, policy string, tolerance_ms long, now_ms long, allow_clones boolean, chain_limit int"
 RUNS = "id long, org_id string, family string, namespace string, target_key string, execution_type int, node_uid string, project string, sql_hash string, text_hash string, root string, template_hash string, namespace_hash string, values_hash string, last_modified_epoch long, created_ms long, confirmed_ms long, source_key string, source_epoch long, published boolean, table_type string, failures double, should_error boolean, should_warn boolean"
@@ -116,3 +116,14 @@ def test_copies_of_copies(spark):
     assert {r.id: tuple(r)[1:] for r in got.collect()} == want
     assert max(d for _, d, *_ in want.values()) == 11 and any(root is None for root, *_ in want.values()) and by_id
     assert copies.inherited(spark.createDataFrame([], schema), spark.createDataFrame([], "execution_id long, name string")).isEmpty()
+
+
+def test_a_refused_copy_is_told_from_an_empty_one(spark):
+    rows, none = spark.range(5), spark.range(0)
+    done = []
+    assert copies.copy_into(rows, evidence.content_digest(rows), lambda df: done.append(df.count())) == 5 and done == [5]
+    assert copies.copy_into(none, evidence.content_digest(none), lambda df: done.append(df.count())) == 0 and done == [5, 0]
+    for source, recorded in ((rows, none), (none, rows)):
+        with pytest.raises(ValueError, match="nothing was copied"):
+            copies.copy_into(source, evidence.content_digest(recorded), lambda df: done.append("written"))
+    assert done == [5, 0]
