@@ -63,6 +63,28 @@ def _(t):
     return explain.audit_policy(decided, rows, rows.withColumn("row", F.concat("row", F.lit("+"))), rows)
 
 
+POLICY = """saved AS (SELECT coalesce(part, '-') AS uid, k || '|' || name AS row FROM prev), fresh AS (SELECT coalesce(part, '-') AS uid, k || '|' || name AS row FROM sel),
+  taken AS (SELECT uid, CASE WHEN right(uid, 1) IN ('1', '2', '-') THEN 'skip' ELSE 'build' END AS decision FROM (SELECT uid FROM saved UNION SELECT uid FROM fresh)),
+  wanted AS (SELECT uid, row FROM saved JOIN taken USING (uid) WHERE decision = 'skip' UNION ALL SELECT uid, row FROM fresh JOIN taken USING (uid) WHERE decision = 'build'),
+  stored AS (SELECT uid, row FROM wanted WHERE right(uid, 2) <> '21' OR right(row, 1) <> 'L' UNION ALL SELECT uid, row FROM wanted WHERE right(uid, 2) = '17' AND right(row, 1) = '!')"""
+
+
+@query(
+    "m8_policy_tables",
+    "SELECT uid, uid NOT IN (SELECT uid FROM (SELECT * FROM wanted EXCEPT ALL SELECT * FROM stored) UNION SELECT uid FROM (SELECT * FROM stored EXCEPT ALL SELECT * FROM wanted)) AS ok FROM taken",
+    POLICY,
+)
+def _(t):
+    rows = lambda name: t(name).select(F.coalesce("part", F.lit("-")).alias("uid"), F.concat_ws("|", "k", "name").alias("row"))
+    saved, fresh = rows("prev"), rows("sel")
+    taken = saved.select("uid").union(fresh.select("uid")).distinct().withColumn("decision", F.when(F.substring("uid", -1, 1).isin("1", "2", "-"), "skip").otherwise("build"))
+    kept = saved.join(taken.filter("decision = 'skip'"), "uid").unionByName(fresh.join(taken.filter("decision = 'build'"), "uid")).select("uid", "row")
+    # two tables that aren't as their decisions say: one lacks rows, one has some twice
+    lacks = kept.filter((F.substring("uid", -2, 2) != "21") | (F.substring("row", -1, 1) != "L"))
+    stored = lacks.unionByName(kept.filter((F.substring("uid", -2, 2) == "17") & (F.substring("row", -1, 1) == "!")))
+    return explain.audit_policy(taken, saved, fresh, stored)
+
+
 @query("m10_audit_chain", "SELECT target, p1 < p2 AND p2 < p3 AND p3 < p4 AND p4 < p5 AS ok FROM (SELECT request_id AS target, min(position) AS p1, min(position) + (count(*) % 2) AS p2, min(position) + 2 AS p3, min(position) + 3 AS p4, min(position) + 4 AS p5 FROM trace GROUP BY 1)", TRACE)
 def _(t):
     first = trace(t).groupBy("request_id").agg(F.min("position").alias("p"), F.count(F.lit(1)).alias("n"))
