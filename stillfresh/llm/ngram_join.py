@@ -7,7 +7,10 @@
    the same. Each part's hash is a signature, its tile. Of k + 1 + e parts the e lightest of
    a set are not sent, as 1 + e parts must be the same and both sets rank these alike.
 3. Classes that share a tile are candidates; candidates that hang together form a group.
-   Chance hardly makes groups, as a whole part must be the same.
+   Texts with a passage in common share a part now and then, so such groups grow with the
+   table, faster than it does. Large ones are taken apart by sketches, a bit for each
+   member's hash: two sets differ in at least as many members as their sketches in bits, so
+   pairs that differ in too many aren't similar, and what no other pairs join is a group.
 4. Each group is worked through in blocks of bounded size. A bitmap of hashed members bounds
    two sets' overlap from above (their difference has at least as many members as the bitmaps
    differ in bits); what passes is intersected exactly, as sorted arrays. A block returns no
@@ -22,12 +25,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import by_bytes, fresh, materialize, member_filter, passes, texts
 
 BLOCK_CLASSES, BLOCK_TOKENS, BLOCKS = 256, 1 << 20, 10
+SKETCH_CLASSES, SKETCH_BYTES, SKETCH_BITS = 8192, 1 << 22, (8, 15)
 SIG_BYTES = 6
 SALTS = 8
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -125,6 +129,16 @@ def signatures(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.nda
     return owner[order], sig[order]
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """A bit for each residue of the members' hashes, set where an odd number of members has it.
+
+    There are as many bits as members, rounded up to a power of two, within SKETCH_BITS.
+    """
+    bits = 1 << int(np.clip(int(max(1, len(s)) - 1).bit_length(), *SKETCH_BITS))
+    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
 def packed(values: np.ndarray, counts: np.ndarray, width: int) -> pa.Array:
     """Binary values holding ``counts`` numbers each, ``width`` low bytes of every one."""
     raw = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width])
@@ -142,13 +156,13 @@ def unpacked(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def keyed(rows: DataFrame, width: int, percent: int) -> DataFrame:
-    """doc_id, key, n, fp, h, sigs of every document: one written table.
+    """doc_id, key, n, fp, h, sigs, bits of every document: one written table.
 
     ``h``, the first 48 bits of the set's fingerprint, names classes while candidates are
     sought; ``fp`` is the whole fingerprint. Sets that share a name are candidates of each
     other, which the exact test then tells apart.
     """
-    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("fp", pa.binary()), ("h", pa.int64()), ("sigs", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("fp", pa.binary()), ("h", pa.int64()), ("sigs", pa.binary()), ("bits", pa.binary())])
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in by_bytes(batches):
@@ -157,9 +171,9 @@ def keyed(rows: DataFrame, width: int, percent: int) -> DataFrame:
             fps = [fingerprint(s) for s in sets]
             h = pa.array([int.from_bytes(f[:6], "little") for f in fps], pa.int64())
             sigs = packed(sig, np.bincount(owner, minlength=len(sets)), SIG_BYTES)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(fps, pa.binary()), h, sigs], schema=schema)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(fps, pa.binary()), h, sigs, pa.array(map(sketch, sets), pa.binary())], schema=schema)
 
-    return materialize(rows.mapInArrow(one, "doc_id bigint, key bigint, n bigint, fp binary, h bigint, sigs binary"), "keyed")
+    return materialize(rows.mapInArrow(one, "doc_id bigint, key bigint, n bigint, fp binary, h bigint, sigs binary, bits binary"), "keyed")
 
 
 def runs_of(sig: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -319,6 +333,86 @@ def verified_links(blocks: DataFrame, width: int, percent: int) -> DataFrame:
     return dealt.mapInArrow(run, "a binary, b binary")
 
 
+def sketch_links(n: np.ndarray, bits: list[bytes], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Pairs (numbers of sets) that may be similar by their sketches and join the block's components.
+
+    ``n``: sizes in ascending order, so that a set's larger partners are the next ones. A
+    longer sketch is folded to the length of the smaller set's.
+    """
+    label, out = np.arange(len(n)), []
+    split = side.min() != side.max()
+    end = np.searchsorted(n, n * 100 // percent, side="right")
+    width = np.array([len(b) // 8 for b in bits])
+    for w in np.unique(width).tolist():
+        first, last = (f(width, w, side=x) for f, x in ((np.searchsorted, "left"), (np.searchsorted, "right")))
+        far = int(end[first:last].max())
+        rows = np.empty((far - first, w), np.uint64)
+        for i in range(first, far):
+            rows[i - first] = np.bitwise_xor.reduce(np.frombuffer(bits[i], "<u8").reshape(-1, w), axis=0)
+        for at in range(first, last):
+            a, b = at + 1, int(end[at])
+            open_ = label[a:b] != label[at]
+            if split:
+                open_ &= side[a:b] != side[at]
+            if not open_.any():
+                continue
+            differ = np.bitwise_count(rows[a - first : b - first] ^ rows[at - first]).sum(axis=1, dtype=np.int64)
+            for k in (a + np.flatnonzero(open_ & enough(n[a:b], n[at], (n[a:b] + n[at] - differ) // 2, percent))).tolist():
+                if label[k] != label[at]:
+                    out.append((at, k))
+                    label[label == label[k]] = label[at]
+    return out
+
+
+def taken_apart(groups: DataFrame, percent: int) -> DataFrame:
+    """(fp, root) of the classes of ``groups`` (root, fp, n, bits) that some other one may be similar to by
+    their sketches; ``root`` names those that hang together by such pairs.
+
+    All pairs of a group are looked at, in blocks of SKETCH_CLASSES classes or SKETCH_BYTES.
+    A block returns no more links than classes.
+    """
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+    size = F.greatest(F.count(F.lit(1)) / SKETCH_CLASSES, F.sum(F.length("bits")) / SKETCH_BYTES)
+    parts = groups.groupBy("root").agg(F.ceil(size).cast("int").alias("parts"))
+    placed = groups.join(parts, "root").withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+    blocks = placed.select("root", "mine", F.explode(pairs_of("parts")).alias("x"), "n", "fp", "bits").select("root", "x.i", "x.j", "mine", "n", "fp", "bits")
+
+    def links(held: list[tuple]) -> list[tuple[bytes, bytes]]:
+        mine, n, fps, bits = zip(*held, strict=True)
+        return [(fps[a], fps[b]) for a, b in sketch_links(np.array(n, np.int64), bits, np.array(mine), percent)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        open_key = None
+        for b in batches:
+            out: list[tuple[bytes, bytes]] = []
+            columns = [c.to_pylist() for c in b.columns]
+            for key, row in zip(zip(*columns[:3], strict=True), zip(*columns[3:], strict=True), strict=True):
+                if key != open_key:
+                    out += links(held) if held else []
+                    held, open_key = [], key
+                held.append(row)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out, strict=True)], schema=schema)
+        if out := links(held) if held else []:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out, strict=True)], schema=schema)
+
+    dealt = blocks.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "n")
+    return components(dealt.mapInArrow(run, "a binary, b binary")).select(F.col("v").alias("fp"), F.xxhash64("root").alias("root"))
+
+
+def pairs_of(parts: str) -> Column:
+    """The blocks (i, j) of a group of ``parts`` parts that its part ``mine`` goes to."""
+    return F.transform(F.sequence(F.lit(0), F.col(parts) - 1), lambda j: F.struct(F.least("mine", j).alias("i"), F.greatest("mine", j).alias("j")))
+
+
+def blocks_of(wanted: DataFrame) -> DataFrame:
+    """(root, parts): a large group is dealt to about BLOCKS blocks, to more where those would be large themselves."""
+    k = F.count(F.lit(1))
+    size = F.greatest(F.least(k / BLOCK_CLASSES, F.lit(BLOCKS)), k / (16 * BLOCK_CLASSES), F.sum("n") / BLOCK_TOKENS)
+    return wanted.groupBy("root").agg(F.ceil(size).cast("int").alias("parts"))
+
+
 def texts_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """(key, text) of the wanted keys, and a few others: a text once from each task.
 
@@ -345,15 +439,16 @@ def similar_classes(docs: DataFrame, width: int = 3, percent: int = 90, id_col:
     rows = texts(docs, id_col, text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
     table = keyed(rows, width, percent)
     members = components(candidate_links(table)).withColumnRenamed("v", "h")
-    one = table.filter("n > 0").select("h", "fp", "key", "n").join(members, "h")
-    wanted = materialize(one.groupBy("fp").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("root").alias("root")), "wanted")
-    # a large group is dealt to about BLOCKS blocks, to more where those would be large themselves
-    k = F.count(F.lit(1))
-    size = F.greatest(F.least(k / BLOCK_CLASSES, F.lit(BLOCKS)), k / (16 * BLOCK_CLASSES), F.sum("n") / BLOCK_TOKENS)
-    parts = wanted.groupBy("root").agg(F.ceil(size).cast("int").alias("parts"))
-    placed = wanted.join(parts, "root").select("key", "root", "parts", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int").alias("mine"))
-    pair = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least("mine", j).alias("i"), F.greatest("mine", j).alias("j")))
-    blocks = texts_of(rows, wanted).join(placed, "key").select("root", "mine", F.explode(pair).alias("x"), "text").select("root", "x.i", "x.j", "mine", "text")
+    one = table.filter("n > 0").select("h", "fp", "key", "n", "bits").join(members, "h")
+    wanted = materialize(one.groupBy("fp").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("root").alias("root"), F.first("bits").alias("bits")), "wanted")
+    large = materialize(blocks_of(wanted).filter("parts > 1").select("root"), "large")
+    if not large.isEmpty():
+        apart = taken_apart(wanted.join(large, "root", "left_semi"), percent)
+        small = wanted.join(large, "root", "left_anti")
+        wanted = materialize(small.unionByName(wanted.drop("root").join(apart, "fp")), "wanted")
+    placed = wanted.join(blocks_of(wanted), "root").withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+    placed = placed.select("key", "root", "mine", pairs_of("parts").alias("pairs"))
+    blocks = texts_of(rows, wanted).join(placed, "key").select("root", "mine", F.explode("pairs").alias("x"), "text").select("root", "x.i", "x.j", "mine", "text")
     return table, materialize(verified_links(blocks, width, percent), "links")
 
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from stillfresh.llm import quality, sentences, toxicity, url_rules
+from stillfresh.llm import ngram_join, quality, sentences, toxicity, url_rules
 
 
 def brute_repeats(texts, min_words=25, span=1 << 30):
@@ -116,3 +116,34 @@ def test_quality_forest_equals_direct_counts(lists_and_prose):
     score = np.where(y == 1, forest.score(x, forest.paths(1)), forest.score(x, forest.paths()))
     worth = lambda cut: 2 * (score[y == 1] < cut).mean() + (score[y == 0] >= cut).mean()
     assert worth(model.threshold) == pytest.approx(max(worth(c) for c in [*np.unique(score), 2.0]))
+
+
+def test_documents_with_one_passage_in_common_are_taken_apart_before_texts_move(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 1 << 40, n)]
+    passage = words(30)
+    texts = {i: [*words(60), *passage] for i in range(700)}
+    texts |= {1000 + i: ["changed", *texts[i][1:]] for i in range(0, 700, 7)}  # a copy with another first word
+    moved, verified = [], ngram_join.verified_links
+    monkeypatch.setattr(ngram_join, "verified_links", lambda blocks, *a: moved.append(blocks.count()) or verified(blocks, *a))
+    table = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in ngram_join.jaccard_components(table, 5, 80).collect()}
+    assert got == {i: i - 1000 if i >= 1000 else i for i in texts}
+    assert moved[0] <= 2 * len(texts) / 7 + 20  # the copies and what they are of; several times all documents before
+
+
+def test_sketches_let_every_similar_pair_through():
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)) for n in (1, 2, 5, 250, 255, 300, 511, 1000)]
+    for s in list(sets):
+        for share in (0.06, 0.1, 0.2, 0.5):
+            sets.append(np.unique(np.concatenate([s[int(len(s) * share) :], rng.integers(0, 1 << 63, int(len(s) * share * 0.4)).astype(np.uint64)])))
+    sets = sorted((s for s in sets if len(s)), key=len)
+    n = np.array([len(s) for s in sets])
+    pairs = [(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if ngram_join.enough(n[a], n[b], len(np.intersect1d(sets[a], sets[b])), 80)]
+    bits = [ngram_join.sketch(s) for s in sets]
+    for side in (np.zeros(len(sets), int), np.arange(len(sets)) % 2):
+        label = list(range(len(sets)))
+        for a, b in ngram_join.sketch_links(n, bits, side, 80):
+            label = [label[a] if x == label[b] else x for x in label]
+        assert pairs and all(label[a] == label[b] for a, b in pairs if side.max() == 0 or side[a] != side[b])
